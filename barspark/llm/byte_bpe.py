@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,14 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces of text that the splitting pattern treats alike wherever they stand: no match of it crosses their ends.
 CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Entries of a worker's memory of chunks, and the longest chunk that it remembers.
-MEMO, LONGEST = 300_000, 48
+MEMO, LONGEST = 400_000, 48
+
+
+def make_room(memory: dict, most: int = MEMO) -> None:
+    """Forgets the older half of a full memory; common words come back at once."""
+    if len(memory) >= most:
+        for k in list(islice(memory, most // 2)):
+            del memory[k]
 
 
 @lru_cache(maxsize=4)
@@ -48,33 +56,30 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         tree[i] = a if a < b else b
     end, before = list(range(1, n + 1)), list(range(-1, n))
 
-    def put(i: int, key: int) -> None:
-        i += width
-        tree[i] = key
-        while i > 1:
-            a, b = tree[i], tree[i ^ 1]
-            i >>= 1
-            a = a if a < b else b
-            if tree[i] == a:
-                return
-            tree[i] = a
-
     while (top := tree[1]) < never:
         at = top % width
         middle = end[at]
         stop = end[at] = end[middle]
-        put(middle, never)
-        key = never
+        changed = [(width + middle, never), (width + at, never)]
         if stop < n:
             before[stop] = at
             r = get(piece[at : end[stop]])
             if r is not None:
-                key = r * width + at
-        put(at, key)
+                changed[1] = (width + at, r * width + at)
         p = before[at]
         if p >= 0:
             r = get(piece[p:stop])
-            put(p, never if r is None else r * width + p)
+            changed.append((width + p, never if r is None else r * width + p))
+        for i, key in changed:
+            tree[i] = key
+            while i > 1:
+                b = tree[i ^ 1]
+                i >>= 1
+                if b < key:
+                    key = b
+                if tree[i] == key:
+                    break
+                tree[i] = key
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -83,7 +88,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Token ids by chunk, computed when first asked for; a bounded memory, since texts repeat their words."""
+    """Token ids by chunk, as raw int32, computed when first asked for; a bounded memory, since texts repeat their words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split, self.pieces = ranks, regex.compile(pattern), {}
@@ -95,21 +100,25 @@ class Encoder(dict):
             whole = self.ranks.get(raw)
             got = (whole,) if whole is not None else tuple(merge(raw, self.ranks))
             if len(piece) <= LONGEST:
-                if len(self.pieces) >= MEMO:
-                    self.pieces.clear()
+                make_room(self.pieces)
                 self.pieces[piece] = got
         return got
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self._piece, self.split.findall(chunk))))
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("i", chain.from_iterable(map(self._piece, self.split.findall(chunk)))).tobytes()
         if len(chunk) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
+            make_room(self)
             self[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, CHUNK.findall(text or ""))), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, CHUNK.findall(text or ""))), np.int32)
+
+
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str, pattern: str) -> Encoder:
+    """One per worker process: later tasks find the words of earlier ones."""
+    return Encoder(load_ranks(vocabulary), pattern)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,7 +130,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(vocabulary), pattern)
+        encoder = _encoder(vocabulary, pattern)
         for b in batches:
             for part in _slices(b):
                 got = [encoder.encode(t.as_py()) for t in part.column(1)]

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import CHUNK, LONGEST, MEMO
+from .byte_bpe import CHUNK, LONGEST, make_room
+
+assert sys.byteorder == "little"
 
 #: A shard is closed when its payload reaches so many bytes; one document is never split.
 SHARD_BYTES = 4 << 20
@@ -102,27 +106,32 @@ def _tokenizer(path: str):
 
 
 class ChunkEncoder(dict):
-    """The library's ids by chunk of text, in a bounded memory: words repeat, and the library reads each one once."""
+    """The library's ids by chunk of text, as raw little-endian bytes, in a bounded memory: words repeat, and the library reads each one once."""
 
-    def __init__(self, tokenizer):
-        self.t = tokenizer
+    def __init__(self, tokenizer, width: int):
+        self.t, self.kind = tokenizer, {2: "H", 4: "I"}[width]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [CHUNK.findall(t) for t in texts]
-        if len(self) > MEMO:
-            self.clear()
-        new = list({c for cs in chunks for c in cs if c not in self})
-        extra = {}
+        make_room(self)
+        new = list(set().union(*chunks).difference(self))
+        long = []
         for c, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self if len(c) <= LONGEST else extra)[c] = e.ids
-        if extra:
-            self.update(extra)
-        out = [np.fromiter((i for c in cs for i in self[c]), np.uint32) for cs in chunks]
-        for c in extra:
+            self[c] = array(self.kind, e.ids).tobytes()
+            if len(c) > LONGEST:
+                long.append(c)
+        out = [b"".join(map(self.__getitem__, cs)) for cs in chunks]
+        for c in long:
             del self[c]
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, width: int) -> ChunkEncoder:
+    """One per worker process: later tasks find the words of earlier ones."""
+    return ChunkEncoder(_tokenizer(path), width)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", by_chunk: bool = True, shard_bytes: int = SHARD_BYTES) -> None:
     """Encodes every text with the ``tokenizers`` file ``tokenizer`` (no special tokens added, ``end_id`` after each document) and writes
     the shards to ``path`` in ascending order of the id, nulls first.
@@ -136,7 +145,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
         width = 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder = ChunkEncoder(t)
+        encoder = _encoder(tokenizer, width)
+        end = end_id.to_bytes(width, "little")
         part, seq, keys, sizes, payload, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -155,11 +165,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 ids, texts = b.column(0).slice(i, 64).to_pylist(), b.column(1).slice(i, 64).to_pylist()
-                encoded = encoder.encode(texts) if by_chunk else [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+                encoded = encoder.encode(texts) if by_chunk else [array(encoder.kind, e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
                 for key, got in zip(ids, encoded, strict=True):
-                    raw = np.append(got, np.uint32(end_id)).astype(f"<u{width}").tobytes()
-                    keys.append(key), sizes.append(len(got) + 1), payload.append(raw)
-                    held += len(raw)
+                    keys.append(key), sizes.append(len(got) // width + 1), payload.append(got + end)
+                    held += len(got) + width
                     if held >= shard_bytes:
                         yield shard()
                         seq, keys, sizes, payload, held = seq + 1, [], [], [], 0
