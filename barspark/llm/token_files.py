@@ -27,6 +27,8 @@ assert sys.byteorder == "little"
 
 #: A shard is closed when its payload reaches so many bytes; one document is never split.
 SHARD_BYTES = 4 << 20
+#: Words that a worker remembers, some 200 bytes each.
+REMEMBERED = 800_000
 GAMMA = 1.5
 SCHEMA = "part int, seq int, n_docs long, n_ids long, width int, first long, last long, keys binary, occurrence binary, index binary, ids binary"
 
@@ -112,18 +114,17 @@ class ChunkEncoder(dict):
         self.t, self.kind = tokenizer, {2: "H", 4: "I"}[width]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        make_room(self, REMEMBERED)
         chunks = [CHUNK.findall(t) for t in texts]
-        make_room(self)
-        new = list(set().union(*chunks).difference(self))
-        long = []
-        for c, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = array(self.kind, e.ids).tobytes()
-            if len(c) > LONGEST:
-                long.append(c)
-        out = [b"".join(map(self.__getitem__, cs)) for cs in chunks]
-        for c in long:
-            del self[c]
-        return out
+        parts = [list(map(self.get, cs)) for cs in chunks]
+        gaps = [[i for i, p in enumerate(ps) if p is None] if None in ps else () for ps in parts]
+        new = list({cs[i] for cs, at in zip(chunks, gaps, strict=True) for i in at})
+        got = {c: array(self.kind, e.ids).tobytes() for c, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        for cs, ps, at in zip(chunks, parts, gaps, strict=True):
+            for i in at:
+                ps[i] = got[cs[i]]
+        self.update((c, b) for c, b in got.items() if len(c) <= LONGEST)
+        return [b"".join(ps) for ps in parts]
 
 
 @lru_cache(maxsize=2)
