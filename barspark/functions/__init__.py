@@ -1 +1 @@
-
+"""Column functions and windows."""

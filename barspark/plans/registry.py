@@ -1,4 +1,19 @@
 """All registered queries and their SQL."""
 
+from __future__ import annotations
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from . import analysis, market, reports  # noqa: E402, F401
