@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import ordered
 
-TIMEFRAME_WEIGHTS = {"5m": 0.5, "1h": 1.0, "1d": 2.0}
+#: Fixed values.
+TIMEFRAME_WEIGHTS = {"1m": 0.5, "5m": 0.6, "15m": 0.7, "30m": 0.8, "1h": 0.9, "1d": 1.0}
 
 
 def daily_last(signals: DataFrame) -> DataFrame:

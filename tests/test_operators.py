@@ -11,8 +11,8 @@ from barspark.operators import allocate, combine, indicators, labels, search
 def test_timeframe_votes(spark):
     tf = {"5m": [1, 1, -1, 0, 1], "1h": [1, -1, -1, 1, 1], "1d": [1, 1, 1, 1, 1]}
     frames = {k: spark.createDataFrame([("A", i, s) for i, s in enumerate(v)], "symbol string, day int, signal int") for k, v in tf.items()}
-    got = combine.votes(combine.aligned(frames), combine.TIMEFRAME_WEIGHTS).orderBy("day").collect()
-    assert [r.majority for r in got] == [1, 1, 1, 1, 1] and [r.unanimous for r in got] == [1, 0, 0, 0, 1] and [r.any_long for r in got][:3] == [1, -1, -1]
+    got = combine.votes(combine.aligned(frames), {k: combine.TIMEFRAME_WEIGHTS[k] for k in tf}).orderBy("day").collect()
+    assert [r.majority for r in got] == [1, 1, -1, 1, 1] and [r.unanimous for r in got] == [1, 0, 0, 0, 1] and [r.any_long for r in got][:3] == [1, -1, -1]
 
 
 def test_daily_last(spark):
