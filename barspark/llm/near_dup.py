@@ -207,9 +207,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirmed(stars, True)
     labels = components(links)
-    tagged = reps.join(labels, "id", "left").select("id", "n_shingles", "sig", F.coalesce("label", "id").alias("label"), F.explode("keys").alias("key"))
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("hi > lo").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    held = tagged.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    known = materialize(reps.join(labels, "id", "left").select("id", "n_shingles", F.coalesce("label", "id").alias("label"), "sig"), "labelled")
+    placed = reps.select("id", "keys").join(known.select("id", "label"), "id").select("id", "label", F.explode("keys").alias("key"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("hi > lo").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # Signatures join only what lies in a mixed bucket.
+    held = members.join(mixed, "key").join(known, "id").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     # Block i meets block j >= i once; within a block, both sides hold all of its members.
     dealt = held.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("other", F.explode(F.when(F.col("side") == 0, F.sequence("at", F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), "at"))))
     dealt = dealt.select("key", "id", "label", "n_shingles", "sig", "side", F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("at")).alias("j"))
