@@ -16,4 +16,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import analysis, market, reports  # noqa: E402, F401
+from . import market, analysis, reports  # noqa: E402, F401
