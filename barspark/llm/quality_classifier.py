@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,51 +16,62 @@ SAMPLE = 3000
 _SAME = 0  # the bucket of a word that stands right after itself
 
 
-def word_features(word: bytes, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the word itself and of its character n-grams, word ends marked."""
-    text = f"<{word.decode('utf-8', 'surrogatepass')}>"
-    new = xxhash.xxh32_intdigest
-    grams = [text[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(text) - n + 1)]
-    return np.array([1 + new(g.encode("utf-8", "surrogatepass"), n) % (buckets - 1) for n, g in ((7, text), *((0, g) for g in grams))], np.int64)
-
-
-class Words:
-    """A bounded memory of words: their number, and what ``make`` gives for each."""
-
-    def __init__(self, make, most: int = 150_000):
-        self.make, self.most, self.number, self.rows = make, most, {}, []
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        if len(self.number) > self.most:
-            self.number, self.rows = {}, []
-            self.reset()
-        get = self.number.get
-        out = [get(w) for w in words]
-        for i, n in enumerate(out):
-            if n is None:
-                n = get(words[i])
-                if n is None:
-                    n = self.number[words[i]] = len(self.rows)
-                    self.rows.append(self.make(words[i]))
-                out[i] = n
-        return np.array(out, np.int64)
-
-    def reset(self) -> None:
-        pass
-
-
-def bag(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
+#: Multipliers of a gram's code points (multiply-shift hashing), of a word's positions, and the numbers that set lengths apart.
+_K = np.random.default_rng(5).integers(1, 1 << 63, GRAMS[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Code points that are hashed at once; blocks end between words.
+BLOCK = 1 << 16
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return ((((h >> np.uint64(32)) * np.uint64(BUCKETS - 1)) >> np.uint64(32)) + np.uint64(1)).astype(np.int64)
+
+
+def _blocks(text: str) -> Iterator[np.ndarray]:
+    """Code points of the text with one space before, between and after its words; blocks share the space between them."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = (cp == 32) | ((cp >= 9) & (cp <= 13))
+    cp = np.concatenate([[32], np.where(space, 32, cp), [32]])
+    edge = cp == 32
+    cp = cp[~(edge & np.concatenate([[False], edge[:-1]]))].astype(np.uint64)
+    ends = np.flatnonzero(cp == 32)
+    at = 0
+    while at < len(cp) - 1:
+        stop = int(ends[min(np.searchsorted(ends, max(at + BLOCK, at + 1)), len(ends) - 1)])
+        yield cp[at : stop + 1]
+        at = stop
+
+
+def buckets_of(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of each word, of its character n-grams (word ends marked) and, as ``_SAME``, of each word that repeats the one before.
+
+    Whole text, block by block; nothing for a text without words."""
+    last = None
+    for cp in _blocks(text or ""):
+        p = np.flatnonzero(cp == 32)
+        long = np.diff(p)
+        left = np.repeat(p[1:], long) - np.arange(len(cp) - 1)  # places to the next word end
+        h = cp * _K[0]
+        for n in range(2, GRAMS[1] + 1):
+            h = h[:-1] + cp[n - 1 :] * _K[n - 1]
+            if n >= GRAMS[0]:
+                yield _bucket((h[left[: len(h)] >= n - 1] + np.uint64(n)) * _STEP)
+        power = np.cumprod(np.full(int(long.max()), _STEP))
+        w = np.add.reduceat(cp[:-1] * power[np.arange(len(cp) - 1) - np.repeat(p[:-1], long)], p[:-1])
+        w = (w ^ (w >> np.uint64(29))) * _MIX
+        yield _bucket(w)
+        same = int((w[1:] == w[:-1]).sum()) + (last == w[0])
+        last = w[-1]
+        yield np.full(same, _SAME)
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The document's buckets and how often each occurs."""
-    ids = words.ids(text)
-    if not len(ids):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    n, times = np.unique(ids, return_counts=True)
-    same = int((ids[1:] == ids[:-1]).sum())
-    count = np.bincount(np.concatenate([words.rows[i] for i in n]), np.repeat(times, [len(words.rows[i]) for i in n]), BUCKETS)
-    count[_SAME] += same
+    count = np.zeros(BUCKETS, np.int64)
+    for b in buckets_of(text):
+        count += np.bincount(b, minlength=BUCKETS)
     at = np.flatnonzero(count)
-    return at, count[at].astype(np.int64)
+    return at, count[at]
 
 
 @dataclass
@@ -70,9 +80,18 @@ class Model:
     weights: np.ndarray  # DIM x 2
     bias: np.ndarray
 
-    def score(self, mean: np.ndarray) -> float:
-        z = mean @ self.weights + self.bias
-        return float(1 / (1 + np.exp(np.clip(z[0] - z[1], -50, 50))))
+    def scorer(self) -> Callable[[str | None], float]:
+        """The softmax of a text's mean vector. It is linear up to the softmax, so each bucket's share of the logit is found once."""
+        side = self.weights[:, 1].astype(np.float64) - self.weights[:, 0]
+        share, bias = self.vectors.astype(np.float64) @ side, float(self.bias[1]) - float(self.bias[0])
+
+        def score(text: str | None) -> float:
+            total, n = 0.0, 0
+            for b in buckets_of(text):
+                total, n = total + float(share[b].sum()), n + len(b)
+            return float(1 / (1 + np.exp(np.clip(-(total / max(n, 1) + bias), -50, 50))))
+
+        return score
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.5, seed: int = 3) -> Model:
@@ -121,9 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     kind = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(word_features, 50_000)
         for b in batches:
-            got = [bag(t, words) for t in b.column(1).to_pylist()]
+            got = [bag(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at.astype("<u2").tobytes() for at, _ in got], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in got], pa.binary())], ["id", "y", "at", "n"])
 
     rows = d.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, at binary, n binary").collect()
@@ -132,33 +150,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return train(bags, np.array([r["y"] for r in rows[: 2 * sample]]))
 
 
-class _Scorer(Words):
-    """Sums each word's vectors once; a document is a gather over its words."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        super().__init__(None)
-        self.reset()
-
-    def reset(self) -> None:
-        self.table, self.counts = np.empty((1 << 14, DIM), np.float32), np.empty(1 << 14, np.int64)
-        self.make = self._make
-
-    def _make(self, word: bytes) -> None:
-        at, n = word_features(word), len(self.rows)
-        if n == len(self.table):
-            self.table, self.counts = np.concatenate([self.table, np.empty_like(self.table)]), np.concatenate([self.counts, np.empty_like(self.counts)])
-        self.table[n], self.counts[n] = self.model.vectors[at].sum(axis=0), len(at)
-
-    def score(self, text: str | None) -> float:
-        ids = self.ids(text)
-        if not len(ids):
-            return self.model.score(np.zeros(DIM, np.float32))
-        same = int((ids[1:] == ids[:-1]).sum())
-        total = self.table[ids].sum(axis=0, dtype=np.float64) + same * self.model.vectors[_SAME]
-        return self.model.score(total / (self.counts[ids].sum() + same))
-
-
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``held_out``, ``score`` (0 to 1) and ``predicted``.
 
@@ -168,9 +159,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     kind = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(sent.value)
+        rate = sent.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py()) for t in b.column(1)], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rate(t.as_py()) for t in b.column(1)], pa.float64())], ["id", "score"])
 
     out = d.mapInArrow(run, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

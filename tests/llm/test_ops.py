@@ -439,12 +439,27 @@ def test_classifier_edges(spark):
     assert quality_classifier.score(docs_frame(spark, []), none).count() == 0
 
 
-def test_scores_equal_those_of_a_single_bag():
-    words = quality_classifier.Words(quality_classifier.word_features)
-    bags = [quality_classifier.bag(t, words) for t in ("a b b c", "D E!! F", "a c", "E!! E!!")] * 20
+def test_scores_equal_those_of_a_single_bag(monkeypatch):
+    bags = [quality_classifier.bag(t) for t in ("a b b c", "D E!! F", "a c", "E!! E!!")] * 20
     model = quality_classifier.train(bags, np.array([1, 0, 1, 0] * 20))
-    scorer = quality_classifier._Scorer(model)
-    for t in ("a b b c", "E!! x", "zz zz zz"):
-        at, n = quality_classifier.bag(t, words)
-        assert abs(scorer.score(t) - model.score((n / n.sum()) @ model.vectors[at])) < 1e-6
-    assert scorer.score("a b c") > 0.7 > scorer.score("E!! F")
+    rate = model.scorer()
+    texts = ("a b b c", "E!! x", "zz zz zz", "one two two three " * 50)
+    for t in texts:
+        at, n = quality_classifier.bag(t)
+        z = (n / n.sum()) @ model.vectors[at] @ model.weights + model.bias
+        assert abs(rate(t) - 1 / (1 + np.exp(z[0] - z[1]))) < 1e-6
+    assert rate("a b c") > 0.7 > rate("E!! F")
+    whole = [quality_classifier.bag(t) for t in texts]
+    monkeypatch.setattr(quality_classifier, "BLOCK", 7)
+    for t, (at, n) in zip(texts, whole):
+        got = quality_classifier.bag(t)
+        assert np.array_equal(at, got[0]) and np.array_equal(n, got[1])
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "a", "a a a  b\n", " x \x1c y", "h\u00e9llo w\u00f6rld " * 3, "x" * 400 + " y y", "\ud800 z"])
+def test_buckets_are_words_grams_and_repeats(text):
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    grams = [f"<{w.decode('utf-8', 'surrogatepass')}>"[i : i + n] for w in words for n in (3, 4, 5) for i in range(len(w.decode("utf-8", "surrogatepass")) + 3 - n)]
+    got = [b for part in quality_classifier.buckets_of(text) for b in part.tolist()]
+    assert len(got) == len(words) + len(grams) + sum(x == y for x, y in zip(words, words[1:]))
+    assert len(set(got)) <= len(set(words)) + len(set(grams)) + 1
