@@ -54,7 +54,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, share: float = 1.0, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, share: float = 1.0, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, ``size`` (words), ``source``, ``source_size``, ``target`` (the source's) and ``taken`` (words).
 
     Sources get the corpus's blocks of ``block_words`` words by Sainte-Lague on their targets, their shards get those by
@@ -62,8 +62,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
     q // n times and a seeded choice of q % n blocks once more. So a document is taken at most ``most`` times and a long one
     may be taken in part. Shards keep a large source apart; their number follows the words. Weights go to the sources by
     code point, null last, repeating. A null or empty text has size 0 and is never taken; repeated rows are documents of their own.
+    ``row_col``, a key of the row, is passed on and breaks ties between rows of equal id and size.
     """
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    row = ["__row"] if row_col else []
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), *[F.col(f"`{row_col}`").alias(r) for r in row])
     d = materialize(d.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))), "sizes")
     total, n_sources = d.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct(F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("n")))).first()
     shards = max(1, -(-total // shard_words))
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
     # A shard's words are cut into equal blocks, so their size differs from ``block_words`` by a share of one block: block i ends before word (i + 1) * t div n.
     n = F.greatest(F.lit(1), F.round(F.col("held") / block_words)).cast("long")
     part = part.select(F.col("sid").alias("__i"), F.col("shard").alias("__j"), F.col("held").cast("long").alias("t"), n.alias("n"), F.least(F.col("quota"), n * most).alias("q"))
-    at = Window.partitionBy("sid", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    at = Window.partitionBy("sid", "shard").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     x = same(d).withColumn("end", F.sum("size").over(at)).withColumn("begin", F.col("end") - F.col("size"))
     x = x.join(F.broadcast(part) if n_sources * shards <= SMALL else part, (F.col("sid") == F.col("__i")) & (F.col("shard") == F.col("__j")))
     again = F.expr(f"""
@@ -87,4 +89,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
             CASE WHEN pmod(b * {STRIDE}L + sid * 7919L + shard + {seed}L, n) < q % n
             THEN least(end, (b + 1) * t div n) - greatest(begin, b * t div n) ELSE 0L END) ELSE 0L END""")
     taken = F.when(F.col("size") > 0, F.col("size") * F.expr("q div n") + again).otherwise(F.lit(0)).cast("long")
-    return x.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"))
+    return x.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *[F.col(r).alias(row_col) for r in row])

@@ -8,38 +8,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.llm import byte_bpe, mix_sources, near_dup, quality_classifier, quality_rules
-from barspark.llm.common import scratch_root, table
+from barspark.llm.common import materialize, scratch_root, table
 from barspark.llm.queries import CONFIDENCE, RISK, bpe_digests, tokenizer_file
 
 #: Cutoffs, labels and the mix go beyond what SQL can express.
 ORACLE_SQL = None
 
 
-def _where(docs: DataFrame, verdict: DataFrame, keep) -> DataFrame:
-    """The documents whose id the verdict keeps, once per row that ``docs`` has."""
-    ids = verdict.where(keep).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+#: A row's own key within a stage: ids may repeat or be null.
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ROW``, written to the scratch folder so that every later read finds the same keys."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _where(keyed: DataFrame, verdict: DataFrame, keep) -> DataFrame:
+    """The rows whose key the verdict keeps, without the key."""
+    return keyed.join(verdict.where(keep).select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where(docs, quality_rules.judge(docs, table(spark, sf_dir, "labels"), RISK, 1 - CONFIDENCE), F.col("kept"))
+    keyed = _keyed(docs)
+    labels = keyed.select(ROW, "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select(F.col(ROW).alias("doc_id"), "quality")
+    return _where(keyed, quality_rules.judge(keyed, labels, RISK, 1 - CONFIDENCE, id_col=ROW), F.col("kept"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return _where(docs, quality_classifier.score(docs, model), F.col("predicted") == 1)
+    keyed = _keyed(docs)
+    return _where(keyed, quality_classifier.score(keyed, model, id_col=ROW), F.col("predicted") == 1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where(docs, near_dup.near_duplicates(docs), F.col("kept")).dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicate texts: that with the smallest id, null last."""
+    keyed = _keyed(docs)
+    groups = near_dup.near_duplicates(keyed, id_col=ROW).select(ROW, "component_id").join(keyed.select(ROW, "doc_id"), ROW)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW))
+    return _where(keyed, first, F.lit(True))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole copies, and one more by a seeded draw for the part beyond them."""
-    m = mix_sources.mix(docs)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    times = m.where("taken > 0").select(F.col("doc_id").alias("__id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("__times"))
-    out = docs.join(times.where("__times > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    keyed = _keyed(docs)
+    m = mix_sources.mix(keyed, row_col=ROW).where("taken > 0").select(ROW, (F.col("taken") / F.col("size")).alias("__part"))
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
+    out = keyed.join(m, ROW).withColumn("__times", F.floor(F.col("__part") + draw).cast("int")).where("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -37,3 +37,44 @@ def test_every_stage_acts_on_what_the_one_before_kept(spark):
 def test_run_is_the_stages_in_turn(spark):
     assert len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+WORDS = "river stone market window garden letter bridge winter copper island planet orchard".split()
+
+
+def plain(seed, n=80):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + "abcdefghij"[rng.randrange(10)] for _ in range(n))
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+
+
+def test_near_duplicates_drop_by_text_not_by_id(spark):
+    a, b, c, d, e = (plain(k) for k in range(5))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (9, e), (8, e), (None, e), (None, None), (None, "")]
+    got = corpus_pipeline.near_duplicates(spark, documents(spark, rows), SF).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in [(None, a), (None, b), (7, c), (7, d), (8, e), (None, None), (None, "")])
+
+
+def test_rejections_take_effect_row_by_row(spark, monkeypatch):
+    good, short = plain(1), "too short"
+    rows = [(-1, good), (-1, short), (None, good), (None, short), (None, short)]
+    got = corpus_pipeline.rules(spark, documents(spark, rows), SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("-1", good), ("None", good)]
+    bags = [quality_classifier.bag(t) for t in (good, short)] * 60
+    model = quality_classifier.train(bags, __import__("numpy").array([1, 0] * 60))
+    monkeypatch.setattr(quality_classifier, "fit", lambda *a, **b: model)
+    got = corpus_pipeline.classifier(spark, documents(spark, rows), SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("-1", good), ("None", good)]
+
+
+def test_mixing_takes_each_row_at_most_three_times(spark):
+    from collections import Counter
+
+    rows = [(7, plain(k)) for k in range(20)] + [(None, plain(k)) for k in range(20, 40)]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, documents(spark, rows), SF).collect())
+    assert set(got) <= set(rows) and max(got.values()) <= 3 and 30 <= sum(got.values()) <= 50
