@@ -131,12 +131,13 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model of ``label_col`` (0 or 1) from up to ``sample`` labelled rows that aren't held out.
+    """A model of ``label_col`` (0 or 1) from up to ``sample`` labelled ids that aren't held out, drawn among those that have a document.
 
     The sampled ids, a bounded table, are broadcast to the documents; what returns to the driver is their bags of buckets."""
     y = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
-    y = y.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(y), "id")
+    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    y = y.groupBy("id").agg(F.min("y").alias("y")).join(d.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    d = d.join(F.broadcast(y), "id")
     kind = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    """Learns from the whole table, which holds both labels; scores what the rules kept."""
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     keyed = _keyed(docs)
     return _where(keyed, quality_classifier.score(keyed, model, id_col=ROW), F.col("predicted") == 1)
 

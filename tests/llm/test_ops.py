@@ -463,3 +463,12 @@ def test_buckets_are_words_grams_and_repeats(text):
     got = [b for part in quality_classifier.buckets_of(text) for b in part.tolist()]
     assert len(got) == len(words) + len(grams) + sum(x == y for x, y in zip(words, words[1:]))
     assert len(set(got)) <= len(set(words)) + len(set(grams)) + 1
+
+
+def test_sample_is_drawn_among_labelled_documents(spark, monkeypatch):
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    have, seen = ids[::50], []
+    monkeypatch.setattr(quality_classifier, "train", lambda bags, y: seen.append(y.tolist()))
+    quality_classifier.fit(docs_frame(spark, ["some words"] * len(have), have), labels, sample=40)
+    assert len(seen[0]) == 40 and set(seen[0]) == {0, 1}

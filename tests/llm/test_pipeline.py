@@ -78,3 +78,12 @@ def test_mixing_takes_each_row_at_most_three_times(spark):
     rows = [(7, plain(k)) for k in range(20)] + [(None, plain(k)) for k in range(20, 40)]
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, documents(spark, rows), SF).collect())
     assert set(got) <= set(rows) and max(got.values()) <= 3 and 30 <= sum(got.values()) <= 50
+
+
+def test_classifier_learns_from_the_whole_table(spark, monkeypatch):
+    seen, fit = [], quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda docs, labels: seen.append(docs.count()) or fit(docs, labels))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bad = "Click here!!! $$$ FREE FREE FREE ### " * 40
+    stage = corpus_pipeline.classifier(spark, documents(spark, [(-1, bad)]).unionByName(docs.limit(5).select("doc_id", "text", "lang", "source")), SF)
+    assert stage.count() <= 6 and seen == [docs.count()]
