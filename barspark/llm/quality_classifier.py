@@ -133,11 +133,12 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model of ``label_col`` (0 or 1) from up to ``sample`` labelled ids that aren't held out, drawn among those that have a document.
 
-    The sampled ids, a bounded table, are broadcast to the documents; what returns to the driver is their bags of buckets."""
+    The sampled ids, a bounded table, are broadcast to the documents; what returns to the driver is their bags of buckets. An id that several
+    rows carry gives one of them, that of the smallest hash of its text, so rows are bounded as ids are."""
     y = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     y = y.groupBy("id").agg(F.min("y").alias("y")).join(d.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
-    d = d.join(F.broadcast(y), "id")
+    d = d.join(F.broadcast(y), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at.astype("<u2").tobytes() for at, _ in got], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in got], pa.binary())], ["id", "y", "at", "n"])
 
     rows = d.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, at binary, n binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["at"]), bytes(r["n"])))
-    bags = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u2").astype(np.float32)) for r in rows[: 2 * sample]]
-    return train(bags, np.array([r["y"] for r in rows[: 2 * sample]]))
+    rows.sort(key=lambda r: r["id"])
+    bags = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u2").astype(np.float32)) for r in rows]
+    return train(bags, np.array([r["y"] for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -472,3 +472,14 @@ def test_sample_is_drawn_among_labelled_documents(spark, monkeypatch):
     monkeypatch.setattr(quality_classifier, "train", lambda bags, y: seen.append(y.tolist()))
     quality_classifier.fit(docs_frame(spark, ["some words"] * len(have), have), labels, sample=40)
     assert len(seen[0]) == 40 and set(seen[0]) == {0, 1}
+
+
+def test_a_hot_id_takes_one_place_in_the_sample(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda bags, y: seen.append((len(bags), y.tolist())))
+    d = docs_frame(spark, [f"word{k} text" for k in range(300)] + ["other words"] * len(ids), [ids[0]] * 300 + ids)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    for n in (len(ids), 2):
+        quality_classifier.fit(d, labels, sample=n)
+    assert seen[0] == (len(ids), [i % 2 for i in ids]) and seen[1][0] == 2
