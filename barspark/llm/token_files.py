@@ -8,6 +8,7 @@ of one document after the other, little-endian, ``width`` bytes each.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import zlib
@@ -108,14 +109,27 @@ def _tokenizer(path: str):
 
 
 class ChunkEncoder(dict):
-    """The library's ids by chunk of text, as raw little-endian bytes, in a bounded memory: words repeat, and the library reads each one once."""
+    """The library's ids by chunk of text, as raw little-endian bytes, in a bounded memory: words repeat, and the library reads each one once.
+
+    The library finds its added tokens before anything else, so texts are cut at them first; where one of them reaches beyond its own
+    characters (``lstrip``, ``rstrip``, ``single_word``), a text that holds any goes to the library whole."""
 
     def __init__(self, tokenizer, width: int):
         self.t, self.kind = tokenizer, {2: "H", 4: "I"}[width]
+        added = tokenizer.get_added_tokens_decoder().values()
+        self.added = sorted((x.content for x in added if x.content), key=len, reverse=True)
+        self.cut = None if any(x.lstrip or x.rstrip or x.single_word for x in added) else re.compile(f"({'|'.join(map(re.escape, self.added))})")
+
+    def chunks(self, text: str) -> list[str]:
+        if not any(map(text.__contains__, self.added)):
+            return CHUNK.findall(text)
+        if self.cut is None:
+            return [text]
+        return [c for i, part in enumerate(self.cut.split(text)) for c in ([part] if i % 2 else CHUNK.findall(part))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         make_room(self, REMEMBERED)
-        chunks = [CHUNK.findall(t) for t in texts]
+        chunks = list(map(self.chunks, texts))
         parts = [list(map(self.get, cs)) for cs in chunks]
         gaps = [[i for i, p in enumerate(ps) if p is None] if None in ps else () for ps in parts]
         new = list({cs[i] for cs, at in zip(chunks, gaps, strict=True) for i in at})
@@ -137,7 +151,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     """Encodes every text with the ``tokenizers`` file ``tokenizer`` (no special tokens added, ``end_id`` after each document) and writes
     the shards to ``path`` in ascending order of the id, nulls first.
 
-    ``by_chunk``: the tokenizer cuts at white space as byte-level BPE does, so words can be encoded once each; else whole texts go to the
+    ``by_chunk``: the tokenizer cuts at white space as byte-level BPE does, so words can be encoded once each between added tokens; else whole texts go to the
     library. Null texts are empty and hold the end id alone. Rows of one id are told apart by their place among
     them, in the order of their texts' hash; ids are cast to long; further columns are ignored.
     """

@@ -483,3 +483,17 @@ def test_a_hot_id_takes_one_place_in_the_sample(spark, monkeypatch):
     for n in (len(ids), 2):
         quality_classifier.fit(d, labels, sample=n)
     assert seen[0] == (len(ids), [i % 2 for i in ids]) and seen[1][0] == 2
+
+
+@pytest.mark.parametrize("strip", [False, True])
+def test_chunks_stop_at_added_tokens(strip):
+    from tokenizers import AddedToken, Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    lib.add_special_tokens([AddedToken("<|end|>", lstrip=strip, rstrip=strip), AddedToken("<|end|>of")])
+    rng = random.Random(4)
+    texts = ["a\n\n<|endoftext|>b", "\n\n<|endoftext|>", "<|endoftext|><|endoftext|>  x", "x  <|end|>of  y", "a \n<|end|> \n b", "<|endoftext|"]
+    texts += ["".join(rng.choices(["<|endoftext|>", "<|end|>", "\n", " ", "a", "of", "it's", "\t"], k=30)) for _ in range(300)]
+    encoder = token_files.ChunkEncoder(lib, 4)
+    for t, got in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
