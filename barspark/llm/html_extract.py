@@ -14,34 +14,64 @@ from .common import materialize
 from .url_filter import url_parts
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, each with its whole value, so that no name is found within a value or another name.
+_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)))?""")
 RAW = frozenset("script style noscript template textarea svg math iframe object audio video canvas title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
 BLOCKS = CONTAINERS | frozenset("html head p ul ol li dl dt dd table thead tbody tfoot tr th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption header footer nav aside form fieldset address details summary hgroup menu dialog search".split())
 CHROME = frozenset("head nav aside footer form menu dialog search button select".split())
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that mark what is not the article, if the name has no others but those of its place or form.
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo promotion related replies reply search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
+PLACE_WORDS = frozenset("area article articles bar block bottom box button buttons col column container count desktop entry field fields first fixed form g global head header icon icons inner item items js large last left link links list main mega mini mobile module my outer page panel post posts primary region right row secondary section side signup site slot small sticky sub thread toggle top unit upper user view widget widgets wrap wrapper zone".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
+#: A host's path gives way to the page's own best container if it holds less than this share of the page's unlinked text, and the
+#: latter this many characters: a paragraph that isn't chance.
+LITTLE, PARAGRAPH = 1 / 20, 200
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """The attributes of a start tag by lower-cased name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *value in _ATTR.findall(tag):
+        out.setdefault(name.lower(), "".join(value))
+    return out
+
+
+def is_chrome(name: str) -> bool:
+    """Whether one class, id or role names what is not the article: 'site-footer' does, 'has-sidebar' or 'social-policy' doesn't."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return bool(words & CHROME_WORDS) and words <= CHROME_WORDS | PLACE_WORDS
+
+
+def _worth(text: str, linked: int) -> int:
+    return max(0, len(text) - 2 * linked)
 
 
 class Page:
     """The page's blocks of clean text, each with the containers around it.
 
     ``blocks``: (container numbers, text, characters in links); ``paths``: each container's generalised path, numbers
-    in classes as ``#``; ``weight``: how much its kind looks like an article."""
+    in classes as ``#``, None if it is hidden; ``weight``: how much its kind looks like an article.
+
+    Blocks that are chrome by name alone, and forms, are doubtful: they are hidden unless they hold most of the page's unlinked text (see ``_settle``)."""
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[tuple[int, ...], str, int]] = []
-        self.paths: list[str] = ["body"]
+        self.paths: list[str | None] = ["body"]
         self.weight: list[float] = [0.5]
         self._read(html or "")
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container number or -1, hidden from here on
+        stack: list[tuple[str, int, bool, int]] = []  # tag, container number or -1, hidden from here on, doubtful block's number or -1
         inside: tuple[int, ...] = (0,)
+        within: tuple[int, ...] = ()  # the doubtful blocks that are open
+        above: list[tuple[int, ...]] = []  # those around each doubtful block
+        around: list[tuple[int, ...]] = [()]  # those around each container
+        content: set[int] = set()  # containers that say they are the content
+        held: list[tuple[int, ...]] = []  # those around each block of text
         text: list[str] = []
         linked = links = hidden = semantic = at = 0
 
@@ -50,9 +80,21 @@ class Page:
             if text:
                 if line := " ".join("".join(text).split()):
                     self.blocks.append((inside, line, linked))
+                    held.append(within)
                 text.clear()
                 linked = 0
 
+        def close() -> str:
+            nonlocal hidden, semantic, inside, within
+            t, number, off, doubt = stack.pop()
+            hidden -= off
+            semantic -= t in ("article", "main")
+            if number >= 0:
+                inside = inside[:-1]
+            if doubt >= 0:
+                within = within[:-1]
+            return t
+
         while m := _TOKEN.match(html, at):
             at = m.end()
             if (words := m[7]) is not None:
@@ -82,39 +124,62 @@ class Page:
                 continue
             flush()
             if not closing:
-                a = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(rest)} if rest else {}
+                a = attributes(rest) if rest else {}
                 words = {w.lower() for k in ("class", "id", "role") if k in a for w in _WORDS.findall(a[k])}
-                off = tag in CHROME or tag == "header" and not semantic or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None or bool(words & CHROME_WORDS) and tag not in ("html", "body", "article", "main")
-                number = -1
+                off = tag in CHROME and tag != "form" or tag == "header" and not semantic or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
+                number = doubt = -1
+                if tag == "p" and stack and stack[-1][0] == "p":
+                    close()
+                if not hidden and not off and (tag == "form" or bool(words & CHROME_WORDS) and tag not in ("html", "body", "article", "main") and any(map(is_chrome, f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split()))):
+                    doubt = len(above)
+                    above.append(within)
+                    within += (doubt,)
                 if tag in CONTAINERS and tag != "body" and not hidden and not off:
                     number = len(self.paths)
                     named = ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in a.get("class", "").split())])
                     self.paths.append(f"{self.paths[inside[-1]]}>{named}")
                     self.weight.append({"article": 1.5, "main": 1.4}.get(tag, 1.3 if words & CONTENT_WORDS else 1.0))
                     inside += (number,)
-                if tag == "p" and stack and stack[-1][0] == "p":
-                    stack.pop()
-                stack.append((tag, number, off))
+                    around.append(within)
+                    if tag in ("article", "main") or words & CONTENT_WORDS and doubt < 0:
+                        content.add(number)
+                stack.append((tag, number, off, doubt))
                 hidden += off
                 semantic += tag in ("article", "main")
-            elif any(t == tag for t, _, _ in stack):
-                while stack:
-                    t, number, off = stack.pop()
-                    hidden -= off
-                    semantic -= t in ("article", "main")
-                    if number >= 0:
-                        inside = inside[:-1]
-                    if t == tag:
-                        break
+            elif any(s[0] == tag for s in stack):
+                while close() != tag:
+                    pass
                 links = 0
         flush()
+        if above:
+            self._settle(above, around, content, held)
+
+    def _settle(self, above: list[tuple[int, ...]], around: list[tuple[int, ...]], content: set[int], held: list[tuple[int, ...]]) -> None:
+        """Hides the doubtful blocks, but for those with most of the page's unlinked text, if what stands in containers that
+        say they are the content, outside the block and all other doubt, is less than a tenth of that."""
+        worth = [_worth(text, linked) for _, text, linked in self.blocks]
+        of = [0] * len(above)
+        for w, doubts in zip(worth, held, strict=True):
+            for d in doubts:
+                of[d] += w
+        gone = set()
+        for d, over in enumerate(above):
+            shown = 2 * of[d] > sum(worth)
+            if shown:
+                rest = sum(w for w, doubts, (inside, _, _) in zip(worth, held, self.blocks, strict=True) if over[: len(doubts)] == doubts and not content.isdisjoint(inside))
+                shown = 10 * rest < of[d]
+            if not shown:
+                gone.add(d)
+        if gone:
+            self.blocks = [b for b, doubts in zip(self.blocks, held, strict=True) if gone.isdisjoint(doubts)]
+            self.paths = [p if gone.isdisjoint(doubts) else None for p, doubts in zip(self.paths, around, strict=True)]
 
     def votes(self, most: int = 3) -> list[tuple[str, int]]:
         """The best container paths, each with its score in thousandths: its share of unlinked text by the weight of its kind."""
         score: dict[int, float] = {}
         total = 0.0
         for inside, text, linked in self.blocks:
-            worth = max(0, len(text) - 2 * linked)
+            worth = _worth(text, linked)
             total += worth
             for c in inside:
                 score[c] = score.get(c, 0.0) + worth
@@ -128,10 +193,13 @@ class Page:
         return [(p, round(1000 * s)) for p, s in best]
 
     def text(self, path: str | None) -> str:
-        """The blocks within the containers at ``path``; without such a container, within the page's own best one."""
-        wanted = {i for i, p in enumerate(self.paths) if p == path}
-        if not wanted and (own := self.votes(1)):
-            wanted = {i for i, p in enumerate(self.paths) if p == own[0][0]}
+        """The blocks within the containers at ``path``; without such a container, or if it holds too little, within the page's own best one."""
+        wanted = {i for i, p in enumerate(self.paths) if p == path and p is not None}
+        held = lambda some: sum(_worth(t, linked) for inside, t, linked in self.blocks if some.intersection(inside))
+        if (not wanted or held(wanted) < LITTLE * held({0})) and (own := self.votes(1)):
+            best = {i for i, p in enumerate(self.paths) if p == own[0][0]}
+            if not wanted or held(best) >= PARAGRAPH:
+                wanted = best
         return "\n".join(t for inside, t, _ in self.blocks if not wanted or wanted.intersection(inside))
 
 
@@ -156,7 +224,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of ``pages``: its id, url, main ``text`` and ``n_chars`` (code points).
 
     The text holds the blocks of the host's winning container, without menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts and comments. Null or empty html, and pages without text, give an empty text; a null or malformed url belongs to the host
+    forms, scripts and comments; a block that is one of these by name only, or a form, stays if it holds most of the page's unlinked text. Null or empty html, and pages without text, give an empty text; a null or malformed url belongs to the host
     ''; repeated rows repeat; further columns are ignored. Up to ``small`` winning paths are broadcast; more are joined by host.
     """
     paths = materialize(host_paths(pages, url_col, html_col), "host-paths").withColumnRenamed("host", "__host")

@@ -497,3 +497,43 @@ def test_chunks_stop_at_added_tokens(strip):
     encoder = token_files.ChunkEncoder(lib, 4)
     for t, got in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+MAIN = "<p>" + "The main text of this page goes on and on. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content has-sidebar'>{MAIN}</div>",
+        f"<div class='no-comments'>{MAIN}</div><div>x</div>",
+        f"<div class='entry-with-ads'>{MAIN}</div>",
+        f"<section class=social-policy><p>Short.</p></section><div>{MAIN}</div>",
+        f"<form action=x><nav>no</nav><div id=content>{MAIN}</div></form>",
+        f"<main><h1>Head</h1><form>{MAIN}</form></main>",
+        f"<div class=content-sidebar-wrap><div class=sidebar>no</div><div class=post>{MAIN}</div></div>",
+        f"<div class=sidebar-wrapper><div class=box>{MAIN}</div></div>",
+        f"<blockquote cite='https://x.org/hidden/1'>{MAIN}</blockquote>",
+        f"<div title='A hidden gem'>{MAIN}</div>",
+        f"<div data-hidden='false' data-class=\"menu\">{MAIN}</div>",
+        f"<div title=hidden>{MAIN}</div>",
+        f"<p class=advert>no<p>{MAIN}",
+    ],
+)
+def test_main_text_is_not_hidden_by_a_name(page):
+    p = html_extract.Page(f"<html><body>{page}</body></html>")
+    got = p.text(p.votes(1)[0][0])
+    assert "The main text of this page goes on" in got and not re.search(r"\bno\b", got)
+
+
+def test_chrome_stays_hidden():
+    junk = "".join(f"<{t}>no</{t.split()[0]}>" for t in ("div class=site-footer", "div id=cookie-notice", "div class='x main-nav'", "div role=search", "div hidden", "p style='display: none'", "div class=\"a\" aria-hidden=true", "form", "div class=related-posts"))
+    p = html_extract.Page(f"<body><div class=post>{MAIN}</div><div class=comments>{MAIN.replace('main', 'no') * 3}</div>{junk}")
+    assert "no" not in p.text(None).split() and p.text(None).startswith("The main text")
+
+
+def test_a_page_whose_host_path_is_empty_gives_its_own(spark):
+    usual = f"<div class=a>{MAIN}</div>"
+    rows = [(i, "http://h/", usual) for i in range(5)] + [(9, "http://h/", f"<div class=a>tiny</div><div class=b>{MAIN}</div>"), (10, "http://h/", "<div class=a>tiny</div><div class=b>also tiny, more</div>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9].startswith("The main text") and got[10] == "tiny"
