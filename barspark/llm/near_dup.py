@@ -3,232 +3,371 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+from .text_bytes import LOWER_WORDS, column_bytes, mixed, parts, word_hashes
 
 #: 32 bands of 4 minima: a pair at similarity 0.75 shares no band with a chance of (1 - 0.75**4)**32, or 5e-6.
 BANDS, ROWS = 32, 4
-#: Members of a mixed band bucket are compared in square blocks of so many signatures a side.
-BLOCK = 512
+#: Groups of documents are compared in square blocks of so many documents a side, fewer if their sets are long.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: A table of so many ids at most (some 40 bytes each in memory) is broadcast; a larger one is joined by a shuffle.
+SMALL = 400_000
+#: Keys with more than a 1/1000 of the rows are joined by a broadcast, which then has at most 1000 of them for each row's keys.
+HOT = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = mixed(np.arange(1, 65, dtype=np.uint64) * _MIX) | np.uint64(1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None, width: int = 5, memo: dict | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles: ``width`` words each, ASCII letters lower-cased.
-
-    Fewer words give one shingle of them all; a null text or one without words gives none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if memo is None:
-        memo = {}
-    elif len(memo) > 400_000:
-        memo.clear()
-    get, new = memo.get, xxhash.xxh3_64_intdigest
-    ids = np.empty(len(words), np.uint64)
-    found = [get(w) for w in words]
-    if None in found:
-        for i, h in enumerate(found):
-            if h is None:
-                found[i] = memo[words[i]] = new(words[i])
-    ids[:] = found
-    k = min(width, len(words))
-    n = len(words) - k + 1
-    h = np.full(n, k, np.uint64) * _MIX
-    for j in range(k):
-        h = _mixed(h * np.uint64(31) + ids[j : j + n] + _MIX)
-    return np.unique(h)
+def shingle_sets(x: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
+    """Each text's sorted distinct 64-bit shingle hashes: ``width`` words each, ASCII letters lower-cased.
+
+    Fewer words give one shingle of them all; a text without words has none."""
+    words, at = word_hashes(x, ends, LOWER_WORDS)
+    n = len(words) - width + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for j in range(width if n > 0 else 0):
+        h += words[j : j + n] * _STEPS[j]
+    h, out = mixed(h), []
+    for i, k in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if k - i >= width:
+            out.append(np.unique(h[i : k - width + 1]))
+        elif k > i:
+            out.append(mixed((words[i:k] * _STEPS[: k - i]).sum(keepdims=True) + np.uint64(k - i) * _MIX))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def _coefficients(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
+    return rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minima of multiply-shift universal hashes of a set, 32 bits each; long sets go through in blocks."""
+    """Minima of universal hashes ``a x + b`` of a set, modulo 2**32; long sets go through in blocks."""
     best = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(shingles), 4096):
-        h = ((shingles[i : i + 4096, None] * a + b) >> np.uint64(32)).astype(np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 2048):
+        h = x[i : i + 2048, None] * a
+        h += b
         np.minimum(best, h.min(axis=0), out=best)
     return best
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _sign(width: int, bands: int, rows: int, seed: int):
     a, b = _coefficients(bands * rows, seed)
     salt = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _MIX
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         for batch in batches:
-            n, same, sig, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width, memo)
-                n.append(len(s))
-                if not len(s):
-                    same.append(None), sig.append(None), keys.append(None)
-                    continue
-                m = signature(s, a, b)
-                h = salt.copy()
-                for j in range(rows):
-                    h = _mixed(h + m.reshape(bands, rows)[:, j].astype(np.uint64) * _MIX)
-                same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sig.append(m.tobytes())
-                keys.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "same", "sig", "keys"])
+            data, ends = column_bytes(batch.column(1))
+            for i, j in parts(ends):
+                sets = shingle_sets(data, ends[i : j + 1], width)
+                sigs = np.stack([signature(s, a, b) for s in sets])
+                h = np.repeat(salt[None, :], len(sets), axis=0)
+                for r in range(rows):
+                    h = mixed(h + sigs.reshape(-1, bands, rows)[:, :, r].astype(np.uint64) * _MIX)
+                full = [len(s) > 0 for s in sets]
+                pick = lambda values: pa.array([v if ok else None for v, ok in zip(values, full, strict=True)])  # noqa: B023, E731
+                keys = pa.array([k if ok else None for k, ok in zip(h.view(np.int64), full, strict=True)], pa.list_(pa.int64()))
+                n = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), n, pick(map(_digest, sets)).cast(pa.binary()), pick(x.tobytes() for x in sigs).cast(pa.binary()), keys], ["id", "n_shingles", "same", "sig", "keys"])
 
     return run
 
 
-def _linked(bits: int, share: tuple[int, int]):
-    """Keeps the pairs whose full sets have ``share[1] * intersection >= share[0] * union``."""
+def _sets(width: int, most: int = 1 << 23):
+    """Each row's set in the place of its text, in batches of bounded size."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            good = []
-            for x, y in zip(f.x, f.y, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(share[1] * both >= share[0] * (len(x) + len(y) - both))
-            yield f.loc[good, ["a", "b"]] if len(f) else f[["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = column_bytes(batch.column(1))
+            for i, j in parts(ends, most >> 4):
+                sets = [s.tobytes() for s in shingle_sets(data, ends[i : j + 1], width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary()), *[c.slice(i, j - i) for c in batch.columns[2:]]], ["id", "held", *batch.schema.names[2:]])
 
     return run
 
 
-def _sets(width: int):
+def _sets_alike(share: tuple[int, int]) -> Callable[[bytes, bytes], bool]:
+    def alike(x: bytes, y: bytes) -> bool:
+        m, n = len(x) // 8, len(y) // 8
+        if share[1] * min(m, n) < share[0] * max(m, n):
+            return False
+        both = m + n - len(np.union1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+        return share[1] * both >= share[0] * (m + n - both)
+
+    return alike
+
+
+def _signatures_alike(least: int) -> Callable[[bytes, bytes], bool]:
+    return lambda x, y: int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= least
+
+
+def _against_heads(alike: Callable[[bytes, bytes], bool]):
+    """Streams sorted rows ``(a, salt, member, id, held)``: a star's head comes first, then its members; yields the stars' true links.
+
+    What is kept is one head (one set for each text of its id), never the members."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        now, heads = None, []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "s"])
+            a, b = [], []
+            for star, salt, member, i, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (star, salt) != now:
+                    now, heads = (star, salt), []
+                if not member:
+                    if held not in heads:
+                        heads.append(held)
+                elif any(alike(h, held) for h in heads):
+                    a.append(star), b.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _alike(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of signatures that agree in ``least`` places or more."""
-    at, to = [], []
-    for i in range(len(x)):
-        hit = np.flatnonzero((x[i] == y).sum(axis=1) >= least)
-        at.append(np.full(len(hit), i)), to.append(hit)
-    return (np.concatenate(at), np.concatenate(to)) if at else (np.empty(0, int), np.empty(0, int))
+def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places each signature of ``x`` agrees with each of ``y``, by the last 8 bits: never fewer than there are."""
+    x, y = x.astype(np.uint8).T.copy(), y.astype(np.uint8).T.copy()
+    out = np.zeros((x.shape[1], y.shape[1]), np.uint16)
+    for p, q in zip(x, y, strict=True):
+        out += p[:, None] == q[None, :]
+    return out
+
+
+def intersections(sets: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
+    """The exact sizes of the intersections of all pairs: products of the membership matrix, some columns at a time."""
+    n = len(sets)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    begin = np.flatnonzero(new)
+    times = np.diff(begin, append=len(flat))
+    shared = np.repeat(times > 1, times)
+    col = np.repeat(np.cumsum(times > 1) - 1, times)[shared]
+    row, out, k = row[shared], np.zeros((n, n), np.int64), max(1, cells // n)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, k):
+        i, j = np.searchsorted(col, [at, at + k])
+        m = np.zeros((n, int(col[j - 1]) - at + 1), np.float32)
+        m[row[i:j], col[i:j] - at] = 1
+        out += np.rint(m @ m.T).astype(np.int64)
+    return out
+
+
+def forest(alike: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span each component of a symmetric matrix: from its first row to every other, fewer than there are rows."""
+    left, a, b = alike.any(axis=1), [], []
+    while left.any():
+        first = int(np.argmax(left))
+        left[first] = False
+        todo, seen = np.array([first]), []
+        while len(todo):
+            todo = np.flatnonzero(alike[todo].any(axis=0) & left)
+            left[todo] = False
+            seen.append(todo)
+        b.append(ids[np.concatenate(seen)])
+        a.append(np.full(len(b[-1]), ids[first]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _by_block(link: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]], names: tuple[str, ...]):
+    """Streams sorted rows ``(group, i, j, ...)``, one block pair after the other, and yields what ``link`` makes of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
-def _in_block(least: int, share: float):
-    """Pairs of different components within one block pair of a bucket, by their signatures and set sizes."""
+        def edges() -> pa.RecordBatch:
+            cols = [c for c in zip(*held, strict=True)]
+            f = {k: list(chunk for c in v for chunk in c.to_pylist()) if k == "held" else np.concatenate([c.to_numpy(zero_copy_only=False) for c in v]) for k, v in zip(names, cols, strict=True)}
+            a, b = link(f)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        left, right = f[f.side == 0], f[f.side == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        sig = lambda g: np.frombuffer(b"".join(g.sig), np.uint32).reshape(len(g), -1)
-        i, j = _alike(sig(left), sig(right), least)
-        a, b, p, q = left.id.to_numpy()[i], right.id.to_numpy()[j], left.label.to_numpy()[i], right.label.to_numpy()[j]
-        m, n = left.n_shingles.to_numpy()[i], right.n_shingles.to_numpy()[j]
-        ok = (p != q) & (np.minimum(m, n) >= share * np.maximum(m, n))
-        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]}).drop_duplicates()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]])
+            cut = [0, *(np.flatnonzero((g[:, 1:] != g[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cut, cut[1:], strict=False):
+                if (key := tuple(g[:, i].tolist())) != now:
+                    if held:
+                        yield edges()
+                    now, held = key, []
+                held.append([c.slice(i, j - i) for c in batch.columns[1:]])
+        if held:
+            yield edges()
 
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _met(f: dict[str, np.ndarray]) -> np.ndarray:
+    """Which pairs of rows meet in this block pair: those of its two blocks, once each."""
+    i, j = f["i"][0], f["j"][0]
+    if i == j:
+        return np.ones((len(f["at"]), len(f["at"])), bool)
+    return f["at"][:, None] != f["at"][None, :]
+
+
+def _candidates(least: int, share: tuple[int, int]):
+    """Spans what may be alike across components, by signatures and set sizes."""
+
+    def link(f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(f["held"]), np.uint32).reshape(len(f["id"]), -1)
+        n, label = f["n"], f["label"]
+        ok = (agreements(sig, sig) >= least) & (label[:, None] != label[None, :]) & _met(f)
+        ok &= share[1] * np.minimum(n[:, None], n[None, :]) >= share[0] * np.maximum(n[:, None], n[None, :])
+        return forest(ok, f["id"])
+
+    return link
+
+
+def _links(share: tuple[int, int]):
+    """Spans what is alike across components, by full sets."""
+
+    def link(f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(s, np.uint64) for s in f["held"]]
+        n, label = np.array([len(s) for s in sets]), f["label"]
+        both = intersections(sets)
+        ok = (share[1] * both >= share[0] * (n[:, None] + n[None, :] - both)) & (label[:, None] != label[None, :]) & _met(f)
+        return forest(ok, label)
+
+    return link
+
+
+def _paired(blocks: str = "blocks", at: str = "at") -> Column:
+    """The block pairs ``(i, j)``, i at most j, that a row of block ``at`` takes part in."""
+    return F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda o: F.struct(F.least(o, F.col(at)).alias("i"), F.greatest(o, F.col(at)).alias("j")))
+
+
+def _few(small: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(small) if rows <= SMALL else small
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """``rows`` joined to ``small``, which has each key once and says in ``times`` how many rows carry it.
+
+    The keys of more than ``1 / HOT`` of ``total`` rows, so fewer than ``HOT``, are broadcast and spread no rows; the others are shuffled.
+    Few rows can't be many for one task, whatever their keys."""
+    if total <= 10_000:
+        return rows.join(small.drop(times), key)
+    most = max(256, total // HOT)
+    hot, cold = small.where(F.col(times) > most).drop(times), small.where(F.col(times) <= most).drop(times)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``(id, label)`` of every node in ``edges(a, b)``: the smallest id it can reach.
 
-    Alternates large-star and small-star until the edges stand still; minima come from partial aggregates and
-    equi-joins, so a hub is never one group in a task. Nodes without an edge have no row."""
+    Alternates large-star and small-star until the edges stand still, however many rounds that takes; minima come from partial aggregates, and
+    a hub's minimum is broadcast to its edges, so a hub is never one group in a task. Edges of earlier rounds are deleted. Nodes without an edge have no row."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
+        if now == mark or not now[0]:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("d"))
+        big = materialize(join_hot(both.where("v > u"), least, "u", "d", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = join_hot(big, least, "u", "d", now[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        after = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(e), discard(big)
+        e = after
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = (75, 100), bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles``, ``component_id`` and ``kept``.
 
-    Documents with equal shingle sets form a class and go on as their smallest id. Band buckets link every
-    member to the bucket's smallest id; a link counts once the full sets confirm it. Buckets that then still hold
-    several components are searched in whole, block against block, by signatures, across components only;
-    those candidates are confirmed likewise. So no bucket has a cap and none is expanded into all its pairs.
+    Documents with equal shingle sets form a class and go on as their smallest id. Band buckets link every member to the bucket's smallest id, its
+    head; members stream past their head, whose signature screens them and whose full set confirms the link. Buckets that then still hold several
+    components are compared block against block by signatures; what may be alike across components is spanned by a forest, whose
+    trees are groups that no true link leaves. Each group's full sets meet block against block, exactly, and again only a forest comes out.
+    So no bucket has a cap, none is expanded into its pairs, and links never outnumber documents by more than the number of blocks they meet.
 
     Null or word-less texts have 0 shingles and are linked with nothing. Rows that repeat an id count as one
     node; each gets its row. A null id gets a null component and is kept. Other columns are ignored.
     """
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = materialize(base.mapInArrow(_sign(width, bands, rows, seed), "id long, n_shingles long, same binary, sig binary, keys array<long>"), "signatures")
     named = signed.where("id is not null and same is not null")
-    classes = named.groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
-    several = classes.where("most > rep").select("same", "rep")
-    of_class = named.select("id", "same").join(several, "same").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    reps = named.join(classes.select("same", F.col("rep").alias("id")), ["same", "id"], "left_semi").dropDuplicates(["same"])
-    reps = materialize(reps.select("id", "n_shingles", "sig", "keys"), "classes")
+    total = named.count()
+    classes = named.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    several = materialize(classes.where("times > 1").select("same", "rep", "times"), "classes")
+    of_class = join_hot(named.select("id", "same"), several, "same", "times", total).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    # One row a class: those of single documents, and of the others the row of their smallest id.
+    twins = several.count()
+    reps = named.join(_few(several.select("same", "rep"), twins), "same", "left").where("rep is null or rep = id")
+    alone, twin = reps.where("rep is null"), reps.where("rep is not null")
+    reps = alone.unionByName(twin.dropDuplicates(["same"])) if twins else alone
+    if twins:
+        reps = materialize(reps.select("id", "n_shingles", "sig", "keys"), "reps")
+
     members = reps.select("id", F.explode("keys").alias("key"))
-    heads = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("z > a").select("key", "a")
-    stars = members.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-    least = int(np.ceil(bands * rows * (share[0] / share[1]) - 5.5 * np.sqrt(bands * rows * share[0] / share[1] * (1 - share[0] / share[1]))))
-    floor = share[0] / share[1]
-    text_of = base.where("id is not null")
-
-    def confirmed(pairs: DataFrame, screen: bool) -> DataFrame:
-        if screen:
-            side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-            wide = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") >= floor * F.greatest("na", "nb"))
-            pairs = wide.mapInPandas(_screened(least), "a long, b long")
-        pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = materialize(text_of.join(ids, "id", "left_semi").mapInArrow(_sets(width), "id long, s binary").distinct(), "sets")
-        wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-        return materialize(wide.select("a", "b", "x", "y").mapInPandas(_linked(64, share), "a long, b long").distinct(), "links")
-
-    links = confirmed(stars, True)
-    labels = components(links)
-    known = materialize(reps.join(labels, "id", "left").select("id", "n_shingles", F.coalesce("label", "id").alias("label"), "sig"), "labelled")
-    placed = reps.select("id", "keys").join(known.select("id", "label"), "id").select("id", "label", F.explode("keys").alias("key"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("hi > lo").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    # Signatures join only what lies in a mixed bucket.
-    held = members.join(mixed, "key").join(known, "id").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    # Block i meets block j >= i once; within a block, both sides hold all of its members.
-    dealt = held.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("other", F.explode(F.when(F.col("side") == 0, F.sequence("at", F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), "at"))))
-    dealt = dealt.select("key", "id", "label", "n_shingles", "sig", "side", F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("at")).alias("j"))
-    more = dealt.groupBy("key", "i", "j").applyInPandas(_in_block(least, floor), "a long, b long").distinct()
-    extra = confirmed(more.join(links, ["a", "b"], "left_anti"), False)
-    label = components(links.unionByName(extra).unionByName(of_class))
+    heads = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("times")).where("z > a").select("key", "a", "times")
+    shared = materialize(join_hot(members, heads, "key", "times", total * bands), "buckets")
+    in_buckets = shared.count()
+    stars = materialize(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
+
+    mean = bands * rows * share[0] / share[1]
+    least = int(np.ceil(mean - 5.5 * np.sqrt(mean * (1 - share[0] / share[1]))))
+
+    def confirmed(pairs: DataFrame, by_set: bool) -> DataFrame:
+        n = pairs.count()
+        # A head of very many members stands once for each of their parts.
+        most = max(4096, n // HOT)
+        hubs = pairs.groupBy("a").agg(F.count("*").alias("d")).where(F.col("d") > most).select("a", F.ceil(F.col("d") / most).cast("int").alias("parts"))
+        p = pairs.join(F.broadcast(hubs), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        member = p.select(F.col("b").alias("id"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member")).alias("at"))
+        head = p.select("a", "parts").distinct().select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.struct(F.col("a"), s.alias("salt"), F.lit(0).alias("member")))).alias("at"))
+        where = materialize(member.unionByName(head).groupBy("id").agg(F.collect_list("at").alias("at")), "roles")
+        few = _few(where, where.count())
+        if by_set:
+            rows_ = base.join(few, "id").select("id", "text", "at").mapInArrow(_sets(width), "id long, held binary, at array<struct<a: long, salt: int, member: int>>")
+        else:
+            rows_ = reps.select("id", F.col("sig").alias("held")).join(few, "id")
+        rows_ = rows_.withColumn("at", F.explode("at")).select("at.a", "at.salt", "at.member", "id", "held")
+        alike = _sets_alike(share) if by_set else _signatures_alike(least)
+        out = rows_.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_against_heads(alike), "a long, b long")
+        return materialize(out.distinct(), "links" if by_set else "screened")
+
+    links = confirmed(confirmed(stars, False), True)
+    labels = materialize(components(links), "labels")
+    few = _few(labels, labels.count())
+    placed = shared.select("key", "id").join(few, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed_ = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("times")).where("hi > lo").select("key", "times", F.ceil(F.col("times") / block).cast("int").alias("blocks"))
+    dealt = materialize(join_hot(placed, mixed_, "key", "times", in_buckets).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "mixed")
+    seen = materialize(dealt.select("id").distinct(), "ids")
+    sig = reps.join(_few(seen, seen.count()), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.col("sig").alias("held"))
+    names = "i int, j int, at int, id long, label long, n long, held binary"
+    cols = [c.split()[0] for c in names.split(", ")]
+    pairs = dealt.join(sig, "id").withColumn("p", F.explode(_paired())).select(F.col("key").alias("g"), "p.i", "p.j", "at", "id", "label", "n", "held")
+    spans = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_by_block(_candidates(least, share), tuple(cols)), "a long, b long").distinct()
+    groups = components(spans).select("id", F.col("label").alias("g"))
+    known = reps.select("id", F.col("n_shingles").alias("n")).join(few, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"))
+    held = materialize(groups.join(known, "id"), "groups")
+    size = held.groupBy("g").agg(F.ceil(F.sum(F.greatest(F.lit(1 / block), F.col("n") / BLOCK_SHINGLES))).cast("int").alias("blocks"), F.count("*").alias("times"))
+    # Blocks by the ids' hash; a group's documents are told by their place, so none is left out.
+    held = join_hot(held, size, "g", "times", total).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    held = materialize(held.select("id", "g", "label", "n", "at", "blocks"), "blocks")
+    sets = base.join(_few(held, held.count()), "id").select("id", "text", "g", "label", "n", "at", "blocks").mapInArrow(_sets(width), "id long, held binary, g long, label long, n long, at int, blocks int")
+    full = sets.withColumn("p", F.explode(_paired())).select("g", "p.i", "p.j", "at", "id", "label", "n", "held")
+    extra = materialize(full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_by_block(_links(share), tuple(cols)), "a long, b long").distinct(), "links")
+    label = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(extra).unionByName(of_class))
     out = signed.select("id", "n_shingles").join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("label", "id").alias("component_id"), F.coalesce(F.coalesce("label", "id") == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def _screened(least: int):
-    """Drops pairs whose signatures agree in fewer than ``least`` places: 5.5 standard deviations below the threshold."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                x, y = (np.frombuffer(b"".join(f[c]), np.uint32).reshape(len(f), -1) for c in ("sa", "sb"))
-                yield f.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
-
-    return run
