@@ -53,8 +53,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe_digests(byte_bpe.decode(encoded, path))
+    return bpe_digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:
