@@ -14,7 +14,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import CHUNK, LONGEST, make_room
+from .chunks import CHUNK, ChunkEncoder
+from .text_bytes import column_bytes, parts
 
 assert sys.byteorder == "little"
 
 #: A shard is closed when its payload reaches so many bytes; one document is never split.
 SHARD_BYTES = 4 << 20
-#: Words that a worker remembers, some 200 bytes each.
-REMEMBERED = 800_000
 GAMMA = 1.5
+#: Chunks without other white space than a space before are given to the library some at a time, one a line: the pattern leaves a line's end alone
+#: before a space or a word, so its one id parts the chunks' ids.
+_PLAIN, LINES = re.compile(rb" ?[!-~]+"), 16
 SCHEMA = "part int, seq int, n_docs long, n_ids long, width int, first long, last long, keys binary, occurrence binary, index binary, ids binary"
 
 
@@ -100,7 +101,6 @@ class Index:
         return (slot >= 0) & (row["print"] == (_mix(hashes, 3) >> np.uint64(32)).astype(np.uint32)), row["start"], row["count"]
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -108,43 +108,39 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class ChunkEncoder(dict):
-    """The library's ids by chunk of text, as raw little-endian bytes, in a bounded memory: words repeat, and the library reads each one once.
+class LibraryEncoder(ChunkEncoder):
+    """The library's ids by chunk of text: words repeat, and the library reads each one once while it is remembered.
 
     The library finds its added tokens before anything else, so texts are cut at them first; where one of them reaches beyond its own
     characters (``lstrip``, ``rstrip``, ``single_word``), a text that holds any goes to the library whole."""
 
     def __init__(self, tokenizer, width: int):
-        self.t, self.kind = tokenizer, {2: "H", 4: "I"}[width]
         added = tokenizer.get_added_tokens_decoder().values()
-        self.added = sorted((x.content for x in added if x.content), key=len, reverse=True)
-        self.cut = None if any(x.lstrip or x.rstrip or x.single_word for x in added) else re.compile(f"({'|'.join(map(re.escape, self.added))})")
-
-    def chunks(self, text: str) -> list[str]:
-        if not any(map(text.__contains__, self.added)):
-            return CHUNK.findall(text)
-        if self.cut is None:
-            return [text]
-        return [c for i, part in enumerate(self.cut.split(text)) for c in ([part] if i % 2 else CHUNK.findall(part))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        make_room(self, REMEMBERED)
-        chunks = list(map(self.chunks, texts))
-        parts = [list(map(self.get, cs)) for cs in chunks]
-        gaps = [[i for i, p in enumerate(ps) if p is None] if None in ps else () for ps in parts]
-        new = list({cs[i] for cs, at in zip(chunks, gaps, strict=True) for i in at})
-        got = {c: array(self.kind, e.ids).tobytes() for c, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        for cs, ps, at in zip(chunks, parts, gaps, strict=True):
-            for i in at:
-                ps[i] = got[cs[i]]
-        self.update((c, b) for c, b in got.items() if len(c) <= LONGEST)
-        return [b"".join(ps) for ps in parts]
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str, width: int) -> ChunkEncoder:
-    """One per worker process: later tasks find the words of earlier ones."""
-    return ChunkEncoder(_tokenizer(path), width)
+        names = sorted((x.content for x in added if x.content), key=len, reverse=True)
+        cut = None if any(x.lstrip or x.rstrip or x.single_word for x in added) else re.compile(f"({'|'.join(map(re.escape, names))})")
+        kind = {2: "<u2", 4: "<u4"}[width]
+
+        def special(text: str) -> list[str]:
+            return [text] if cut is None else [c for i, part in enumerate(cut.split(text)) for c in ([part] if i % 2 else CHUNK.findall(part))]
+
+        ids = lambda texts: [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        marks = re.compile(b"|".join(re.escape(n.encode()) for n in names)) if names else None
+        line = ids(["\n"])[0].tolist()
+
+        def new(chunks: list[bytes]) -> list[bytes]:
+            out = dict.fromkeys(range(len(chunks)), b"")
+            plain = [i for i, c in enumerate(chunks) if _PLAIN.fullmatch(c) and not (marks and marks.search(c))] if len(line) == 1 else []
+            lines = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
+            for at, got in zip(lines, ids(["".join(chunks[i].decode() + "\n" for i in at) for at in lines]), strict=True):
+                ends = np.flatnonzero(got == line[0]).tolist()
+                if len(ends) == len(at):
+                    for i, p, q in zip(at, [-1, *ends], ends, strict=False):
+                        out[i] = got[p + 1 : q].tobytes()
+            rest = [i for i, b in out.items() if not b]
+            out.update(zip(rest, (x.tobytes() for x in ids([chunks[i].decode("utf-8", "surrogatepass") for i in rest])), strict=True))
+            return list(out.values())
+
+        super().__init__(new, kind, special, [n.encode() for n in names])
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", by_chunk: bool = True, shard_bytes: int = SHARD_BYTES) -> None:
@@ -160,7 +156,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
         width = 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder = _encoder(tokenizer, width)
+        encoder = LibraryEncoder(t, width)
         end = end_id.to_bytes(width, "little")
         part, seq, keys, sizes, payload, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
@@ -178,9 +174,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
             return pa.RecordBatch.from_arrays([pa.array([v], type=y) for v, y in zip(row, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                ids, texts = b.column(0).slice(i, 64).to_pylist(), b.column(1).slice(i, 64).to_pylist()
-                encoded = encoder.encode(texts) if by_chunk else [array(encoder.kind, e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            data, ends = column_bytes(b.column(1))
+            for i, j in parts(ends):
+                ids = b.column(0).slice(i, j - i).to_pylist()
+                if by_chunk:
+                    encoded = [x.tobytes() for x in encoder.encode(data, ends[i : j + 1])]
+                else:
+                    texts = [data[ends[k] : ends[k + 1]].tobytes().decode("utf-8", "surrogatepass") for k in range(i, j)]
+                    encoded = [array({2: "H", 4: "I"}[width], e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
                 for key, got in zip(ids, encoded, strict=True):
                     keys.append(key), sizes.append(len(got) // width + 1), payload.append(got + end)
                     held += len(got) + width
