@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,21 @@ def _multipliers(n: np.ndarray) -> np.ndarray:
 _PLACES = _multipliers(np.arange(1 << 12))
 
 
+def frees(run: Callable) -> Callable:
+    """A function of batches that gives its task's memory back at the end: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def freed(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return freed
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a string column and where each begins (one more: the end); null counts as empty."""
     if column.null_count:
@@ -67,14 +84,19 @@ def hash_spans(x: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarr
     return mixed(out)
 
 
-def word_hashes(x: np.ndarray, ends: np.ndarray, table: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of the texts ``x[ends[i]:ends[i + 1]]``, and where each text's words begin among them (one more: the end)."""
-    base = int(ends[0])
-    x, at = x[base : int(ends[-1])], ends - base
+def word_starts(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the words of the texts begin; ``at``: where the texts do, and the end."""
     inside = ~SPACE[x]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = at[:-1][at[:-1] < len(x)]
     first[edges] = inside[edges]
-    starts = np.flatnonzero(first)
+    return np.flatnonzero(first)
+
+
+def word_hashes(x: np.ndarray, ends: np.ndarray, table: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the texts ``x[ends[i]:ends[i + 1]]``, and where each text's words begin among them (one more: the end)."""
+    base = int(ends[0])
+    x, at = x[base : int(ends[-1])], ends - base
+    starts = word_starts(x, at)
     return hash_spans(x, starts, table), np.searchsorted(starts, at, "left")

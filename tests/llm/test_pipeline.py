@@ -63,6 +63,9 @@ def test_near_duplicates_drop_by_text_not_by_id(spark):
 def test_rejections_take_effect_row_by_row(spark, monkeypatch):
     good, short = plain(1), "too short"
     rows = [(-1, good), (-1, short), (None, good), (None, short), (None, short)]
+    assert corpus_pipeline.rules(spark, documents(spark, rows[:0]), SF).count() == 0
+    wide = documents(spark, rows).selectExpr("*", "1 AS stratum", "2 AS n_words", "3 AS id")
+    assert corpus_pipeline.rules(spark, wide, SF).columns == wide.columns and corpus_pipeline.rules(spark, wide, SF).count() == 2
     got = corpus_pipeline.rules(spark, documents(spark, rows), SF).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("-1", good), ("None", good)]
     bags = [quality_classifier.bag(t) for t in (good, short)] * 60
