@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .text_bytes import frees
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (3, 5)
 #: Labelled documents that the model is fitted on at most: those with the smallest hashes of their ids. Whole texts.
@@ -141,29 +144,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     d = d.join(F.broadcast(y), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [bag(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at.astype("<u2").tobytes() for at, _ in got], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in got], pa.binary())], ["id", "y", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at.astype("<u2").tobytes() for at, _ in got], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())], ["id", "y", "at", "n"])
 
     rows = d.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, at binary, n binary").collect()
     rows.sort(key=lambda r: r["id"])
-    bags = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u2").astype(np.float32)) for r in rows]
+    bags = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<u4")) for r in rows]
     return train(bags, np.array([r["y"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``held_out``, ``score`` (0 to 1) and ``predicted``.
+def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with all its columns and ``__verdict``, a struct of ``held_out``, ``score`` (0 to 1) and ``predicted``.
 
-    A null or empty text gets the score of no evidence. A null id is not held out. Repeated rows repeat; further columns are ignored."""
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    A null or empty text gets the score of no evidence. A null id is not held out. Repeated rows repeat."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = d.schema["id"].dataType.simpleString()
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = sent.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rate(t.as_py()) for t in b.column(1)], pa.float64())], ["id", "score"])
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                score = pa.array([rate(t.as_py()) for t in part.column(part.schema.names.index(text_col))], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, score], [*part.schema.names, "__score"])
 
-    out = d.mapInArrow(run, f"id {kind}, score double")
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    x = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    verdict = F.struct(held_out(F.col(f"`{id_col}`")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    return x.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias("__verdict"))
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id and what ``scored`` says of it; further columns are ignored."""
+    d = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias(text_col))
+    return scored(d, model, threshold, id_col, text_col).select(F.col(f"`{id_col}`").alias(id_col), "__verdict.*")
