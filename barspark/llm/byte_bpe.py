@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .text_bytes import column_bytes, parts
+from .text_bytes import column_bytes, frees, parts
 
 #: Pieces of up to so many bytes are merged together, by the thousand; a longer one by itself.
 TOGETHER, AT_ONCE = 64, 4096
@@ -80,14 +80,13 @@ class PairRanks:
     """The rank of what two tokens make, in numpy: all pairs of tokens that make a token, sorted by both ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        get, found = ranks.get, {}
+        get, keys, made = ranks.get, array("q"), array("q")
         for token, r in ranks.items():
             for i in range(1, len(token)):
                 a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
-                    found[a << 32 | b] = r
-        key = np.fromiter(found, np.int64, len(found))
-        rank = np.fromiter(found.values(), np.int64, len(found))
+                    keys.append(a << 32 | b), made.append(r)
+        key, rank = np.frombuffer(keys, np.int64), np.frombuffer(made, np.int64)
         # A table of places by hash, sparse enough that most keys are found at the first look.
         self.bits = max(4, int(len(key) * 2).bit_length())
         self.key, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER, np.int64)
@@ -226,6 +225,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """
     kept = ["id", "ids", "decoded"] if decoded else ["id", "ids"]
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(vocabulary)
         encoder, token = Encoder(ranks, pattern), _tokens(ranks)
@@ -246,6 +246,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: its id, its ids and ``decoded``, their bytes; null ids count as none."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(load_ranks(vocabulary))
         for b in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .text_bytes import LOWER_WORDS, column_bytes, mixed, parts, word_hashes
+from .text_bytes import LOWER_WORDS, column_bytes, frees, mixed, parts, word_hashes
 
 #: 32 bands of 4 minima: a pair at similarity 0.75 shares no band with a chance of (1 - 0.75**4)**32, or 5e-6.
 BANDS, ROWS = 32, 4
@@ -20,7 +20,7 @@ BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: A table of so many ids at most (some 40 bytes each in memory) is broadcast; a larger one is joined by a shuffle.
 SMALL = 400_000
 #: Keys with more than a 1/1000 of the rows are joined by a broadcast, which then has at most 1000 of them for each row's keys.
-HOT = 1000
+HOT, FEW = 1000, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = mixed(np.arange(1, 65, dtype=np.uint64) * _MIX) | np.uint64(1)
 
@@ -69,6 +69,7 @@ def _sign(width: int, bands: int, rows: int, seed: int):
     a, b = _coefficients(bands * rows, seed)
     salt = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _MIX
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = column_bytes(batch.column(1))
@@ -90,6 +91,7 @@ def _sign(width: int, bands: int, rows: int, seed: int):
 def _sets(width: int, most: int = 1 << 23):
     """Each row's set in the place of its text, in batches of bounded size."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = column_bytes(batch.column(1))
@@ -120,9 +122,10 @@ def _against_heads(alike: Callable[[bytes, bytes], bool]):
 
     What is kept is one head (one set for each text of its id), never the members."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heads = None, []
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             a, b = [], []
             for star, salt, member, i, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (star, salt) != now:
@@ -187,6 +190,7 @@ def forest(alike: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _by_block(link: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]], names: tuple[str, ...]):
     """Streams sorted rows ``(group, i, j, ...)``, one block pair after the other, and yields what ``link`` makes of each."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -260,8 +264,8 @@ def join_hot(rows: DataFrame, small: DataFrame, key: str, times: str, total: int
     """``rows`` joined to ``small``, which has each key once and says in ``times`` how many rows carry it.
 
     The keys of more than ``1 / HOT`` of ``total`` rows, so fewer than ``HOT``, are broadcast and spread no rows; the others are shuffled.
-    Few rows can't be many for one task, whatever their keys."""
-    if total <= 10_000:
+    Up to ``FEW`` rows, a few MB, can't be many for one task, whatever their keys."""
+    if total <= FEW:
         return rows.join(small.drop(times), key)
     most = max(256, total // HOT)
     hot, cold = small.where(F.col(times) > most).drop(times), small.where(F.col(times) <= most).drop(times)
@@ -308,7 +312,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.where("id is not null and same is not null")
     total = named.count()
     classes = named.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    several = materialize(classes.where("times > 1").select("same", "rep", "times"), "classes")
+    scratch: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(materialize(df, name))
+        return scratch[-1]
+
+    several = kept(classes.where("times > 1").select("same", "rep", "times"), "classes")
     of_class = join_hot(named.select("id", "same"), several, "same", "times", total).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     # One row a class: those of single documents, and of the others the row of their smallest id.
     twins = several.count()
@@ -316,13 +326,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone, twin = reps.where("rep is null"), reps.where("rep is not null")
     reps = alone.unionByName(twin.dropDuplicates(["same"])) if twins else alone
     if twins:
-        reps = materialize(reps.select("id", "n_shingles", "sig", "keys"), "reps")
+        reps = kept(reps.select("id", "n_shingles", "sig", "keys"), "reps")
 
     members = reps.select("id", F.explode("keys").alias("key"))
     heads = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("times")).where("z > a").select("key", "a", "times")
-    shared = materialize(join_hot(members, heads, "key", "times", total * bands), "buckets")
+    shared = kept(join_hot(members, heads, "key", "times", total * bands), "buckets")
     in_buckets = shared.count()
-    stars = materialize(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
+    stars = kept(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
 
     mean = bands * rows * share[0] / share[1]
     least = int(np.ceil(mean - 5.5 * np.sqrt(mean * (1 - share[0] / share[1]))))
@@ -335,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = pairs.join(F.broadcast(hubs), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         member = p.select(F.col("b").alias("id"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member")).alias("at"))
         head = p.select("a", "parts").distinct().select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda s: F.struct(F.col("a"), s.alias("salt"), F.lit(0).alias("member")))).alias("at"))
-        where = materialize(member.unionByName(head).groupBy("id").agg(F.collect_list("at").alias("at")), "roles")
+        where = kept(member.unionByName(head).groupBy("id").agg(F.collect_list("at").alias("at")), "roles")
         few = _few(where, where.count())
         if by_set:
             rows_ = base.join(few, "id").select("id", "text", "at").mapInArrow(_sets(width), "id long, held binary, at array<struct<a: long, salt: int, member: int>>")
@@ -344,15 +354,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows_ = rows_.withColumn("at", F.explode("at")).select("at.a", "at.salt", "at.member", "id", "held")
         alike = _sets_alike(share) if by_set else _signatures_alike(least)
         out = rows_.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_against_heads(alike), "a long, b long")
-        return materialize(out.distinct(), "links" if by_set else "screened")
+        return kept(out.distinct(), "links" if by_set else "screened")
 
     links = confirmed(confirmed(stars, False), True)
-    labels = materialize(components(links), "labels")
+    labels = kept(components(links), "labels")
     few = _few(labels, labels.count())
     placed = shared.select("key", "id").join(few, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed_ = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("times")).where("hi > lo").select("key", "times", F.ceil(F.col("times") / block).cast("int").alias("blocks"))
-    dealt = materialize(join_hot(placed, mixed_, "key", "times", in_buckets).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "mixed")
-    seen = materialize(dealt.select("id").distinct(), "ids")
+    dealt = kept(join_hot(placed, mixed_, "key", "times", in_buckets).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "mixed")
+    seen = kept(dealt.select("id").distinct(), "ids")
     sig = reps.join(_few(seen, seen.count()), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.col("sig").alias("held"))
     names = "i int, j int, at int, id long, label long, n long, held binary"
     cols = [c.split()[0] for c in names.split(", ")]
@@ -360,14 +370,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_by_block(_candidates(least, share), tuple(cols)), "a long, b long").distinct()
     groups = components(spans).select("id", F.col("label").alias("g"))
     known = reps.select("id", F.col("n_shingles").alias("n")).join(few, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"))
-    held = materialize(groups.join(known, "id"), "groups")
+    held = kept(groups.join(known, "id"), "groups")
     size = held.groupBy("g").agg(F.ceil(F.sum(F.greatest(F.lit(1 / block), F.col("n") / BLOCK_SHINGLES))).cast("int").alias("blocks"), F.count("*").alias("times"))
     # Blocks by the ids' hash; a group's documents are told by their place, so none is left out.
     held = join_hot(held, size, "g", "times", total).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = materialize(held.select("id", "g", "label", "n", "at", "blocks"), "blocks")
+    held = kept(held.select("id", "g", "label", "n", "at", "blocks"), "blocks")
     sets = base.join(_few(held, held.count()), "id").select("id", "text", "g", "label", "n", "at", "blocks").mapInArrow(_sets(width), "id long, held binary, g long, label long, n long, at int, blocks int")
     full = sets.withColumn("p", F.explode(_paired())).select("g", "p.i", "p.j", "at", "id", "label", "n", "held")
-    extra = materialize(full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_by_block(_links(share), tuple(cols)), "a long, b long").distinct(), "links")
+    extra = kept(full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_by_block(_links(share), tuple(cols)), "a long, b long").distinct(), "links")
     label = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(extra).unionByName(of_class))
+    for done in scratch:
+        discard(done)
     out = signed.select("id", "n_shingles").join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("label", "id").alias("component_id"), F.coalesce(F.coalesce("label", "id") == F.col("id"), F.lit(True)).alias("kept"))

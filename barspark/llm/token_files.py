@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK, ChunkEncoder
-from .text_bytes import column_bytes, parts
+from .text_bytes import column_bytes, frees, parts
 
 assert sys.byteorder == "little"
 
@@ -153,6 +153,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
         width = 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -199,6 +200,7 @@ def read_documents(spark, path: str) -> DataFrame:
 
     Every document is looked up by its key in its shard's index; a fingerprint that disagrees is an error."""
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
@@ -225,6 +227,7 @@ def lookup(spark, path: str, keys: list[int]) -> DataFrame:
     """``(id, occurrence, ids)`` of a short list of keys; shards whose range holds none are not read beyond their bounds."""
     wanted = np.array(sorted(set(keys)), np.int64)
 
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
