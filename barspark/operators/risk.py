@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import upto
 
-#: Profit from which a tier holds, and its trailing distance.
+#: Profit from which a tier holds, and its trailing distance.
 TIERS = ((0.20, 0.03), (0.10, 0.05), (0.05, 0.08), (0.02, 0.10))
 DAY = 86_400
 
@@ -15,23 +15,23 @@ DAY = 86_400
 def exit_paths(trades: DataFrame, bars: DataFrame, max_days: int = 30, stop: float = 0.10, trail: float = 0.15, roi: tuple[tuple[float, int], ...] = ((0.20, 0), (0.10, 10))) -> DataFrame:
     """Each trade's first exit: fixed stop, trailing stop, return reached after so many days, or time.
 
-    Trades and bars meet by symbol and 30-day bucket, with a bound on the days held, so a trade sees only its own bars."""
+    Trades are told by symbol and ``trade_id``. Trades and bars meet by symbol and 30-day bucket, with a bound on the days held, so a trade sees only its own bars."""
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / max_days)
     t = trades.withColumn("__b", F.explode(F.array(bucket("entry_ts"), bucket("entry_ts") + 1)))
     b = bars.select(F.col("symbol").alias("__s"), F.col("ts").alias("ts"), "close", bucket("ts").alias("__bb"))
     x = t.join(b, (F.col("symbol") == F.col("__s")) & (F.col("__b") == F.col("__bb")) & (F.col("ts") > F.col("entry_ts")) & (F.datediff("ts", "entry_ts") <= max_days))
-    w = Window.partitionBy("trade_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("symbol", "trade_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({"peak": F.greatest("entry_price", F.max("close").over(w)), "days": F.datediff("ts", "entry_ts")})
     c, e = F.col("close"), F.col("entry_price")
     reached = F.exists(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(d).alias("d")) for r, d in roi]), lambda z: (c / e - 1 >= z["r"]) & (F.col("days") >= z["d"]))
     why = F.when(c <= e * (1 - stop), "stop").when(c <= F.col("peak") * (1 - trail), "trail").when(F.col("days") >= max_days, "time").when(reached, "roi")
-    first = x.withColumn("why", why).where("why is not null").groupBy("trade_id").agg(F.min_by(F.struct("ts", "close", "why"), "ts").alias("x"))
-    return trades.select("trade_id", "symbol", "entry_ts", "entry_price").join(first, "trade_id", "left").select("trade_id", "symbol", "entry_ts", "entry_price", F.col("x.ts").alias("exit_ts"), F.col("x.close").alias("exit_price"), F.coalesce("x.why", F.lit("open")).alias("why"))
+    first = x.withColumn("why", why).where("why is not null").groupBy("symbol", "trade_id").agg(F.min_by(F.struct("ts", "close", "why"), "ts").alias("x"))
+    return trades.select("trade_id", "symbol", "entry_ts", "entry_price").join(first, ["symbol", "trade_id"], "left").select("trade_id", "symbol", "entry_ts", "entry_price", F.col("x.ts").alias("exit_ts"), F.col("x.close").alias("exit_price"), F.coalesce("x.why", F.lit("open")).alias("why"))
 
 
 def ratcheted_stop(path: DataFrame, tiers=TIERS) -> DataFrame:
-    """A trailing stop whose distance narrows by the best profit so far and which never falls. Needs ``trade_id, ts, close, entry_price``."""
-    w = upto("trade_id")
+    """A trailing stop whose distance narrows by the best profit so far and which never falls. Needs ``symbol, trade_id, ts, close, entry_price``."""
+    w = upto("symbol", "trade_id")
     x = path.withColumn("peak", F.greatest("entry_price", F.max("close").over(w)))
     gain = F.round(F.col("peak") / F.col("entry_price") - 1, 9)
     level = None
