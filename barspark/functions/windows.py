@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -31,3 +33,28 @@ def crosses_up(a: Column, b: Column, w: WindowSpec) -> Column:
     """Above now and not above in the row before; equal within 1e-9 counts as equal."""
     a, b = F.round(a, 9), F.round(b, 9)
     return F.coalesce((a > b) & (F.lag(a).over(w) <= F.lag(b).over(w)), F.lit(False))
+
+
+#: Rows of a series in one task's block.
+BLOCK_ROWS = 4096
+
+
+def in_blocks(df: DataFrame, work: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int = BLOCK_ROWS, piece: str = "month", order: str = "ts") -> DataFrame:
+    """``work(df)`` for windows by symbol that look at most ``before`` rows back and ``after`` ahead, in blocks of ``size`` rows: a series isn't one task.
+
+    Rows are numbered by the counts of pieces of time before their own and their place within it; those near a block's ends are copied to its neighbours.
+    ``work`` sees the symbol and the block together as ``symbol``, adds columns, keeps the others, and may drop rows. Null symbols are a series; ``size`` grows to
+    the longer halo if that is larger."""
+    size = max(size, before, after)
+    x = df.withColumn("__piece", F.date_trunc(piece, order))
+    n = x.groupBy("symbol", "__piece").agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy("symbol").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    base = n.select(F.col("symbol").alias("__s"), F.col("__piece").alias("__p"), F.coalesce(earlier, F.lit(0)).alias("__base"))
+    x = x.join(base, F.col("symbol").eqNullSafe(F.col("__s")) & F.col("__piece").eqNullSafe(F.col("__p"))).drop("__s", "__p")
+    row = F.col("__base") + F.row_number().over(Window.partitionBy("symbol", "__piece").orderBy(order)) - 1
+    x = x.withColumn("__row", row).withColumns({"__at": F.floor(F.col("__row") / size), "__place": F.col("__row") % size})
+    home, up, down = (F.struct((F.col("__at") + k).alias("block"), F.lit(k == 0).alias("home")) for k in (0, 1, -1))
+    copies = F.array_compact(F.array(home, F.when(F.col("__place") >= size - before, up), F.when(F.col("__place") < after, down)))
+    x = x.withColumn("__copy", F.explode(copies)).drop("__piece", "__base", "__row", "__at", "__place")
+    x = work(x.withColumn("symbol", F.struct(F.col("symbol").alias("name"), F.col("__copy.block").alias("block"))).withColumn("__home", F.col("__copy.home")).drop("__copy"))
+    return x.where("__home").withColumn("symbol", F.col("symbol.name")).drop("__home")

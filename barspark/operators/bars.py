@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import trailing
+from ..functions.windows import in_blocks, ordered, trailing
 
 
 def ticks_to_bars(ticks: DataFrame, unit: str = "hour") -> DataFrame:
@@ -41,20 +41,23 @@ def missing_bars(bars: DataFrame, step: str = "1 hour", weekdays: bool = False)
 
 def gap_report(bars: DataFrame, step_seconds: int = 3600, warn: int = 3) -> DataFrame:
     """Missing bars by symbol: how many, the first, the last and the longest run."""
-    before = F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts"))
-    gap = bars.withColumn("before", before).withColumn("n", (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("before").cast("timestamp"))) / step_seconds - 1)
+    gap = in_blocks(bars.select("symbol", "ts"), lambda x: x.withColumn("before", F.lag("ts").over(ordered())), 1).withColumn("n", (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("before").cast("timestamp"))) / step_seconds - 1)
     out = gap.groupBy("symbol").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("missing"), F.min(F.when(F.col("n") > 0, F.col("before"))).alias("first_gap_after"), F.max(F.when(F.col("n") > 0, F.col("before"))).alias("last_gap_after"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("longest"))
     return out.withColumn("warn", F.col("longest") > warn)
 
 
 def clip_zscore(bars: DataFrame, column: str = "close", window: int = 60, threshold: float = 3.0, min_rows: int = 1) -> DataFrame:
     """``column`` held within ``threshold`` deviations of its rolling mean; symbols of fewer than ``min_rows`` bars pass as they are."""
-    w, enough = trailing(window), F.count("*").over(Window.partitionBy("symbol")) >= min_rows
-    mean, n = F.avg(column).over(w), F.count(column).over(w)
-    sd = F.coalesce(F.stddev_samp(column).over(w), F.lit(1e-9))
-    ready = n >= max(1, window // 2)
-    clipped = F.when(ready & enough, F.greatest(F.least(F.col(column), mean + threshold * sd), mean - threshold * sd)).otherwise(F.col(column))
-    return bars.withColumn(column, clipped)
+    enough = bars.groupBy(F.col("symbol").alias("__s")).agg((F.count("*") >= min_rows).alias("__enough"))
+
+    def clip(x: DataFrame) -> DataFrame:
+        w = trailing(window)
+        mean, n = F.avg(column).over(w), F.count(column).over(w)
+        sd = F.coalesce(F.stddev_samp(column).over(w), F.lit(1e-9))
+        held = F.greatest(F.least(F.col(column), mean + threshold * sd), mean - threshold * sd)
+        return x.withColumn(column, F.when((n >= max(1, window // 2)) & F.col("__enough"), held).otherwise(F.col(column)))
+
+    return in_blocks(bars.join(enough, F.col("symbol").eqNullSafe(F.col("__s"))).drop("__s"), clip, window - 1).drop("__enough")
 
 
 def clean(bars: DataFrame, min_rows: int = 60, window: int = 60, threshold: float = 3.0) -> DataFrame:

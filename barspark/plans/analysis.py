@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.windows import in_blocks
 from ..operators import allocate as A
 from ..operators import combine as C
 from ..operators import labels as L
@@ -33,7 +34,7 @@ def sector_momentum(spark, d):
 
 @query("next_direction_labels", f"WITH {BARS}, n AS (SELECT symbol, ts, close, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS nx FROM bars) SELECT symbol, ts, (nx > close)::INTEGER AS label FROM n WHERE nx IS NOT NULL")
 def next_direction(spark, d):
-    return L.next_direction(bars(spark, d)).select("symbol", "ts", "label")
+    return in_blocks(bars(spark, d), L.next_direction, 0, 1).select("symbol", "ts", "label")
 
 
 @query("walk_forward_folds", f"WITH {DAILY}, r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS row, count(*) OVER (PARTITION BY symbol) AS n FROM daily), f AS (SELECT *, unnest(generate_series(0, (n - 400) // 100)) AS fold FROM r) SELECT symbol, row, fold, CASE WHEN row - fold * 100 < 300 THEN 'train' ELSE 'test' END AS role FROM f WHERE row >= fold * 100 AND row < fold * 100 + 400")
@@ -55,7 +56,7 @@ def roc_auc(spark, d):
 def kelly(spark, d):
     from ..operators.indicators import with_returns
 
-    return rounded(A.kelly_from_returns(with_returns(daily(spark, d)), "symbol"))
+    return rounded(A.kelly_from_returns(in_blocks(daily(spark, d), with_returns, 1), "symbol"))
 
 
 @query("trade_outcomes", f"WITH {TRADES}, m AS (SELECT symbol, avg(price) AS mp FROM trades GROUP BY symbol), o AS (SELECT strategy, symbol, qty * (price - mp) AS pnl FROM trades JOIN m USING (symbol) WHERE side = 'SELL') SELECT strategy, symbol, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses FROM o GROUP BY ALL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.windows import in_blocks
 from ..operators import allocate as A
 from ..operators import combine as C
 from ..operators import indicators as I
@@ -36,7 +37,7 @@ def timeframe_votes(spark, d):
 n AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY ts DESC) AS n FROM t), v AS (SELECT symbol, tf, greatest(coalesce(stddev_samp(ret), 0), 1e-6) AS vol FROM n WHERE n <= 20 GROUP BY ALL)
 SELECT symbol, tf, round(vol, 6) AS vol, round((1 / vol) / sum(1 / vol) OVER (PARTITION BY symbol), 6) AS weight FROM v""")
 def inverse_volatility_weights(spark, d):
-    x = I.with_returns(daily(spark, d)).withColumn("tf", F.when(F.day("ts") % 2 == 0, "even").otherwise("odd"))
+    x = in_blocks(daily(spark, d), I.with_returns, 1).withColumn("tf", F.when(F.day("ts") % 2 == 0, "even").otherwise("odd"))
     return rounded(C.inverse_volatility_weights(x).select("symbol", "tf", "vol", "weight"), ("symbol", "tf"))
 
 
@@ -98,12 +99,12 @@ LABELLED = "lab AS (SELECT nx.symbol, nx.ts, CASE WHEN close <= 0 THEN 0.0 ELSE
 
 @query("triple_barrier", f"WITH {BARS}, {ATR}, {BARRIER.format(1.0, 1.0)}, {LABELLED} SELECT * FROM lab")
 def triple_barrier(spark, d):
-    return L.triple_barrier(I.with_atr(bars(spark, d))).select("symbol", "ts", "label")
+    return in_blocks(bars(spark, d), lambda b: L.triple_barrier(I.with_atr(b)), 15, 20).select("symbol", "ts", "label")
 
 
 @query("asymmetric_barrier", f"WITH {BARS}, {ATR}, {BARRIER.format(2.0, 0.5)}, {LABELLED} SELECT * FROM lab")
 def asymmetric_barrier(spark, d):
-    return L.triple_barrier(I.with_atr(bars(spark, d)), 2.0, 0.5).select("symbol", "ts", "label")
+    return in_blocks(bars(spark, d), lambda b: L.triple_barrier(I.with_atr(b), 2.0, 0.5), 15, 20).select("symbol", "ts", "label")
 
 
 DISTRIBUTION = "SELECT symbol, count(*) AS rows, count(*) FILTER (label = 1) AS ups, count(*) FILTER (label = -1) AS downs, count(*) FILTER (label IS NULL) AS open, round(count(*) FILTER (label = 1) / count(*), 4) AS up_share, round((count(*) FILTER (label = 1) - count(*) FILTER (label = -1)) / nullif(count(*) FILTER (abs(label) = 1), 0), 4) AS asymmetry FROM {} GROUP BY symbol"
@@ -111,7 +112,7 @@ DISTRIBUTION = "SELECT symbol, count(*) AS rows, count(*) FILTER (label = 1) AS
 
 @query("label_distribution", f"WITH {BARS}, {ATR}, {BARRIER.format(1.0, 1.0)}, {LABELLED} {DISTRIBUTION.format('lab')}")
 def label_distribution(spark, d):
-    return L.label_distribution(L.triple_barrier(I.with_atr(bars(spark, d))), "symbol")
+    return L.label_distribution(in_blocks(bars(spark, d), lambda b: L.triple_barrier(I.with_atr(b)), 15, 20), "symbol")
 
 
 PAIRS = (("open", "high"), ("open", "low"), ("open", "volume"), ("high", "low"), ("high", "volume"), ("low", "volume"))
@@ -156,7 +157,7 @@ UPS = "up AS (SELECT *, CASE WHEN lead(close) OVER (PARTITION BY symbol ORDER BY
 
 @query("feature_importance", f"WITH {BARS}, {UPS} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(abs(avg({f}) FILTER (label = 1) - avg({f}) FILTER (label = 0)), 6) AS gap FROM up" for f in ("open", "high", "volume")))
 def feature_importance(spark, d):
-    return rounded(L.importance(L.next_direction(bars(spark, d)), ["open", "high", "volume"]), ("feature",))
+    return rounded(L.importance(in_blocks(bars(spark, d), L.next_direction, 0, 1), ["open", "high", "volume"]), ("feature",))
 
 
 @query("regression_scores", f"""WITH {BARS}, x AS (SELECT symbol, close AS a, open AS b, close - lag(close) OVER w AS da, open - lag(open) OVER w AS db FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
@@ -202,19 +203,19 @@ VOLS = f"{DAILY}, {RET.format('daily')}, vol AS (SELECT symbol, stddev_samp(ret)
 
 @query("allocations", f"WITH {VOLS} SELECT symbol, round((1 / vol) / sum(1 / vol) OVER (), 6) AS risk_parity, round((1 / var) / sum(1 / var) OVER (), 6) AS inverse_variance, round(1 / count(*) OVER (), 6) AS equal_weight, round(CASE WHEN sum(edge) OVER () > 0 THEN edge / sum(edge) OVER () ELSE 1 / count(*) OVER () END, 6) AS by_edge FROM vol")
 def allocations(spark, d):
-    v = I.with_returns(daily(spark, d)).groupBy("symbol").agg(F.stddev_samp("ret").alias("vol"), F.var_samp("ret").alias("var"), F.greatest(F.avg("ret"), F.lit(0.0)).alias("edge"))
+    v = in_blocks(daily(spark, d), I.with_returns, 1).groupBy("symbol").agg(F.stddev_samp("ret").alias("vol"), F.var_samp("ret").alias("var"), F.greatest(F.avg("ret"), F.lit(0.0)).alias("edge"))
     return rounded(v.select("symbol", A.inverse_volatility(F.col("vol")).alias("risk_parity"), A.inverse_volatility(F.col("var")).alias("inverse_variance"), A.normalised(F.lit(0)).alias("equal_weight"), A.normalised(F.col("edge")).alias("by_edge")))
 
 
 @query("asset_correlations", f"WITH {DAILY}, {RET.format('daily')} SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(corr(a.ret, b.ret), 4) AS corr, round(sqrt(greatest((1 - corr(a.ret, b.ret)) / 2, 0)), 4) AS distance FROM ret a JOIN ret b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY ALL")
 def asset_correlations(spark, d):
-    x = A.correlation_distance(I.with_returns(daily(spark, d)))
+    x = A.correlation_distance(in_blocks(daily(spark, d), I.with_returns, 1))
     return x.select("a", "b", "n", F.round("corr", 4).alias("corr"), F.round("distance", 4).alias("distance"))
 
 
 @query("sizes_and_stops", f"WITH {BARS}, {ATR} SELECT symbol, ts, greatest(0, least(floor(100000 * 0.01 / nullif(2 * atr, 0)), floor(100000 * 0.25 / nullif(close, 0))))::BIGINT AS shares, round(close - 2 * atr, 6) AS stop, round(close + 3 * atr, 6) AS target FROM atr WHERE atr > 0 AND close > 0")
 def sizes_and_stops(spark, d):
-    x = I.with_atr(bars(spark, d)).where("atr > 0 and close > 0")
+    x = in_blocks(bars(spark, d), I.with_atr, 15).where("atr > 0 and close > 0")
     return out(x.withColumns({"shares": A.position_size(F.lit(100000.0), F.col("close"), 2 * F.col("atr"))} | A.stops(F.col("close"), F.col("atr"))), "shares", "stop", "target")
 
 

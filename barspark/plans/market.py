@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.windows import in_blocks
 from ..operators import bars as B
 from ..operators import indicators as I
 from ..operators import metrics as M
@@ -173,23 +174,23 @@ BB = f"bb AS (SELECT *, {full('avg(close)', 'close', 20)} AS bb_mid, {full('stdd
 
 @query("rsi_sma", f"WITH {BARS}, {rsi_sql('bars')} SELECT symbol, ts, round(rsi, 6) AS rsi FROM rsi_t")
 def rsi(spark, d):
-    return out(I.with_rsi(bars(spark, d)), "rsi")
+    return out(in_blocks(bars(spark, d), I.with_rsi, 15), "rsi")
 
 
 @query("atr", f"WITH {BARS}, {ATR} SELECT symbol, ts, round(tr, 6) AS tr, round(atr, 6) AS atr, round(atr / nullif(close, 0), 6) AS atr_pct FROM atr")
 def atr(spark, d):
-    return out(I.with_atr(bars(spark, d)).withColumn("atr_pct", F.try_divide("atr", "close")), "tr", "atr", "atr_pct")
+    return out(in_blocks(bars(spark, d), I.with_atr, 15).withColumn("atr_pct", F.try_divide("atr", "close")), "tr", "atr", "atr_pct")
 
 
 @query("bollinger", f"WITH {BARS}, {BB.format('bars')} SELECT symbol, ts, round(bb_mid, 6) AS bb_mid, round(bb_mid + 2 * sd, 6) AS bb_upper, round(bb_mid - 2 * sd, 6) AS bb_lower, round((close - (bb_mid - 2 * sd)) / nullif((bb_mid + 2 * sd) - (bb_mid - 2 * sd), 0), 6) AS bb_pct FROM bb")
 def bollinger(spark, d):
-    x = bars(spark, d).withColumns(I.bollinger())
+    x = in_blocks(bars(spark, d), lambda b: b.withColumns(I.bollinger()), 19)
     return out(x.withColumn("bb_pct", I.percent_b(F.col("bb_lower"), F.col("bb_upper"))), "bb_mid", "bb_upper", "bb_lower", "bb_pct")
 
 
 @query("donchian", f"WITH {BARS} SELECT symbol, ts, {full('max(high)', 'high', 20)} AS dc_high, {full('min(low)', 'low', 20)} AS dc_low FROM bars")
 def donchian(spark, d):
-    return out(bars(spark, d).withColumns(I.donchian()), "dc_high", "dc_low")
+    return out(in_blocks(bars(spark, d), lambda b: b.withColumns(I.donchian()), 19), "dc_high", "dc_low")
 
 
 VWAP = "vw AS (SELECT *, sum((high + low + close) / 3 * volume) OVER u / CASE WHEN sum(volume) OVER u = 0 THEN 1 ELSE sum(volume) OVER u END AS vwap, " + full("avg(volume)", "volume", 20) + " AS vol_ma FROM {0} WINDOW u AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING))"
@@ -206,13 +207,13 @@ RET = "ret AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORD
 
 @query("returns_and_volatility", f"WITH {DAILY}, {RET.format('daily')} SELECT symbol, ts, round(close / nullif(lag(close, 10) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 6) AS roc, round({full('stddev_samp(ret)', 'ret', 20)}, 6) AS vol, round({full('stddev_samp(ret)', 'ret', 20)} * sqrt(252), 6) AS vol_year FROM ret")
 def returns(spark, d):
-    x = I.with_returns(daily(spark, d)).withColumns({"roc": I.roc(10), "vol": I.volatility(20)})
+    x = in_blocks(daily(spark, d), lambda b: I.with_returns(b).withColumns({"roc": I.roc(10), "vol": I.volatility(20)}), 20)
     return out(x.withColumn("vol_year", F.col("vol") * F.sqrt(F.lit(252.0))), "roc", "vol", "vol_year")
 
 
 @query("volume_and_calendar", f"WITH {BARS} SELECT symbol, ts, round((volume - {full('avg(volume)', 'volume', 20)}) / nullif({full('stddev_samp(volume)', 'volume', 20)}, 0), 6) AS vol_z, (isodow(ts) - 1)::INTEGER AS weekday, month(ts)::INTEGER AS month FROM bars")
 def volume_calendar(spark, d):
-    return out(bars(spark, d).withColumns({"vol_z": I.volume_zscore(), "weekday": F.weekday("ts"), "month": F.month("ts")}), "vol_z", "weekday", "month")
+    return out(in_blocks(bars(spark, d), lambda b: b.withColumn("vol_z", I.volume_zscore()), 19).withColumns({"weekday": F.weekday("ts"), "month": F.month("ts")}), "vol_z", "weekday", "month")
 
 
 def ewm_sql(src: str, specs: dict[str, tuple[str, float]], name: str = "e") -> str:

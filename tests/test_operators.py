@@ -61,3 +61,22 @@ def test_grid_and_windows(spark):
     assert [(r.params_id, r.fast, r.slow) for r in g] == [(0, 5, 20), (1, 5, 30), (2, 5, 40), (3, 9, 20), (4, 9, 30), (5, 9, 40)]
     w = search.windows(spark, "2023-01-01", "2024-01-01", 90, 30).collect()
     assert len(w) == 9 and str(w[1].train_start) == "2023-01-31"
+
+
+def test_blocks_give_what_whole_series_give(spark):
+    from pyspark.sql import functions as F
+
+    from barspark.functions.windows import in_blocks
+    from barspark.operators import indicators, labels
+
+    b = spark.range(700).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("symbol"), (F.lit("2024-01-30").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") * 7 % 700).cast("int"))).alias("ts"), (F.col("id") * 37 % 101 + 10.0).alias("close"))
+    b = b.withColumns({"high": F.col("close") + 1, "low": F.col("close") - F.col("close") % 5})
+    work = lambda x: labels.triple_barrier(indicators.with_atr(x).withColumns(indicators.bollinger()))
+    cols = ("symbol", "ts", "atr", "bb_upper", "label")
+    rows = lambda x: sorted(repr((r.symbol, r.ts, *(None if v is None else round(v, 9) for v in r[2:]))) for r in x.select(*cols).collect())
+    want = rows(work(b))
+    for size in (20, 33, 4096):
+        got = in_blocks(b, work, 19, 20, size=size)
+        assert rows(got) == want
+    seen = in_blocks(b, lambda x: x.withColumn("where", F.col("symbol.block")), 19, 20, size=20)
+    assert seen.count() == 700 and seen.select("symbol", "where").distinct().count() >= 34
