@@ -13,6 +13,8 @@ from .common import LOWER, UPPER
 
 #: Up to so many rules the index is a literal of the plan (a few hundred bytes a rule); more are joined.
 INLINE_RULES = 500
+#: Up to so many rules (some 300 bytes each) the table of rules is broadcast.
+BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -28,9 +30,9 @@ class Rule:
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        """Over host and path joined by a NUL, so that a host never runs into a path."""
-        return r"^(?:[^\x00]*\.)?" + _quoted(self.host) + r"\x00" + _quoted(self.path)
+    def patterns(self) -> tuple[str, str]:
+        """Of the host and of the path, each matched by itself, so that a host never runs into a path."""
+        return r"(?s)^(?:.*\.)?" + _quoted(self.host) + r"\z", "^" + _quoted(self.path)
 
     @property
     def tokens(self) -> list[str]:
@@ -45,21 +47,17 @@ def _quoted(literal: str) -> str:
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (ASCII letters lower-cased) and path; both empty for a null URL or one without ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({_sql(url)}, instr({_sql(url)}, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return F.translate(F.coalesce(host, F.lit("")), UPPER, LOWER), F.coalesce(path, F.lit(""))
 
 
-def _sql(col: Column) -> str:
-    return "`__url`"
-
-
 def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(
         F.concat(
             F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x)),
-            F.transform(F.slice(F.split(path, "/"), 2, 1 << 20), lambda x: F.concat(F.lit("p:"), x)),
+            F.transform(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/"))), lambda x: F.concat(F.lit("p:"), x)),
         )
     )
 
@@ -90,19 +88,20 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", d
         return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     rarest = rarest_tokens(rows.select("host", "path"), rules)
     rank = {r: i for i, r in enumerate(rules)}
-    target = F.concat(F.col("host"), F.lit("\x00"), F.col("path"))
+    fits_both = lambda h, p: F.regexp_like(F.col("host"), h) & F.regexp_like(F.col("path"), p)
     if len(rules) <= inline_rules:
         index: dict[str, list[Rule]] = {}
         for r in rules:
             index.setdefault(rarest[r], []).append(r)
-        entry = lambda r: F.struct(F.lit(rank[r]).alias("i"), F.lit(r.text).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"))
+        entry = lambda r: F.struct(F.lit(rank[r]).alias("i"), F.lit(r.text).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.patterns[0]).alias("host"), F.lit(r.patterns[1]).alias("path"))
         lookup = F.create_map(*[x for t, rs in index.items() for x in (F.lit(t), F.array(*map(entry, rs)))])
         hit = F.array_intersect(url_tokens(F.col("host"), F.col("path")), F.array(*map(F.lit, index)))
-        found = F.filter(F.flatten(F.transform(hit, lambda t: F.element_at(lookup, t))), lambda c: F.regexp_like(target, c["pattern"]))
+        found = F.filter(F.flatten(F.transform(hit, lambda t: F.element_at(lookup, t))), lambda c: fits_both(c["host"], c["path"]))
         best = F.array_min(found)
         return rows.withColumn("__b", best).select(*keep, "host", "path", F.col("__b.rule").alias("rule"), F.coalesce(F.col("__b.action"), F.lit(default)).alias("verdict"))
-    table = pages.sparkSession.createDataFrame([(rarest[r], rank[r], r.text, r.action, r.pattern) for r in rules], "token string, i int, rule string, action string, pattern string")
-    urls = rows.select("host", "path").distinct().withColumn("token", F.explode(url_tokens(F.col("host"), F.col("path"))))
-    fits = urls.join(table, "token").where(F.regexp_like(target, F.col("pattern")))
+    table = pages.sparkSession.createDataFrame([(rarest[r], rank[r], r.text, r.action, *r.patterns) for r in rules], "token string, i int, rule string, action string, __h string, __p string")
+    # The table of rules is as small as the list it comes from, so a token that most URLs hold is no group in one task; URLs without a host have no token that counts.
+    urls = rows.where("host <> ''").select("host", "path").distinct().withColumn("token", F.explode(url_tokens(F.col("host"), F.col("path"))))
+    fits = urls.join(F.broadcast(table) if len(rules) <= BROADCAST_RULES else table, "token").where(fits_both(F.col("__h"), F.col("__p")))
     best = fits.groupBy("host", "path").agg(F.min(F.struct("i", "rule", "action")).alias("__b"))
     return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", F.col("__b.rule").alias("rule"), F.coalesce(F.col("__b.action"), F.lit(default)).alias("verdict"))

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barspark.llm import byte_bpe, chat_format, html_extract, mix_sources, near_dup, quality_classifier, quality_rules, token_files, topk_search, url_filter
 
@@ -53,6 +54,16 @@ def test_url_parts_and_rules(spark):
     assert url_filter.filter_urls(pages, ()).where("verdict = 'allow' and rule is null").count() == 20
 
 
+def test_a_host_with_a_nul_is_a_subdomain(spark):
+    rows = [(0, "http://a\x00.net/x"), (1, "http://net\x00/x"), (2, "http://a\nb.example.net/en/q"), (3, None)]
+    pages = spark.createDataFrame(rows, "page_id long, link string")
+    rules = (url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"))
+    for inline in (500, 0):
+        got = {r.page_id: r.rule for r in url_filter.filter_urls(pages, rules, url_col="link", inline_rules=inline).collect()}
+        assert got == {0: "net/", 1: None, 2: "example.net/en/", 3: None}
+    assert pages.select(url_filter.url_parts(F.col("link"))[0]).first()[0] == "a\x00.net"
+
+
 def test_url_index_finds_what_trying_every_rule_finds(spark):
     rng = random.Random(1)
     label = lambda: rng.choice("abcd")
