@@ -7,13 +7,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .url_filter import url_parts
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)""", re.S)
+#: What begins at a place: a comment, a tag (its name), another declaration, or text.
+_TOKEN = re.compile(r"(<!--)|<(/?)([a-zA-Z][^\s/>]*)|(<[!?])|([^<]+|<)")
+_QUOTE = re.compile("[\"'>]")
 #: One attribute after the other, each with its whole value, so that no name is found within a value or another name.
 _ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)))?""")
 RAW = frozenset("script style noscript template textarea svg math iframe object audio video canvas title".split())
@@ -46,34 +49,60 @@ def is_chrome(name: str) -> bool:
     return bool(words & CHROME_WORDS) and words <= CHROME_WORDS | PLACE_WORDS
 
 
+def _hash(path: str) -> int:
+    return xxhash.xxh3_64_intdigest(path) - (1 << 63)
+
+
 def _worth(text: str, linked: int) -> int:
     return max(0, len(text) - 2 * linked)
 
 
+class Tags:
+    """Finds where tags end, outside their quotes; a page is read once, however many quotes stay open."""
+
+    def __init__(self, html: str):
+        self.html, self.dead, self.last = html, set(), html.rfind(">")
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``: the first outside quotes, else the first; -1 without any."""
+        seen, p = [], at
+        while (m := _QUOTE.search(self.html, p)) and m.start() not in self.dead:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            p = self.html.find(m[0], m.end()) + 1
+            if not p:
+                break
+        self.dead.update(seen)  # from here, outside quotes, there is no end
+        return self.html.find(">", at) if at <= self.last else -1
+
+
 class Page:
-    """The page's blocks of clean text, each with the containers around it.
+    """The page's blocks of clean text, each with the container around it. Time and memory are linear in the page, however deep it nests.
 
-    ``blocks``: (container numbers, text, characters in links); ``paths``: each container's generalised path, numbers
-    in classes as ``#``, None if it is hidden; ``weight``: how much its kind looks like an article.
+    ``blocks``: (container number, text, characters in links); ``parent``, ``depth`` and ``weight`` (how much its kind looks like an article) of each
+    container; ``paths``: a hash of its generalised path, numbers in classes as ``#``, None if it is hidden.
 
     Blocks that are chrome by name alone, and forms, are doubtful: they are hidden unless they hold most of the page's unlinked text (see ``_settle``)."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[tuple[int, ...], str, int]] = []
-        self.paths: list[str | None] = ["body"]
-        self.weight: list[float] = [0.5]
+        self.blocks: list[tuple[int, str, int]] = []
+        self.parent, self.depth, self.weight = [-1], [0], [0.5]
+        self.paths: list[int | None] = [_hash("body")]
         self._read(html or "")
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int, bool, int]] = []  # tag, container number or -1, hidden from here on, doubtful block's number or -1
-        inside: tuple[int, ...] = (0,)
-        within: tuple[int, ...] = ()  # the doubtful blocks that are open
-        above: list[tuple[int, ...]] = []  # those around each doubtful block
-        around: list[tuple[int, ...]] = [()]  # those around each container
-        content: set[int] = set()  # containers that say they are the content
-        held: list[tuple[int, ...]] = []  # those around each block of text
+        open_: dict[str, int] = {}  # how many of a tag the stack holds
+        inside = 0  # the container
+        within = -1  # the doubtful block
+        above: list[int] = []  # the one around each doubtful block
+        around = [-1]  # the one around each container
+        content = [False]  # containers that say they are the content, and all within
+        held: list[int] = []  # the doubtful block around each block of text
         text: list[str] = []
         linked = links = hidden = semantic = at = 0
+        tags = Tags(html)
 
         def flush() -> None:
             nonlocal linked
@@ -87,26 +116,36 @@ class Page:
         def close() -> str:
             nonlocal hidden, semantic, inside, within
             t, number, off, doubt = stack.pop()
+            open_[t] -= 1
             hidden -= off
             semantic -= t in ("article", "main")
             if number >= 0:
-                inside = inside[:-1]
+                inside = self.parent[number]
             if doubt >= 0:
-                within = within[:-1]
+                within = above[doubt]
             return t
 
         while m := _TOKEN.match(html, at):
             at = m.end()
-            if (words := m[7]) is not None:
+            words, tag, closing, rest = m[5], m[3], m[2], ""
+            if m[1]:
+                at = end + 3 if (end := html.find("-->", at)) >= 0 else len(html)
+                continue
+            if words is None:
+                end = tags.end(at) if tag else html.find(">", at) if at <= tags.last else -1
+                if end < 0:
+                    at, words = m.start() + 1, "<"
+                else:
+                    rest, at = html[at:end], end + 1
+            if words is not None:
                 if not hidden:
                     words = entities.unescape(words)
                     text.append(words)
                     linked += len(words) if links else 0
                 continue
-            tag = m[2] or m[5]
             if not tag:
                 continue
-            tag, closing, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+            tag = tag.lower()
             if tag in RAW and not closing:
                 if not rest.endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
@@ -133,20 +172,22 @@ class Page:
                 if not hidden and not off and (tag == "form" or bool(words & CHROME_WORDS) and tag not in ("html", "body", "article", "main") and any(map(is_chrome, f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split()))):
                     doubt = len(above)
                     above.append(within)
-                    within += (doubt,)
+                    within = doubt
                 if tag in CONTAINERS and tag != "body" and not hidden and not off:
                     number = len(self.paths)
                     named = ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in a.get("class", "").split())])
-                    self.paths.append(f"{self.paths[inside[-1]]}>{named}")
+                    self.paths.append(_hash(f"{self.paths[inside]}>{named}"))
+                    self.parent.append(inside)
+                    self.depth.append(self.depth[inside] + 1)
                     self.weight.append({"article": 1.5, "main": 1.4}.get(tag, 1.3 if words & CONTENT_WORDS else 1.0))
-                    inside += (number,)
+                    content.append(content[inside] or tag in ("article", "main") or bool(words & CONTENT_WORDS) and doubt < 0)
+                    inside = number
                     around.append(within)
-                    if tag in ("article", "main") or words & CONTENT_WORDS and doubt < 0:
-                        content.add(number)
                 stack.append((tag, number, off, doubt))
+                open_[tag] = open_.get(tag, 0) + 1
                 hidden += off
                 semantic += tag in ("article", "main")
-            elif any(s[0] == tag for s in stack):
+            elif open_.get(tag):
                 while close() != tag:
                     pass
                 links = 0
@@ -154,70 +195,78 @@ class Page:
         if above:
             self._settle(above, around, content, held)
 
-    def _settle(self, above: list[tuple[int, ...]], around: list[tuple[int, ...]], content: set[int], held: list[tuple[int, ...]]) -> None:
+    def _settle(self, above: list[int], around: list[int], content: list[bool], held: list[int]) -> None:
         """Hides the doubtful blocks, but for those with most of the page's unlinked text, if what stands in containers that
         say they are the content, outside the block and all other doubt, is less than a tenth of that."""
-        worth = [_worth(text, linked) for _, text, linked in self.blocks]
-        of = [0] * len(above)
-        for w, doubts in zip(worth, held, strict=True):
-            for d in doubts:
-                of[d] += w
-        gone = set()
-        for d, over in enumerate(above):
-            shown = 2 * of[d] > sum(worth)
-            if shown:
-                rest = sum(w for w, doubts, (inside, _, _) in zip(worth, held, self.blocks, strict=True) if over[: len(doubts)] == doubts and not content.isdisjoint(inside))
-                shown = 10 * rest < of[d]
-            if not shown:
-                gone.add(d)
-        if gone:
-            self.blocks = [b for b, doubts in zip(self.blocks, held, strict=True) if gone.isdisjoint(doubts)]
-            self.paths = [p if gone.isdisjoint(doubts) else None for p, doubts in zip(self.paths, around, strict=True)]
-
-    def votes(self, most: int = 3) -> list[tuple[str, int]]:
-        """The best container paths, each with its score in thousandths: its share of unlinked text by the weight of its kind."""
-        score: dict[int, float] = {}
-        total = 0.0
+        n, total = len(above), 0
+        of, plain = [0] * (n + 1), [0] * (n + 1)  # the last: outside all doubt
+        for d, (inside, text, linked) in zip(held, self.blocks, strict=True):
+            w = _worth(text, linked)
+            total += w
+            of[d] += w
+            plain[d] += w if content[inside] else 0
+        for d in range(n - 1, -1, -1):
+            if above[d] >= 0:
+                of[above[d]] += of[d]
+        off, beside = [False] * (n + 1), [0] * (n + 1)
+        for d in range(n):
+            beside[d] = beside[above[d]] + plain[above[d]]
+            off[d] = off[above[d]] or not (2 * of[d] > total and 10 * beside[d] < of[d])
+        self.blocks = [b for b, d in zip(self.blocks, held, strict=True) if not off[d]]
+        self.paths = [None if off[d] else p for p, d in zip(self.paths, around, strict=True)]
+
+    def votes(self) -> list[tuple[int, int, int]]:
+        """Every container path that holds text, best first: its hash, depth, and score in millionths, which is its share of unlinked text by the
+        weight of its kind. Ties: the deeper, then the smaller hash."""
+        score = [0.0] * len(self.parent)
         for inside, text, linked in self.blocks:
-            worth = _worth(text, linked)
-            total += worth
-            for c in inside:
-                score[c] = score.get(c, 0.0) + worth
+            score[inside] += _worth(text, linked)
+        for c in range(len(score) - 1, 0, -1):
+            score[self.parent[c]] += score[c]
+        total, by = score[0], {}
         if not total:
             return []
-        by: dict[str, float] = {}
-        for c, s in score.items():
-            path = self.paths[c]
-            by[path] = by.get(path, 0.0) + s / total * self.weight[c]
-        best = sorted(by.items(), key=lambda x: (-round(x[1], 6), -x[0].count(">"), x[0]))[:most]
-        return [(p, round(1000 * s)) for p, s in best]
-
-    def text(self, path: str | None) -> str:
+        for path, depth, s, weight in zip(self.paths, self.depth, score, self.weight, strict=True):
+            if s and path is not None:
+                by[path, depth] = by.get((path, depth), 0.0) + s / total * weight
+        return sorted(((p, d, round(1e6 * s)) for (p, d), s in by.items()), key=lambda x: (-x[2], -x[1], x[0]))
+
+    def _within(self, path: int | None) -> list[bool]:
+        """Which containers are at the path, or within one that is."""
+        out: list[bool] = []
+        for p, up in zip(self.paths, self.parent, strict=True):
+            out.append(p is not None and p == path or up >= 0 and out[up])
+        return out
+
+    def text(self, path: int | None) -> str:
         """The blocks within the containers at ``path``; without such a container, or if it holds too little, within the page's own best one."""
-        wanted = {i for i, p in enumerate(self.paths) if p == path and p is not None}
-        held = lambda some: sum(_worth(t, linked) for inside, t, linked in self.blocks if some.intersection(inside))
-        if (not wanted or held(wanted) < LITTLE * held({0})) and (own := self.votes(1)):
-            best = {i for i, p in enumerate(self.paths) if p == own[0][0]}
-            if not wanted or held(best) >= PARAGRAPH:
+        wanted = self._within(path)
+        held = lambda some: sum(_worth(t, linked) for inside, t, linked in self.blocks if some is None or some[inside])
+        if (not any(wanted) or held(wanted) < LITTLE * held(None)) and (own := self.votes()):
+            best = self._within(own[0][0])
+            if not any(wanted) or held(best) >= PARAGRAPH:
                 wanted = best
-        return "\n".join(t for inside, t, _ in self.blocks if not wanted or wanted.intersection(inside))
+        every = not any(wanted)
+        return "\n".join(t for inside, t, _ in self.blocks if every or wanted[inside])
 
 
 def _ballot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows = [(h, p, s) for h, x in zip(f.host, f.html, strict=True) for p, s in Page(x).votes()]
-        yield pd.DataFrame(rows, columns=["host", "path", "score"])
+        sums: dict[tuple[str, int, int], int] = {}
+        for h, x in zip(f.host, f.html, strict=True):
+            for p, depth, s in Page(x).votes():
+                sums[h, p, depth] = sums.get((h, p, depth), 0) + s
+        yield pd.DataFrame([(*k, s) for k, s in sums.items()], columns=["host", "path", "depth", "score"])
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, path)``: each host's container path with the most votes (ties: the deeper, then by code point).
+    """``(host, path)``: the hash of each host's container path with the most votes (ties: the deeper, then the smaller hash). Every path of a page votes.
 
     Votes are summed by host and path before they are shuffled by host, so a common host is no large group."""
     host = url_parts(F.col("__url"))[0]
     votes = pages.select(F.col(f"`{url_col}`").alias("__url"), F.col(f"`{html_col}`").alias("html")).select(host.alias("host"), "html")
-    votes = votes.mapInPandas(_ballot, "host string, path string, score long").groupBy("host", "path").agg(F.sum("score").alias("score"))
-    depth = F.size(F.split("path", ">"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), -depth, F.col("path"))).alias("path"))
+    votes = votes.mapInPandas(_ballot, "host string, path long, depth long, score long").groupBy("host", "path", "depth").agg(F.sum("score").alias("score"))
+    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), -F.col("depth"), F.col("path"))).alias("path"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = 20_000) -> DataFrame:
@@ -230,11 +279,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     paths = materialize(host_paths(pages, url_col, html_col), "host-paths").withColumnRenamed("host", "__host")
     paths = F.broadcast(paths) if paths.count() <= small else paths
     p = pages.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col), F.col(f"`{url_col}`").alias("__url"), F.col(f"`{html_col}`").alias("html"))
-    p = p.withColumn("__h", url_parts(F.col("__url"))[0]).join(paths, F.col("__h") == F.col("__host"), "left").select(F.col(id_col), F.col(url_col), "html", "path")
+    p = p.withColumn("__h", url_parts(F.col("__url"))[0]).join(paths, F.col("__h") == F.col("__host"), "left").select(F.col(id_col), F.col(url_col), "html", F.col("path").cast("string").alias("path"))
     kind = p.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({id_col: f[id_col], url_col: f[url_col], "text": [Page(h).text(w) for h, w in zip(f.html, f.path, strict=True)]})
+            yield pd.DataFrame({id_col: f[id_col], url_col: f[url_col], "text": [Page(h).text(None if pd.isna(w) else int(w)) for h, w in zip(f.html, f.path, strict=True)]})
 
     return p.mapInPandas(run, f"`{id_col}` {kind}, `{url_col}` string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -534,7 +534,7 @@ MAIN = "<p>" + "The main text of this page goes on and on. " * 8 + "</p>"
 )
 def test_main_text_is_not_hidden_by_a_name(page):
     p = html_extract.Page(f"<html><body>{page}</body></html>")
-    got = p.text(p.votes(1)[0][0])
+    got = p.text(p.votes()[0][0])
     assert "The main text of this page goes on" in got and not re.search(r"\bno\b", got)
 
 
@@ -549,3 +549,28 @@ def test_a_page_whose_host_path_is_empty_gives_its_own(spark):
     rows = [(i, "http://h/", usual) for i in range(5)] + [(9, "http://h/", f"<div class=a>tiny</div><div class=b>{MAIN}</div>"), (10, "http://h/", "<div class=a>tiny</div><div class=b>also tiny, more</div>")]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9].startswith("The main text") and got[10] == "tiny"
+
+
+def test_article_parts_named_like_chrome_stay():
+    page = html_extract.Page(f"<body><article>{MAIN}<div class='share-price-table'><p>Price rose</p></div><section id='related-work'><p>Others too</p></section></article>")
+    assert page.text(None).split("\n")[1:] == ["Price rose", "Others too"]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, '<a "' * 100_000, "<a \"'" * 50_000 + ">", "<form>x" * 50_000, "</div>" * 100_000 + "x", "<div class=menu>x" * 30_000])
+def test_pages_are_read_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.Page(page[: len(page) // 8]).text(None)
+    base = time.process_time() - began
+    began = time.process_time()
+    html_extract.Page(page).text(None)
+    assert time.process_time() - began < 40 * max(base, 0.05)
+
+
+def test_every_path_of_a_page_votes(spark):
+    inner = "".join(f"<div class=k{'abcdefgh'[i]}><p>{'some words here ' * (9 - i)}</div>" for i in range(8))
+    pages = spark.createDataFrame([(i, "http://h/", f"<body>{inner}") for i in range(3)] + [(9, None, None)], "page_id long, url string, html string")
+    votes = html_extract.Page(f"<body>{inner}").votes()
+    assert len(votes) == 9
+    assert {r.host: r.path for r in html_extract.host_paths(pages).collect()} == {"h": votes[0][0]}
