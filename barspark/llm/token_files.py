@@ -52,6 +52,8 @@ def build_index(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> b
 
     Level by level, keys that are alone at their place in a bit array of ``GAMMA`` places a key set its bit; the others go to
     the next level. A key's slot is the number of bits set before its own."""
+    if len(np.unique(hashes)) < len(hashes):
+        raise ValueError("two keys of a shard have one hash")
     left, levels = np.arange(len(hashes)), []
     slot, taken = np.empty(len(hashes), np.int64), 0
     while len(left):
