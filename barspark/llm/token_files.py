@@ -29,6 +29,8 @@ assert sys.byteorder == "little"
 #: A shard is closed when its payload reaches so many bytes; one document is never split.
 SHARD_BYTES = 4 << 20
 GAMMA = 1.5
+#: A slot of the index: fingerprint of the key's hash, the document's place in the shard, and start and count of its ids.
+SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("start", "<u8"), ("count", "<u4")])
 #: Chunks without other white space than a space before are given to the library some at a time, one a line: the pattern leaves a line's end alone
 #: before a space or a word, so its one id parts the chunks' ids.
 _PLAIN, LINES = re.compile(rb" ?[!-~]+"), 16
@@ -48,7 +50,7 @@ def key_hash(keys: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
 
 
 def build_index(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> bytes:
-    """A minimal perfect hash over distinct ``hashes``, with a fingerprint, start and count in each slot.
+    """A minimal perfect hash over distinct ``hashes``, with a ``SLOT`` each, in the documents' order.
 
     Level by level, keys that are alone at their place in a bit array of ``GAMMA`` places a key set its bit; the others go to
     the next level. A key's slot is the number of bits set before its own."""
@@ -66,9 +68,9 @@ def build_index(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> b
         taken += int(bits.sum())
         levels.append(np.packbits(bits, bitorder="little").tobytes())
         left = left[~alone]
-    table = np.empty(len(hashes), np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u4")]))
+    table = np.empty(len(hashes), SLOT)
     table["print"][slot] = (_mix(hashes, 3) >> np.uint64(32)).astype(np.uint32)
-    table["start"][slot], table["count"][slot] = starts, counts
+    table["row"][slot], table["start"][slot], table["count"][slot] = np.arange(len(hashes)), starts, counts
     return struct.pack("<II", len(levels), len(hashes)) + b"".join(struct.pack("<I", len(x)) + x for x in levels) + table.tobytes()
 
 
@@ -85,10 +87,10 @@ class Index:
             self.levels.append((bits, ranks))
             before += int(bits.sum())
             at += 4 + size
-        self.table = np.frombuffer(raw, np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u4")]), self.n, at)
+        self.table = np.frombuffer(raw, SLOT, self.n, at)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Found or not (by fingerprint), start and count of each hash."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Found or not (by fingerprint), and the slot of each hash, in constant time a hash."""
         slot = np.full(len(hashes), -1, np.int64)
         for i, (bits, ranks) in enumerate(self.levels):
             left = np.flatnonzero(slot < 0)
@@ -98,9 +100,9 @@ class Index:
             hit = bits[at] == 1
             slot[left[hit]] = ranks[at[hit]]
         if not self.n:
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint32)
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), SLOT)
         row = self.table[np.maximum(slot, 0)]
-        return (slot >= 0) & (row["print"] == (_mix(hashes, 3) >> np.uint64(32)).astype(np.uint32)), row["start"], row["count"]
+        return (slot >= 0) & (row["print"] == (_mix(hashes, 3) >> np.uint64(32)).astype(np.uint32)), row
 
 
 def _tokenizer(path: str):
@@ -207,8 +209,9 @@ def read_documents(spark, path: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 keys, same = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["occurrence"], np.uint32)
-                found, starts, counts = Index(row["index"]).find(key_hash(keys, same))
-                if not found.all():
+                found, slots = Index(row["index"]).find(key_hash(keys, same))
+                starts, counts = slots["start"], slots["count"]
+                if not found.all() or (slots["row"] != np.arange(len(keys))).any():
                     raise ValueError(f"shard {row['part']}/{row['seq']}: its index lacks a key")
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}")
                 crc = [zlib.crc32(ids[int(s) : int(s) + int(c)].astype("<u4").tobytes()) for s, c in zip(starts, counts, strict=True)]
@@ -226,7 +229,8 @@ def read_documents(spark, path: str) -> DataFrame:
 
 
 def lookup(spark, path: str, keys: list[int]) -> DataFrame:
-    """``(id, occurrence, ids)`` of a short list of keys; shards whose range holds none are not read beyond their bounds."""
+    """``(id, occurrence, ids)`` of a short list of keys, each found in constant time in a shard; shards whose range holds none are not read
+    beyond their bounds. Keys that no document has give no row; rows that repeat an id give one each; null ids can't be asked for."""
     wanted = np.array(sorted(set(keys)), np.int64)
 
     @frees
@@ -234,11 +238,12 @@ def lookup(spark, path: str, keys: list[int]) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 index, ids, out, left, turn = Index(row["index"]), np.frombuffer(row["ids"], f"<u{row['width']}"), [], wanted, 0
+                stored, same = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["occurrence"], np.uint32)
                 while len(left):
-                    found, starts, counts = index.find(key_hash(left, np.full(len(left), turn, np.uint32)))
-                    real = np.isin(left, np.frombuffer(row["keys"], np.int64))  # 32 bits of a fingerprint let one in four billion strangers pass
-                    found &= real
-                    out += [(int(k), turn, ids[int(s) : int(s) + int(c)].astype(np.int64).tolist()) for k, s, c in zip(left[found], starts[found], counts[found], strict=True)]
+                    found, slots = index.find(key_hash(left, np.full(len(left), turn, np.uint32)))
+                    # 32 bits of a fingerprint let one in four billion strangers pass: the slot's own key decides.
+                    found &= (stored[slots["row"]] == left) & (same[slots["row"]] == turn)
+                    out += [(int(k), turn, ids[int(s["start"]) : int(s["start"]) + int(s["count"])].astype(np.int64).tolist()) for k, s in zip(left[found], slots[found], strict=True)]
                     left, turn = left[found], turn + 1
                 yield pa.RecordBatch.from_pylist([{"id": a, "occurrence": b_, "ids": c} for a, b_, c in out], pa.schema([("id", pa.int64()), ("occurrence", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 

@@ -11,61 +11,93 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Vectors in a shard at most about, in a leaf, and queries compared at once.
-SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 256, 512
+#: Vectors in a shard at most about while there are few, bytes of vectors in a shard when there are many, vectors in a leaf, queries compared at once.
+SHARD_ROWS, SHARD_BYTES, LEAF, QUERY_BLOCK = 8192, 32 << 20, 256, 512
+#: Integers below it are exact as doubles.
+EXACT = float(1 << 53)
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of integer-valued rows as int64, exact: as doubles where none can leave their exact range, else as Python's integers.
+
+    Products beyond the range of int64 stop at its ends; the lowest stays free as a mark."""
+    most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * a.shape[1]
+    if most < EXACT:
+        return (a @ b.T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(a) @ whole(b).T, int(LOWEST) + 1, int(HIGHEST)).astype(np.int64)
 
 
 class KDTree:
-    """Median splits along the widest side down to ``leaf`` points; every leaf has its tight bounding box."""
+    """Median splits along the widest side down to ``leaf`` points. Every node, inner or leaf, has the tight bounding box of its points.
+
+    Node i's children are ``child[i]``, ``child[i] + 1``; a leaf has none (-1) and its points, rows and ids in ``leaves[i]``."""
+
+    def __init__(self, points: np.ndarray, rows: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+        boxes, self.child, self.leaves, todo = [], [], {}, []
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        todo, self.leaves = [np.arange(len(points))], []
+        def add(at: np.ndarray) -> None:
+            boxes.append((points[at].min(axis=0), points[at].max(axis=0)))
+            self.child.append(-1)
+            todo.append((len(boxes) - 1, at))
+
+        if len(points):
+            add(np.arange(len(points)))
         while todo:
-            at = todo.pop()
-            if not len(at):
-                continue
-            x = points[at]
-            lo, hi = x.min(axis=0), x.max(axis=0)
+            node, at = todo.pop()
+            lo, hi = boxes[node]
             axis = int(np.argmax(hi - lo))
             if len(at) <= leaf or hi[axis] == lo[axis]:
-                at = at[np.argsort(ids[at], kind="stable")]
-                self.leaves.append((points[at], ids[at], lo, hi))
+                self.leaves[node] = (points[at], rows[at], ids[at])
                 continue
             half = len(at) // 2
-            order = np.argpartition(x[:, axis], half)
-            todo += [at[order[half:]], at[order[:half]]]
-        self.lo = np.array([x[2] for x in self.leaves]).reshape(len(self.leaves), -1)
-        self.hi = np.array([x[3] for x in self.leaves]).reshape(len(self.leaves), -1)
+            order = np.argpartition(points[at, axis], half)
+            self.child[node] = len(boxes)
+            add(at[order[:half]])
+            add(at[order[half:]])
+        self.lo, self.hi = [b[0] for b in boxes], [b[1] for b in boxes]
+
+    def bounds(self, queries: np.ndarray, node: int) -> np.ndarray:
+        """The largest inner product that the node's box allows each query, with room for rounding beyond exact doubles."""
+        lo, hi = self.lo[node], self.hi[node]
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = np.maximum(queries, 0) @ hi + np.minimum(queries, 0) @ lo
+            room = np.abs(queries) @ np.maximum(np.abs(lo), np.abs(hi))
+            return np.maximum(np.where(room < EXACT, bound, np.nan_to_num(bound + 1e-9 * room, nan=np.inf)), float(LOWEST))
 
     def search(self, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, id and score of each query's best ``k`` here that reach ``kth``; ``own`` ids take no part.
-
-        A leaf's bound is the largest inner product that its box allows. Round by round, each query still open visits its best
-        leaf not yet seen; it closes when that bound falls below its k-th score. Equal scores go to smaller ids."""
-        n = len(queries)
-        best = np.full((n, k), -np.inf)
-        name = np.full((n, k), np.iinfo(np.int64).max)
-        if self.leaves and n:
-            bound = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
-            order = np.argsort(-bound, axis=1, kind="stable")
-            floor = kth.astype(float).copy()
-            for turn in range(len(self.leaves)):
-                leaf = order[:, turn]
-                open_ = np.flatnonzero(bound[np.arange(n), leaf] >= floor)
-                if not len(open_):
-                    break
-                for j in np.unique(leaf[open_]):
-                    q = open_[leaf[open_] == j]
-                    points, ids = self.leaves[j][:2]
-                    score = queries[q] @ points.T
-                    score[own[q][:, None] == ids[None, :]] = -np.inf
-                    score[score < floor[q][:, None]] = -np.inf
-                    s = np.concatenate([best[q], score], axis=1)
-                    i = np.concatenate([name[q], np.where(np.isfinite(score), ids[None, :], np.iinfo(np.int64).max)], axis=1)
-                    pick = np.lexsort((i, -s), axis=1)[:, :k]
-                    best[q], name[q] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
-                    floor[q] = np.maximum(floor[q], best[q][:, -1])
-        at, col = np.nonzero(np.isfinite(best))
+        """Query number, id and score of each query's best ``k`` here that reach ``kth``; the row ``own`` takes no part.
+
+        Best first, many queries a round: each open query takes the node with the highest bound from its frontier. An inner node gives way to
+        its children; a leaf's points are scored, and raise the query's k-th score. A query closes when no bound in its
+        frontier reaches that score. Equal scores go to smaller ids."""
+        n, floor = len(queries), kth.astype(np.int64).copy()
+        best, name = np.full((n, k), LOWEST), np.full((n, k), HIGHEST)
+        frontier = np.full((n, len(self.child)), -np.inf)
+        if self.child and n:
+            frontier[:, 0] = self.bounds(queries, 0)
+        while self.child and n:
+            node = np.argmax(frontier, axis=1)
+            top = frontier[np.arange(n), node]
+            open_ = np.flatnonzero((top > -np.inf) & (top >= floor.astype(float)))
+            if not len(open_):
+                break
+            for j in np.unique(node[open_]):
+                q = open_[node[open_] == j]
+                frontier[q, j] = -np.inf
+                if (c := self.child[j]) >= 0:
+                    frontier[q, c], frontier[q, c + 1] = self.bounds(queries[q], c), self.bounds(queries[q], c + 1)
+                    continue
+                points, rows, ids = self.leaves[j]
+                score = products(queries[q], points)
+                score[(own[q][:, None] == rows[None, :]) | (score < floor[q][:, None])] = LOWEST
+                s = np.concatenate([best[q], score], axis=1)
+                i = np.concatenate([name[q], np.where(score > LOWEST, ids[None, :], HIGHEST)], axis=1)
+                pick = np.lexsort((i, ~s), axis=1)[:, :k]
+                best[q], name[q] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
+                floor[q] = np.maximum(floor[q], best[q][:, -1])
+        at, col = np.nonzero(best > LOWEST)
         return at, name[at, col], best[at, col]
 
 
@@ -73,65 +105,74 @@ def _search(k: int, leaf: int, block: int):
     """Streams a sorted partition: a shard's vectors come first and become its tree, then its queries, block by block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, rows, tree = None, [], None
+        shard, held, tree = None, [], None
 
         def planted() -> KDTree:
-            points = np.concatenate([np.stack(r.v.to_numpy()) for r in rows]).astype(float) if rows else np.empty((0, 1))
-            return KDTree(points, np.concatenate([r.id.to_numpy() for r in rows]) if rows else np.empty(0, np.int64), leaf)
+            if not held:
+                return KDTree(np.empty((0, 1)), *[np.empty(0, np.int64)] * 2, leaf)
+            return KDTree(np.concatenate([np.stack(r.v.to_numpy()) for r in held]).astype(float), *[np.concatenate([r[c].to_numpy() for r in held]) for c in ("row", "id")], leaf)
 
         for f in frames:
             for s, g in f.groupby("shard", sort=False):
                 if s != shard:
-                    shard, rows, tree = s, [], None
+                    shard, held, tree = s, [], None
                 if len(c := g[g.is_query == 0]):
-                    rows.append(c[["id", "v"]])
+                    held.append(c[["row", "id", "v"]])
                 q = g[g.is_query == 1]
                 for i in range(0, len(q), block):
                     if tree is None:
-                        tree, rows = planted(), []
+                        tree, held = planted(), []
                     part = q.iloc[i : i + block]
-                    at, ids, score = tree.search(np.stack(part.v.to_numpy()).astype(float), part.id.to_numpy(), part.kth.to_numpy(), k) if tree.leaves else (np.empty(0, int),) * 3
-                    yield pd.DataFrame({"query_id": part.id.to_numpy()[at], "vec_id": ids.astype(np.int64), "score": score.astype(np.int64)})
+                    at, ids, score = tree.search(np.stack(part.v.to_numpy()).astype(float), part.row.to_numpy(), part.kth.to_numpy(), k)
+                    yield pd.DataFrame({"row": part.row.to_numpy()[at], "query_id": part.id.to_numpy()[at], "vec_id": ids.astype(np.int64), "score": score.astype(np.int64)})
 
     return run
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """``(id, v)`` with ``floor(scale * x)`` of each component as long; rows with a null id, vector or component, or one that isn't finite, are left out."""
-    bad: Column = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    """``(row, id, v)``: a key of the row and ``floor(scale * x)`` of each component, as doubles that are integers.
+
+    Rows with a null id, null, empty or non-finite vectors or components, and components beyond a double when scaled, are left out."""
     x = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    x = x.where((F.size("v") > 0) & ~bad).select("id", F.transform("v", lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
-    return x.groupBy("id").agg(F.min("v").alias("v"))
+    x = x.withColumn("v", F.transform("v", lambda c: c * F.lit(float(scale))))
+    bad: Column = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    # From 2^53 on, every double is an integer.
+    x = x.where((F.size("v") > 0) & ~bad).withColumn("v", F.transform("v", lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(c)))
+    return x.select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, leaf: int = LEAF, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the exact ``k`` best inner products of every vector whose id is divisible by ``every``,
-    against all other vectors; ties go to the smaller id; all, if there are fewer than ``k``.
+    against all other rows; ties go to the smaller id; all, if there are fewer than ``k``.
 
-    Vectors are dealt to shards of about ``shard_rows``. Queries first search one shard each in turn by their id, and carry the k-th score found
-    to all others as the bound from which anything counts. Only each shard's best ``k`` leave it. An id with several rows counts once, with
-    its smallest vector. Vectors of several lengths are compared only with those of their own length.
+    Vectors are dealt to shards of about ``shard_rows``, or of ``SHARD_BYTES`` once there are more shards than the session's parallelism, so that
+    queries are sent as seldom as memory allows. Queries first search one shard, and carry the k-th score found to all others as
+    the bound from which anything counts. Only each shard's best ``k`` leave it. Rows that repeat an id are vectors of their own: a query's
+    other rows are candidates, and each of them asks for itself. Vectors of several lengths are compared only with those of their own
+    length. Scores beyond the range of a long stop at its ends. Further columns are ignored; an empty table gives no rows.
     """
+    spark = vectors.sparkSession
     v = materialize(quantized(vectors, id_col, vector_col, scale), "vectors")
-    n = v.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards = max(1, -(-n // shard_rows))
     dim = F.size("v")
-    home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    n, longest = v.agg(F.count("*"), F.max(dim)).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shards = max(1, min(-(-n // shard_rows), max(spark.sparkContext.defaultParallelism, -(-n * longest * 8 // SHARD_BYTES))))
+    home = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     shard = lambda s: F.concat_ws("/", dim.cast("string"), s.cast("string"))
-    points = v.select(shard(home).alias("shard"), F.lit(0).alias("is_query"), "id", "v", F.lit(float("-inf")).alias("kth"))
+    none = F.lit(int(LOWEST)).cast("long")
+    points = v.select(shard(home).alias("shard"), F.lit(0).alias("is_query"), "row", "id", "v", none.alias("kth"))
     asked = v.where(F.pmod("id", F.lit(every)) == 0)
-    run, out = _search(k, leaf, block), "query_id long, vec_id long, score long"
+    run, out = _search(k, leaf, block), "row long, query_id long, vec_id long, score long"
 
     def searched(queries: DataFrame) -> DataFrame:
         return points.unionByName(queries).repartition("shard").sortWithinPartitions("shard", "is_query").mapInPandas(run, out)
 
-    first = asked.select(shard(home).alias("shard"), F.lit(1).alias("is_query"), "id", "v", F.lit(float("-inf")).alias("kth"))
+    first = asked.select(shard(home).alias("shard"), F.lit(1).alias("is_query"), "row", "id", "v", none.alias("kth"))
     near = materialize(searched(first), "first-shard")
-    kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
-    other = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("s") != home)
-    rest = other.select(shard(F.col("s")).alias("shard"), F.lit(1).alias("is_query"), "id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+    kth = near.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    other = asked.join(kth, "row", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("s") != home)
+    rest = other.select(shard(F.col("s")).alias("shard"), F.lit(1).alias("is_query"), "row", "id", "v", F.coalesce("kth", none).alias("kth"))
     both = near.unionByName(searched(rest)) if shards > 1 else near
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id")))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

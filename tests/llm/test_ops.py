@@ -394,12 +394,26 @@ def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
     index = token_files.Index(token_files.build_index(h, np.arange(len(h)), np.ones(len(h), int)))
-    found, start, _ = index.find(h)
-    assert found.all() and (start == np.arange(len(h))).all() and len(index.table) == len(h)
+    found, slots = index.find(h)
+    assert found.all() and (slots["start"] == np.arange(len(h))).all() and (slots["row"] == np.arange(len(h))).all() and len(index.table) == len(h)
     assert token_files.Index(token_files.build_index(h[:0], h[:0], h[:0])).find(h)[0].sum() == 0
     assert index.find(h + np.uint64(2**63))[0].mean() < 0.01
 
 
+def test_a_slot_leads_to_its_key_and_a_wrong_fingerprint_to_none(spark, tmp_path):
+    token_files.write_shards(docs_frame(spark, ["a", "b c"], [1, 2]), p := f"file://{tmp_path}/s", P.path("byte_bpe_50k.json"))
+    real = token_files.key_hash
+    row = spark.read.parquet(p).where("`first` <= 2 and `last` >= 2").first()
+    found, slots = token_files.Index(bytes(row["index"])).find(real(np.array([2]), np.array([0], np.uint32)))
+    assert found.all() and np.frombuffer(row["keys"], np.int64)[slots["row"]].tolist() == [2]
+    bad = bytearray(row["index"])
+    at = len(bad) - token_files.SLOT.itemsize * row["n_docs"]
+    bad[at : at + 4] = bytes(x ^ 255 for x in bad[at : at + 4])
+    keys = np.frombuffer(row["keys"], np.int64)
+    assert token_files.Index(bytes(bad)).find(real(keys, np.zeros(len(keys), np.uint32)))[0].sum() == len(keys) - 1
+    assert [r.id for r in token_files.lookup(spark, p, [2, 3]).collect()] == [2]
+
+
 # --- search
 
 
@@ -407,24 +421,53 @@ def test_top_k_is_exact_with_ties(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(0, 0.4, (700, 6)).round(1)
     v[100:300] = v[100]
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
-    rows += [(1000, None), (1020, [None] + [0.1] * 5), (1040, [float("nan")] * 6), (1060, [float("inf")] * 6), (None, [0.1] * 6), (0, rows[0][1])]
-    e = spark.createDataFrame([(*r, 1, "s") for r in rows], "vec_id long, embedding array<float>, label int, shard string")
+    names = [*range(697), 0, 0, 20]  # three rows repeat an id, with other vectors
+    rows = [(i, [float(x) for x in r]) for i, r in zip(names, v)]
+    rows += [(1000, None), (1020, [None] + [0.1] * 5), (1040, [float("nan")] * 6), (1060, [float("inf")] * 6), (None, [0.1] * 6), (1080, [])]
+    e = spark.createDataFrame([(*r, 1, "s", 7) for r in rows], "vec_id long, embedding array<float>, label int, shard string, row long")
     q = np.floor(64 * v.astype(np.float32).astype(float)).astype(int)
+    want = Counter()
+    for i in range(700):
+        if names[i] % 20 == 0:
+            best = sorted((-int(s), names[j]) for j, s in enumerate(q @ q[i]) if j != i)[:20]
+            want.update((names[i], rank, j, -x) for rank, (x, j) in enumerate(best, 1))
     for shard_rows, leaf in ((8192, 256), (90, 7)):
-        got = {}
-        for r in topk_search.top_k(e, shard_rows=shard_rows, leaf=leaf, block=9).collect():
-            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-        assert sorted(got) == list(range(0, 700, 20))
-        for i in got:
-            s = q @ q[i]
-            want = sorted((-int(s[j]), j) for j in range(700) if j != i)[:20]
-            assert [got[i][k] for k in range(1, 21)] == [(j, -x) for x, j in want]
+        assert Counter(tuple(r) for r in topk_search.top_k(e, shard_rows=shard_rows, leaf=leaf, block=9).collect()) == want
     assert topk_search.top_k(e.limit(0)).count() == 0
-    few = topk_search.top_k(e.where("vec_id in (0, 1, 2)"))
+    few = topk_search.top_k(e.where("vec_id in (1, 2) or vec_id = 40"))
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
 
+def test_top_k_of_huge_values_and_several_lengths(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e18, 2.0]), (2, [-1e30, 0.5]), (3, [0.25, 0.5]), (20, [0.5]), (21, [3.0]), (4, [1e6, 1e6 + 0.25])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=2, leaf=1).collect()
+    whole = {i: [int(64 * x) for x in v] for i, v in rows}  # every one of them is an integer already
+    for query in (0, 20):
+        s = {j: sum(a * b for a, b in zip(whole[query], v)) for j, v in whole.items() if j != query and len(v) == len(whole[query])}
+        s = {j: max(-(2**63) + 1, min(2**63 - 1, x)) for j, x in s.items()}
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == query] == sorted(s.items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_tree_nodes_are_tight_and_prune():
+    rng = np.random.default_rng(2)
+    points = np.floor(rng.normal(0, 30, (500, 3)))
+    t = topk_search.KDTree(points, np.arange(500), np.arange(500), leaf=16)
+    assert sum(len(x[0]) for x in t.leaves.values()) == 500 and len(t.leaves) * 2 - 1 == len(t.child)
+
+    def under(i):
+        return t.leaves[i][0] if i in t.leaves else np.concatenate([under(t.child[i]), under(t.child[i] + 1)])
+
+    for i in range(len(t.child)):
+        assert (under(i).min(axis=0) == t.lo[i]).all() and (under(i).max(axis=0) == t.hi[i]).all()
+    seen, real = [], topk_search.products
+    try:
+        topk_search.products = lambda a, b: (seen.append(len(b)), real(a, b))[1]
+        t.search(points[:1], np.array([0]), np.array([topk_search.LOWEST]), 5)
+    finally:
+        topk_search.products = real
+    assert sum(seen) < 250  # the boxes leave more than half of the points unseen
+
+
 # --- classifier
 
 
