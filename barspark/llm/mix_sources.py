@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Words in a block, and about how many words of the corpus a shard holds: small blocks cost nothing, as none becomes a row.
-BLOCK_WORDS, SHARD_WORDS = 64, 1_000_000
+#: Words in a block, about how many words of its source a shard holds, and shards in a group: small blocks cost nothing, as none becomes a row.
+BLOCK_WORDS, SHARD_WORDS, GROUP = 64, 100_000, 4096
+#: Copies of a row that one task numbers at a time.
+COPIES = 65_536
 #: A prime above any number of blocks in a shard: multiplying by it permutes the blocks.
 STRIDE = 2_147_483_647
 #: So many rows of sources or quotas (some 50 bytes each) are broadcast; more are shuffled.
@@ -57,36 +59,50 @@ def word_count(text: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, share: float = 1.0, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, ``size`` (words), ``source``, ``source_size``, ``target`` (the source's) and ``taken`` (words).
 
-    Sources get the corpus's blocks of ``block_words`` words by Sainte-Lague on their targets, their shards get those by
-    Sainte-Lague on the words they hold. In each shard, documents stand in a seeded order; a quota of q out of n blocks takes all of them
+    Sources get the corpus's blocks of ``block_words`` words by Sainte-Lague on their targets, groups of shards those by Sainte-Lague on the
+    words they hold, and shards their group's. In each shard, documents stand in a seeded order; a quota of q out of n blocks takes all of them
     q // n times and a seeded choice of q % n blocks once more. So a document is taken at most ``most`` times and a long one
-    may be taken in part. Shards keep a large source apart; their number follows the words. Weights go to the sources by
-    code point, null last, repeating. A null or empty text has size 0 and is never taken; repeated rows are documents of their own.
-    ``row_col``, a key of the row, is passed on and breaks ties between rows of equal id and size.
+    may be taken in part. A source has as many shards as its words fill, so a large one is many tasks. Weights go to the sources by
+    code point, null last, repeating. A null or empty text has size 0 and is never taken. Repeated rows are documents of their own: those of equal
+    id, source and size are counted before they are shuffled, and dealt to shards as numbered copies, so reruns agree.
+    ``row_col``, a key of the row, is passed on; with it, texts tell rows of equal id and size apart, then that key.
     """
     row = ["__row"] if row_col else []
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), *[F.col(f"`{row_col}`").alias(r) for r in row])
-    d = materialize(d.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))), "sizes")
-    total, n_sources = d.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct(F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("n")))).first()
-    shards = max(1, -(-total // shard_words))
-    # Partial sums by source and shard first, so that no source is one group.
-    d = d.withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(shards)))
-    held = d.groupBy("source", "shard").agg(F.sum("size").alias("held"))
-    sources = source_targets(held.groupBy("source").agg(F.sum("held").alias("source_size")), weights, most, share)
+    told = [F.xxhash64(F.col(f"`{text_col}`")).alias("copy"), F.lit(1).cast("long").alias("n")] if row_col else []
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), *[F.col(f"`{row_col}`").alias(r) for r in row], *told)
+    counted = materialize(d if row_col else d.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    if row_col:
+        d = counted.drop("n")
+    else:
+        several = counted.where(F.col("n") > COPIES).withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)"))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        each = counted.where(F.col("n") <= COPIES).withColumn("from", F.lit(0).cast("long")).unionByName(several)
+        d = each.withColumn("copy", F.explode(F.expr(f"sequence(from, least(from + {COPIES}L, n) - 1)"))).drop("n", "from")
+    d = d.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("copy").cast("string"))))
+    sizes = materialize(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
+    total, n_sources = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
+    sources = source_targets(sizes, weights, most, share)
     sources = sources.withColumn("seats", F.lit(round(total * share / block_words)).cast("long"))
     sources = materialize(apportion(sources.withColumn("all", F.lit(0)), "target", "seats", ["sid"], ["all"]).select("source", "sid", "source_size", "target", "quota"), "quotas")
     few = F.broadcast(sources) if n_sources <= SMALL else sources
-    same = lambda x: x.join(few.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    part = apportion(same(held).select("sid", "shard", F.col("held").cast("double").alias("held"), F.col("quota").alias("seats")), "held", "seats", ["shard"], ["sid"])
+    d = d.join(few.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    shards = F.expr(f"greatest(1L, (source_size + {shard_words - 1}L) div {shard_words}L)")
+    x = d.where("size > 0").withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), shards))
+    # Partial sums by source and shard first, so that no source is one group.
+    held = x.groupBy("sid", "shard").agg(F.sum("size").cast("double").alias("held"), F.first("quota").alias("seats"))
+    held = materialize(held.withColumn("group", F.expr(f"shard div {GROUP}")), "held")
+    groups = apportion(held.groupBy("sid", "group").agg(F.sum("held").alias("held"), F.first("seats").alias("seats")), "held", "seats", ["group"], ["sid"])
+    part = held.drop("seats").join(groups.select("sid", "group", F.col("quota").alias("seats")), ["sid", "group"])
+    part = apportion(part.select("sid", "group", "shard", "held", "seats"), "held", "seats", ["shard"], ["sid", "group"])
     # A shard's words are cut into equal blocks, so their size differs from ``block_words`` by a share of one block: block i ends before word (i + 1) * t div n.
     n = F.greatest(F.lit(1), F.round(F.col("held") / block_words)).cast("long")
     part = part.select(F.col("sid").alias("__i"), F.col("shard").alias("__j"), F.col("held").cast("long").alias("t"), n.alias("n"), F.least(F.col("quota"), n * most).alias("q"))
     at = Window.partitionBy("sid", "shard").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
-    x = same(d).withColumn("end", F.sum("size").over(at)).withColumn("begin", F.col("end") - F.col("size"))
-    x = x.join(F.broadcast(part) if n_sources * shards <= SMALL else part, (F.col("sid") == F.col("__i")) & (F.col("shard") == F.col("__j")))
+    x = x.withColumn("end", F.sum("size").over(at)).withColumn("begin", F.col("end") - F.col("size"))
+    x = x.join(F.broadcast(part) if total // shard_words + n_sources <= SMALL else part, (F.col("sid") == F.col("__i")) & (F.col("shard") == F.col("__j")))
     again = F.expr(f"""
-        CASE WHEN size > 0 AND q % n > 0 THEN aggregate(sequence(((begin + 1) * n - 1) div t, (end * n - 1) div t), 0L, (a, b) -> a +
+        CASE WHEN q % n > 0 THEN aggregate(sequence(((begin + 1) * n - 1) div t, (end * n - 1) div t), 0L, (a, b) -> a +
             CASE WHEN pmod(b * {STRIDE}L + sid * 7919L + shard + {seed}L, n) < q % n
             THEN least(end, (b + 1) * t div n) - greatest(begin, b * t div n) ELSE 0L END) ELSE 0L END""")
-    taken = F.when(F.col("size") > 0, F.col("size") * F.expr("q div n") + again).otherwise(F.lit(0)).cast("long")
-    return x.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *[F.col(r).alias(row_col) for r in row])
+    taken = (F.col("size") * F.expr("q div n") + again).cast("long")
+    out = lambda x, taken: x.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *[F.col(r).alias(row_col) for r in row])
+    return out(x, taken).unionByName(out(d.where("size = 0"), F.lit(0).cast("long")))

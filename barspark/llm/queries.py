@@ -142,27 +142,31 @@ def _apportion(rows: str, weight: str, seats: str, order: str, by: str, keys: st
 
 _B, _S = mix_sources.BLOCK_WORDS, mix_sources.SHARD_WORDS
 OP5 = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS}), 0)::BIGINT AS size FROM documents),
-h AS (SELECT *, md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || size::VARCHAR) AS h FROM d),
-t AS (SELECT coalesce(sum(size), 0)::BIGINT AS total, greatest(1, (coalesce(sum(size), 0) + {_S - 1}) // {_S})::BIGINT AS shards FROM d),
-x AS (SELECT doc_id, coalesce('v' || source, 'n') AS s, source, size, h, ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard FROM h, t),
-o AS (SELECT s, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM x GROUP BY s),
+WITH d AS (SELECT doc_id, source, coalesce('v' || source, 'n') AS s, coalesce(len({_WORDS}), 0)::BIGINT AS size FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM d),
+h AS (SELECT *, md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || size::VARCHAR || '|' || copy::VARCHAR) AS h FROM c),
+o AS (SELECT s, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY s),
 o1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM o),
 o2 AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(sid - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS cap FROM o1),
 o3 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM o2),
 o4 AS (SELECT *, first(CASE WHEN cap > weight * lv THEN lv END) OVER (ORDER BY (cap > weight * lv) DESC, cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM o3),
-src AS (SELECT s, sid, source_size, CASE WHEN cap > weight * lv THEN weight * level ELSE cap END AS target, round((SELECT total FROM t) / {_B}.0::DOUBLE)::BIGINT AS seats, 0 AS al FROM o4),
+src AS (SELECT s, sid, source_size, CASE WHEN cap > weight * lv THEN weight * level ELSE cap END AS target, round((SELECT coalesce(sum(size), 0) FROM d) / {_B}.0::DOUBLE)::BIGINT AS seats, 0 AS al FROM o4),
 {_apportion('src', 'target', 'seats', 'sid', 'al', 's, sid, source_size, target')},
-held AS (SELECT sid, shard, sum(size)::DOUBLE AS held, any_value(quota) AS seats FROM x JOIN src_q USING (s) GROUP BY sid, shard),
-{_apportion('held', 'held', 'seats', 'shard', 'sid', 'sid, shard, held')},
-p0 AS (SELECT *, greatest(1, round(held / {_B}))::BIGINT AS n FROM held_q),
+x AS (SELECT doc_id, size, h, sid, source_size, target, quota, ('0x' || substr(h, 1, 8))::BIGINT % greatest(1, (source_size + {_S - 1}) // {_S}) AS shard FROM h JOIN src_q USING (s)),
+held AS (SELECT sid, shard, shard // {mix_sources.GROUP} AS grp, sum(size)::DOUBLE AS held, any_value(quota) AS seats FROM x WHERE size > 0 GROUP BY sid, shard),
+g AS (SELECT sid, grp, sum(held) AS held, any_value(seats) AS seats FROM held GROUP BY sid, grp),
+{_apportion('g', 'held', 'seats', 'grp', 'sid', 'sid, grp')},
+gh AS (SELECT held.sid, held.shard, held.grp, held.held, g_q.quota AS seats FROM held JOIN g_q ON held.sid = g_q.sid AND held.grp = g_q.grp),
+{_apportion('gh', 'held', 'seats', 'shard', 'sid, grp', 'sid, shard, held')},
+p0 AS (SELECT *, greatest(1, round(held / {_B}))::BIGINT AS n FROM gh_q),
 p AS (SELECT sid, shard, held::BIGINT AS t, n, least(quota, 3 * n) AS q FROM p0),
-e AS (SELECT x.*, sid, source_size, target, sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS fin FROM x JOIN src_q USING (s)),
+e AS (SELECT *, sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS fin FROM x WHERE size > 0),
 b AS (SELECT *, fin - size AS beg FROM e JOIN p USING (sid, shard))
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN size * (q // n) + CASE WHEN q % n > 0 THEN
+SELECT doc_id, size, source_size, target, (size * (q // n) + CASE WHEN q % n > 0 THEN
     list_sum(list_transform(range(((beg + 1) * n - 1) // t, (fin * n - 1) // t + 1), lambda i: CASE WHEN (i * {mix_sources.STRIDE} + sid * 7919 + shard + 7) % n < q % n
-      THEN least(fin, (i + 1) * t // n) - greatest(beg, i * t // n) ELSE 0 END)) ELSE 0 END ELSE 0 END::BIGINT AS taken FROM b"""
+      THEN least(fin, (i + 1) * t // n) - greatest(beg, i * t // n) ELSE 0 END)) ELSE 0 END)::BIGINT AS taken FROM b
+UNION ALL SELECT doc_id, size, source_size, target, 0::BIGINT FROM x WHERE size = 0"""
 
 OP9 = """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings

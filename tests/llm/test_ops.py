@@ -256,7 +256,8 @@ def test_mix_meets_targets(spark):
     d = docs_frame(spark, texts, sources=sources)
     for shard in (10**6, 3000):
         got = mix_sources.mix(d, shard_words=shard).collect()
-        assert len(got) == 400 and got == mix_sources.mix(d, shard_words=shard).collect() or sorted(map(str, got)) == sorted(map(str, mix_sources.mix(d, shard_words=shard).collect()))
+        assert len(got) == 400
+        assert Counter(got) == Counter(mix_sources.mix(d.repartition(13, F.rand(3)), shard_words=shard).collect())
         size = Counter()
         for s, t in zip(sources, texts):
             size[s] += len((t or "").split())
@@ -284,6 +285,22 @@ def test_mix_meets_targets(spark):
     assert mix_sources.mix(docs_frame(spark, [None, ""], [None, None], [None, None])).count() == 2
 
 
+def test_mix_of_one_row_many_times_and_a_text_longer_than_a_shard(spark, monkeypatch):
+    """Rows without an id and of one size are dealt over a source's shards and groups; a text may be longer than a shard."""
+    monkeypatch.setattr(mix_sources, "COPIES", 100)
+    monkeypatch.setattr(mix_sources, "GROUP", 3)
+    texts = ["w " * 10] * 1000 + ["v " * 50_000] + [None] * 300
+    d = docs_frame(spark, texts, [None] * 1000 + [7] + [None] * 300, ["a"] * 1000 + ["b"] + [None] * 300)
+    got = mix_sources.mix(d, block_words=16, shard_words=500).collect()
+    assert len(got) == len(texts) and Counter(got) == Counter(mix_sources.mix(d.repartition(5, F.rand(4)), block_words=16, shard_words=500).collect())
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    for source in ("a", "b"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target + 64
+    keyed = mix_sources.mix(d.withColumn("key", F.monotonically_increasing_id()), block_words=16, shard_words=500, row_col="key").collect()
+    assert len({r.key for r in keyed}) == len(keyed) == len(texts)
+
+
 # --- pages
 
 
