@@ -56,14 +56,13 @@ class KDTree:
             self.child[node] = len(boxes)
             add(at[order[:half]])
             add(at[order[half:]])
-        self.lo, self.hi = [b[0] for b in boxes], [b[1] for b in boxes]
+        self.lo, self.hi = (np.array([b[side] for b in boxes]) for side in (0, 1))
 
-    def bounds(self, queries: np.ndarray, node: int) -> np.ndarray:
-        """The largest inner product that the node's box allows each query, with room for rounding beyond exact doubles."""
-        lo, hi = self.lo[node], self.hi[node]
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The largest inner product that each node's box allows each query, with room for rounding beyond exact doubles."""
         with np.errstate(over="ignore", invalid="ignore"):
-            bound = np.maximum(queries, 0) @ hi + np.minimum(queries, 0) @ lo
-            room = np.abs(queries) @ np.maximum(np.abs(lo), np.abs(hi))
+            bound = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+            room = np.abs(queries) @ np.maximum(np.abs(self.lo), np.abs(self.hi)).T
             return np.maximum(np.where(room < EXACT, bound, np.nan_to_num(bound + 1e-9 * room, nan=np.inf)), float(LOWEST))
 
     def search(self, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +75,8 @@ class KDTree:
         best, name = np.full((n, k), LOWEST), np.full((n, k), HIGHEST)
         frontier = np.full((n, len(self.child)), -np.inf)
         if self.child and n:
-            frontier[:, 0] = self.bounds(queries, 0)
+            bound = self.bounds(queries)
+            frontier[:, 0] = bound[:, 0]
         while self.child and n:
             node = np.argmax(frontier, axis=1)
             top = frontier[np.arange(n), node]
@@ -87,11 +87,16 @@ class KDTree:
                 q = open_[node[open_] == j]
                 frontier[q, j] = -np.inf
                 if (c := self.child[j]) >= 0:
-                    frontier[q, c], frontier[q, c + 1] = self.bounds(queries[q], c), self.bounds(queries[q], c + 1)
+                    frontier[q, c : c + 2] = bound[q, c : c + 2]
                     continue
                 points, rows, ids = self.leaves[j]
                 score = products(queries[q], points)
                 score[(own[q][:, None] == rows[None, :]) | (score < floor[q][:, None])] = LOWEST
+                if not (new := (score > LOWEST).any(axis=1)).any():
+                    continue
+                q, score = q[new], score[new]
+                some = np.flatnonzero((score > LOWEST).any(axis=0))
+                score, ids = score[:, some], ids[some]
                 s = np.concatenate([best[q], score], axis=1)
                 i = np.concatenate([name[q], np.where(score > LOWEST, ids[None, :], HIGHEST)], axis=1)
                 pick = np.lexsort((i, ~s), axis=1)[:, :k]
