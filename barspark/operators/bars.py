@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import in_blocks, ordered, trailing
 
 
+def ohlcv() -> list[Column]:
+    """A bar's aggregates over ticks, in batches and streams."""
+    order = F.struct("ts", "tick_id")
+    return [F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("qty").alias("volume")]
+
+
 def ticks_to_bars(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     """OHLCV by symbol and time unit. Partial aggregates only: no sort, and no symbol in one task."""
-    order = F.struct("ts", "tick_id")
-    b = ticks.groupBy("symbol", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("at")).agg(
-        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("qty").alias("volume")
-    )
+    b = ticks.groupBy("symbol", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("at")).agg(*ohlcv())
     return b.withColumnRenamed("at", "ts")
 
 

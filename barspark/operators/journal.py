@@ -74,6 +74,13 @@ def polarity(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return posts.join(s, "post_id", "left").withColumn("score", F.coalesce(F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), 6), F.lit(0.0))).drop("s")
 
 
+def with_polarity(posts: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """``polarity`` by a small lexicon given as literals, row by row: for streams, which can't join their own aggregates."""
+    value = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
+    s = F.aggregate(F.split(F.lower("text"), r"[ \n]+"), F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(value, t), F.lit(0.0)))
+    return posts.withColumn("__s", s).withColumn("score", F.coalesce(F.round(F.col("__s") / F.sqrt(F.col("__s") * F.col("__s") + 15), 6), F.lit(0.0))).drop("__s")
+
+
 def sentiment(scored: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """Per symbol within the hours before ``as_of``: mentions, shares and the five strongest posts."""
     x = scored.where((F.col("ts") >= as_of - F.expr(f"interval {hours} hours")) & (F.col("ts") <= as_of))

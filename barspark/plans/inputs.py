@@ -13,7 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"))
+    return as_ticks(table(spark, sf_dir, "events"))
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +52,11 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("post_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("ts"), F.col("lang").alias("symbol"), "source", "text")
+    return as_posts(table(spark, sf_dir, "documents"))
+
+
+def as_posts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("post_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("ts"), F.col("lang").alias("symbol"), "source", "text")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
