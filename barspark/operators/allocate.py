@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def clean_returns(df: DataFrame, column: str = "ret") -> DataFrame:
     c = F.col(column)
     return df.where(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
@@ -78,3 +79,45 @@ def reconcile(own: DataFrame, broker: DataFrame) -> DataFrame:
     """The broker's positions win: unknown ones are adopted, vanished ones dropped, the others kept."""
     held = broker.where("qty > 0")
     return held.join(own.select("symbol"), "symbol", "left_anti").withColumn("how", F.lit("adopted")).unionByName(own.join(held.select("symbol"), "symbol", "left_semi").withColumn("how", F.lit("kept"))).unionByName(own.join(held.select("symbol"), "symbol", "left_anti").withColumn("how", F.lit("dropped")))
+
+
+def confident_size(win_rate: Column, win: Column, loss: Column, confidence: Column, fraction: float = 0.5, cap: float = 0.25) -> Column:
+    """A fraction of Kelly times the confidence, within 0 and the cap; without losses Kelly is the win rate. Rates and confidences are held to 0 and 1."""
+    p, c = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) for x in (win_rate, confidence))
+    kelly = F.when(loss <= 0, p).otherwise(p - F.coalesce(F.try_divide(1 - p, win / loss), F.lit(float("inf"))))
+    return F.greatest(F.lit(0.0), F.least(F.lit(cap), kelly * fraction * c))
+
+
+def listed_weights(symbols: DataFrame, weights: DataFrame) -> DataFrame:
+    """Symbols with their listed weight (1 if not listed, 0 if below 0) over the sum of all; equal shares if that is 0."""
+    x = symbols.join(weights, "symbol", "left").withColumn("raw", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0))).drop("weight")
+    total = x.agg(F.sum("raw").alias("__total"), F.count("*").alias("__n"))  # one row
+    return x.crossJoin(F.broadcast(total)).withColumn("weight", F.when(F.col("__total") > 0, F.col("raw") / F.col("__total")).otherwise(1 / F.col("__n"))).drop("__total", "__n", "raw")
+
+
+def stop_size(equity: Column, price: Column, stop: Column, risk: float = 0.01, most: float = 0.10, least: float = 1.0) -> Column:
+    """Shares, value and money at risk so that the way to the stop costs ``risk`` of the equity, held to ``most`` of it; nothing below ``least``, for bad prices, or a stop at the price."""
+    gap = F.abs(price - stop)
+    n = F.greatest(F.least(F.floor(F.try_divide(equity * risk, gap)), F.floor(F.try_divide(equity * most, price))), F.lit(0))
+    n = F.when((price > 0) & (stop > 0) & (gap >= 1e-6) & (n * price >= least), n).otherwise(0).cast("long")
+    return F.struct(n.alias("shares"), F.round(n * price, 2).alias("value"), F.round(n * F.coalesce(gap, F.lit(0.0)), 2).alias("risk"))
+
+
+def entry_plan(latest: DataFrame, held: DataFrame, equity: float, least: float = 0.0, most: float | None = None) -> DataFrame:
+    """Buys for symbols whose latest signal is 1 and which aren't held, from ``symbol, signal, close, atr``: sized by twice the range
+    (2 % of the price if it is missing or not positive), with stop and target, and a value within the bounds."""
+    x = latest.where("signal = 1").join(held.select("symbol"), "symbol", "left_anti")
+    x = x.withColumn("atr", F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.col("close") * 0.02))
+    x = x.withColumn("shares", position_size(F.lit(equity), F.col("close"), 2 * F.col("atr"))).withColumns(stops(F.col("close"), F.col("atr")))
+    value = F.col("shares") * F.col("close")
+    return x.where((F.col("shares") > 0) & (value >= least) & (F.lit(most is None) | (value <= F.lit(most)))).withColumn("value", value)
+
+
+def capital_split(allocations: DataFrame, known: list[str], capital: float) -> DataFrame:
+    """Capital by strategy from JSON ``{name: {"weight": w, "symbols": [..]}}`` in ``plan``: weights over the sum of all; then unknown
+    strategies and those without symbols fall out. No rows if the weights don't add up to more than 0."""
+    x = allocations.select(F.explode(F.from_json("plan", "map<string, struct<weight: double, symbols: array<string>>>")).alias("strategy", "s"))
+    x = x.select("strategy", F.coalesce("s.weight", F.lit(0.0)).alias("weight"), "s.symbols")
+    total = x.agg(F.sum("weight").alias("__total"))  # one row
+    x = x.crossJoin(F.broadcast(total)).where("__total > 0").withColumn("weight", F.col("weight") / F.col("__total"))
+    return x.where(F.col("strategy").isin(known) & (F.size("symbols") > 0)).select("strategy", "symbols", "weight", (F.col("weight") * capital).alias("capital"))

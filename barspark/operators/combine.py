@@ -11,6 +11,10 @@ from ..functions.windows import ordered
 TIMEFRAME_WEIGHTS = {"1m": 0.5, "5m": 0.6, "15m": 0.7, "30m": 0.8, "1h": 0.9, "1d": 1.0}
 
 
+#: Timeframes by their priority.
+TIMEFRAME_PRIORITY = ("1m", "5m", "15m", "30m", "1h", "240min", "4h", "1d", "1w", "1M")
+
+
 def daily_last(signals: DataFrame) -> DataFrame:
     """Each day's last signal from a symbol's first day to its last; days without one are 0."""
     d = signals.groupBy("symbol", F.col("ts").cast("date").alias("day")).agg(F.max_by("signal", "ts").alias("signal"))
@@ -41,6 +45,14 @@ def votes(x: DataFrame, weights: dict[str, float]) -> DataFrame:
     })
 
 
+def fused(frames: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
+    """``votes`` on the union of the frames' exact times, with weights that sum to 1: by priority unless given, equal if they don't add up to more than 0."""
+    rank = {tf: i for i, tf in enumerate(TIMEFRAME_PRIORITY)}
+    w = weights or {tf: 0.3 + 0.07 * rank.get(tf, 5) for tf in frames}
+    total = sum(w.values())
+    return votes(aligned(frames, "ts"), {tf: w.get(tf, 0.0) / total if total > 0 else 1 / len(w) for tf in frames})
+
+
 def asof(left: DataFrame, right: DataFrame, value: str, by: str = "symbol", on: str = "ts") -> DataFrame:
     """``left`` with the last ``value`` of ``right`` at or before each row: one union and one window, no inequality join."""
     l = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
@@ -106,3 +118,18 @@ def rebalance(current: DataFrame, target: DataFrame, tolerance: float = 0.05) ->
     x = current.select("symbol", F.col("weight").alias("now")).join(target.select("symbol", F.col("weight").alias("goal")), "symbol", "full_outer").fillna(0.0, ["now", "goal"])
     d = F.round(F.col("goal") - F.col("now"), 9)
     return x.withColumn("drift", d).withColumn("signal", F.when(d > tolerance, 1).when(d < -tolerance, -1).otherwise(0))
+
+
+def sector_lookup(symbols: DataFrame, members: DataFrame) -> DataFrame:
+    """``symbols`` with the ``sector`` of the small table ``members`` (upper-case ``symbol``, one row each); null if there is none."""
+    m = members.select(F.col("symbol").alias("__member"), "sector")
+    return symbols.join(m, F.upper("symbol") == F.col("__member"), "left").drop("__member")
+
+
+def full_rebalance(bars: DataFrame, lead: str, members: DataFrame, tilts: DataFrame, equity: dict[str, float], current: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """The regime of symbol ``lead`` sets the share of equity (and picks rows of ``tilts`` by ``regime``); targets by sector, then drift signals, in one job."""
+    r = regimes(bars.where(F.col("symbol") == lead)).select("regime")  # one row
+    share = F.element_at(F.create_map(*[F.lit(v) for kv in equity.items() for v in kv]), F.col("regime"))
+    goal = target_weights(members, 1.0, tilts.join(F.broadcast(r), "regime", "left_semi").select("sector", "tilt"))
+    goal = goal.crossJoin(F.broadcast(r)).withColumn("weight", F.col("weight") * share)
+    return rebalance(current, goal, tolerance).crossJoin(F.broadcast(r))

@@ -96,3 +96,45 @@ def mentions(posts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Posts by symbol that they name, as ``$SYM`` or a word: tokens are filtered to the symbols before anything is shuffled."""
     t = posts.select("post_id", F.explode(F.array_distinct(F.split(F.upper("text"), r"[^A-Z0-9]+"))).alias("token"))
     return t.join(F.broadcast(symbols.select(F.upper("symbol").alias("token"), "symbol")), "token").select("post_id", "symbol")
+
+
+def dashboard(equity: DataFrame, trades: DataFrame, order: str = "day") -> DataFrame:
+    """Per strategy: first and last equity, gain, best and worst return in percent, points, trades by side and distinct symbols."""
+    e = equity.withColumn("ret", F.try_divide("equity", F.lag("equity").over(Window.partitionBy("strategy").orderBy(order))) - 1)
+    e = e.groupBy("strategy").agg(F.min_by("equity", order).alias("first"), F.max_by("equity", order).alias("last"), F.max("ret").alias("best"), F.min("ret").alias("worst"), F.count("*").alias("points"))
+    e = e.withColumns({"gain": F.round(F.col("last") - F.col("first"), 2), "gain_pct": F.round(100 * (F.col("last") / F.col("first") - 1), 2), "best": F.round(100 * F.col("best"), 4), "worst": F.round(100 * F.col("worst"), 4)})
+    side = F.upper("side")
+    t = trades.groupBy("strategy").agg(F.count("*").alias("trades"), F.count_if(side == "BUY").alias("buys"), F.count_if(side == "SELL").alias("sells"), F.count_distinct("symbol").alias("symbols"))
+    return e.join(t, "strategy", "full_outer")
+
+
+def recent(rows: DataFrame, n: int = 50, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """The last ``n`` rows, oldest first."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
+def day_summary(equity: DataFrame, trades: DataFrame) -> DataFrame:
+    """Per strategy and day: equity, change since the day before in money and percent (null on the first), trades, and symbols with an open position at its end."""
+    w = Window.partitionBy("strategy").orderBy("day")
+    before = F.lag("equity").over(w)
+    e = equity.withColumns({"pnl": F.round(F.col("equity") - before, 2) + F.lit(0.0), "pnl_pct": F.round(100 * F.try_divide(F.col("equity") - before, before), 2) + F.lit(0.0)})
+    move = trades.groupBy("strategy", "symbol", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))).alias("q"))
+    upto = Window.partitionBy("strategy", "symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = (F.sum("q").over(upto) != 0).cast("int")
+    move = move.withColumn("open", open_)
+    move = move.withColumn("opened", F.col("open") - F.coalesce(F.lag("open").over(Window.partitionBy("strategy", "symbol").orderBy("day")), F.lit(0)))
+    day = move.groupBy("strategy", "day").agg(F.sum("n").alias("trades"), F.sum("opened").alias("opened"))
+    x = e.join(day, ["strategy", "day"], "left").fillna(0, ["trades", "opened"])
+    return x.withColumn("open_positions", F.sum("opened").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("opened")
+
+
+def exposure(positions: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per strategy: open positions and their long, short and net values at the given prices; unpriced ones count at their own price."""
+    x = positions.join(prices.select("symbol", F.col("price").alias("now")), "symbol", "left").withColumn("value", F.col("qty") * F.coalesce("now", "price"))
+    v = F.col("value")
+    return x.groupBy("strategy").agg(F.count("*").alias("positions"), F.coalesce(F.sum(F.when(v > 0, v)), F.lit(0.0)).alias("long"), F.coalesce(F.sum(F.when(v < 0, -v)), F.lit(0.0)).alias("short"), F.sum(v).alias("net"))
+
+
+def as_posts(raw: DataFrame, most: int = 500) -> DataFrame:
+    """Vendor rows as posts: texts held to ``most`` characters, ISO times with ``Z`` or an offset as instants, null if they can't be read."""
+    return raw.withColumns({"text": F.left("text", F.lit(most)), "ts": F.try_to_timestamp("created_at")})

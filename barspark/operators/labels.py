@@ -7,20 +7,23 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import mean, ordered
+from ..functions.windows import in_blocks, mean, ordered
 from . import indicators as ind
 
-FEATURES = ("rsi", "roc5", "vol20", "bb_pct", "ema_slope", "atr_pct", "macd_hist", "vol_z")
+FEATURES = ("rsi_14", "macd_hist", "bb_pct", "ema_slope", "atr_pct", "ret_1", "ret_3", "ret_5", "ret_10", "vol_10", "vol_20")
 
 
 def feature_frame(bars: DataFrame) -> DataFrame:
-    """The model's columns per bar, null while a window fills; all recursions run in one pass."""
-    x = ind.ewm(bars, [("ema12", "close", ind.span(12)), ("ema26", "close", ind.span(26))])
-    x = ind.ewm(x.drop("n").withColumn("macd", F.col("ema12") - F.col("ema26")), [("macd_signal", "macd", ind.span(9))]).drop("n")
-    x = ind.with_returns(ind.with_atr(ind.with_rsi(x)))
-    bb = ind.bollinger()
-    x = x.withColumns({"roc5": ind.roc(5), "vol20": ind.volatility(20), "bb_pct": ind.percent_b(bb["bb_lower"], bb["bb_upper"]), "vol_z": ind.volume_zscore(), "atr_pct": F.try_divide("atr", "close"), "macd_hist": F.col("macd") - F.col("macd_signal")})
-    x = x.withColumn("ema_slope", F.try_divide(F.col("ema12") - F.lag("ema12").over(ordered()), F.col("ema12")))
+    """The model's columns per bar, null while a window fills and where a value isn't finite. The two levels of recursive means run by blocks of time, the windows by blocks of rows."""
+    x = ind.ewm(bars, [("ema12", "close", ind.span(12)), ("ema26", "close", ind.span(26)), ("ema50", "close", ind.span(50))]).drop("n")
+    x = ind.ewm(x.withColumn("macd", F.col("ema12") - F.col("ema26")), [("macd_signal", "macd", ind.span(9))]).drop("n")
+
+    def windows(b: DataFrame) -> DataFrame:
+        b = ind.with_returns(ind.with_atr(ind.with_rsi(b, name="rsi_14")))
+        bb = ind.bollinger()
+        return b.withColumns({"bb_pct": ind.percent_b(bb["bb_lower"], bb["bb_upper"]), "ema_slope": F.try_divide(F.col("ema50") - F.lag("ema50").over(ordered()), F.col("ema50")), **{f"ret_{k}": ind.roc(k) for k in (1, 3, 5, 10)}, **{f"vol_{k}": ind.volatility(k) for k in (10, 20)}})
+
+    x = in_blocks(x, windows, 21).withColumns({"macd_hist": F.col("macd") - F.col("macd_signal"), "atr_pct": F.try_divide("atr", "close")})
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
     return x.select("symbol", "ts", "close", *[finite(f).alias(f) for f in FEATURES])
 
@@ -126,3 +129,46 @@ def regression_scores(df: DataFrame, y: str, guess: str) -> DataFrame:
     x = df.withColumns({"__dy": a - F.lag(a).over(w), "__dg": b - F.lag(b).over(w)})
     moved = F.col("__dy") != 0
     return x.groupBy("symbol").agg(F.avg(F.pow(a - b, 2)).alias("mse"), F.avg(F.abs(a - b)).alias("mae"), F.avg(F.when(moved, (F.signum("__dy") == F.signum("__dg")).cast("double"))).alias("direction"), (1 - F.try_divide(F.sum(F.pow(a - b, 2)), F.var_pop(a) * F.count(a))).alias("r2"))
+
+
+def label_shift(df: DataFrame, least: float = 0.7) -> DataFrame:
+    """Shares of label 1 in the labelled rows of ``role`` train and test, how alike they are (1 less their difference), and whether that is too little."""
+    share = lambda r: F.round(F.coalesce(F.try_divide(F.count_if((F.col("role") == r) & (F.col("label") == 1)), F.count_if((F.col("role") == r) & F.col("label").isNotNull())), F.lit(0.0)), 4)
+    x = df.agg(share("train").alias("train_share"), share("test").alias("test_share")).withColumn("stability", F.round(1 - F.abs(F.col("train_share") - F.col("test_share")), 4))
+    return x.withColumn("shifted", F.col("stability") < least)
+
+
+def with_ranks(df: DataFrame, column: str, name: str, parts: int = 200) -> DataFrame:
+    """Average ranks of a column's values, nulls without one. Distinct values are counted, then ordered within ranges cut at percentiles, so no task sorts all."""
+    v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    cuts = v.agg(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 10_000).alias("__cuts"))  # one row of bounded size
+    v = v.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("__v")))).drop("__cuts")
+    totals = v.groupBy("__part").agg(F.sum("__n").alias("__t"))
+    base = totals.select("__part", F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # ``parts`` rows
+    w = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    r = v.withColumn("__upto", F.sum("__n").over(w)).join(F.broadcast(base), "__part").select("__v", (F.col("__base") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
+    return df.join(r, F.col(column) == F.col("__v"), "left").drop("__v")
+
+
+def spearman(df: DataFrame, features: list[str]) -> DataFrame:
+    """Rank correlations of all pairs of features, over rows that have both."""
+    for f in features:
+        df = with_ranks(df, f, f"__r_{f}")
+    pairs = list(combinations(features, 2))
+    one = df.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"c{i}", 4).alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
+
+
+def collinear_groups(pairs: DataFrame, features: list[str], threshold: float = 0.5) -> DataFrame:
+    """Features in groups linked by correlations beyond the threshold; of a group the one with the lowest mean is kept (ties: the first listed).
+    ``pairs`` (``a, b, corr``) has one row a pair of the given features, so groups are found among those few names."""
+    both = pairs.select("a", "b", F.abs("corr").alias("c")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.abs("corr").alias("c")))
+    place = {f: i for i, f in enumerate(features)}
+    group = dict(place)
+    links = [(r.a, r.b) for r in both.where(F.col("c") > threshold).select("a", "b").collect()]  # at most the square of the features' number
+    while moved := [(a, group[b]) for a, b in links if group[b] < group[a]]:
+        group.update((a, g) for a, g in moved if g < group[a])
+    g = pairs.sparkSession.createDataFrame([(f, place[f], group[f]) for f in features], "feature string, place int, grp int")
+    other = g.select(F.col("feature").alias("b"), F.col("grp").alias("grp_b"))
+    mean = both.join(g, both.a == g.feature).join(other, "b").where("grp = grp_b").groupBy("feature", "place", "grp").agg(F.avg("c").alias("mean"))
+    return mean.withColumn("kept", F.row_number().over(Window.partitionBy("grp").orderBy(F.round("mean", 9), "place")) == 1).select("feature", F.col("grp").alias("group"), "mean", "kept")

@@ -77,3 +77,51 @@ def backtest(signals: DataFrame, commission: float = 0.0005) -> DataFrame:
         sharpe(r).alias("sharpe"), sortino(r).alias("sortino"), F.min("drawdown").alias("max_drawdown"), F.sum(((F.col("position") == 1) & (F.col("held") == 0)).cast("int")).alias("entries"), F.avg(F.col("held").cast("double")).alias("exposure"),
     )
     return m
+
+
+def head_to_head(a: DataFrame, b: DataFrame, key: str = "symbol") -> DataFrame:
+    """Both sides' figures and their differences for every key of either side."""
+    figures = [c for c, t in a.dtypes if c != key and c in b.columns and t in ("double", "bigint", "int")]
+    x = a.select(key, *[F.col(c).alias(f"{c}_a") for c in figures]).join(b.select(key, *[F.col(c).alias(f"{c}_b") for c in figures]), key, "full_outer")
+    return x.withColumns({f"{c}_diff": F.col(f"{c}_a") - F.col(f"{c}_b") for c in figures})
+
+
+#: What a trial must reach out of sample.
+CRITERIA = {"min_sharpe": 0.5, "min_return": 0.0, "max_drawdown": -25.0, "min_retention": 0.5, "max_spread": 100.0, "min_win_rate": 35.0}
+
+
+def oos_backtest(bars: DataFrame, trials: DataFrame, strategy, commission: float = 0.0005) -> DataFrame:
+    """``backtest`` of each symbol in each trial's two ranges of days, where indicators start anew. ``trials`` (``trial, train_start, cutoff, test_end``) is
+    a small table of ranges ``[train_start, cutoff)`` and ``[cutoff, test_end)``; bars near them are copied once a trial, and all trials run in one job."""
+    day = F.col("ts").cast("date")
+    x = bars.join(F.broadcast(trials), (day >= F.col("train_start")) & (day < F.col("test_end")))
+    x = x.withColumn("symbol", F.to_json(F.struct(F.col("symbol").alias("s"), F.col("trial").alias("t"), F.when(day < F.col("cutoff"), "train").otherwise("test").alias("r")))).select(*bars.columns)
+    signals = with_position(strategy(x))
+    t = trades(signals).where("exit_price is not null").groupBy("symbol").agg(F.count("*").alias("trades"), (100 * F.avg((F.col("exit_price") > F.col("entry_price")).cast("double"))).alias("win_rate"))
+    m = backtest(signals.drop("position"), commission).join(t, "symbol", "left").fillna(0, ["trades", "win_rate"])
+    k = F.from_json("symbol", "s string, t int, r string")
+    return m.select(k["s"].alias("symbol"), k["t"].alias("trial"), k["r"].alias("role"), "bars", (100 * F.col("total_return")).alias("total_return"), "sharpe", "sortino", (100 * F.col("max_drawdown")).alias("max_drawdown"), "trades", "win_rate")
+
+
+def oos_trials(results: DataFrame, criteria: dict[str, float] = CRITERIA) -> DataFrame:
+    """Per symbol and trial that has both ranges: the failed criteria, and whether there are none."""
+    figures = [c for c in results.columns if c not in ("symbol", "trial", "role")]
+    g = results.groupBy("symbol", "trial").agg(*[F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}") for r in ("train", "test") for c in figures]).where("train_bars is not null and test_bars is not null")
+    t = lambda c: F.col(f"test_{c}")
+    failed = {
+        "sharpe": t("sharpe") < criteria["min_sharpe"], "return": t("total_return") < criteria["min_return"], "drawdown": t("max_drawdown") < criteria["max_drawdown"],
+        "win_rate": t("win_rate") < criteria["min_win_rate"], "retention": (F.col("train_sharpe") > 0) & (F.try_divide(t("sharpe"), F.col("train_sharpe")) < criteria["min_retention"]),
+        "spread": F.abs(F.col("train_total_return") - t("total_return")) > criteria["max_spread"],
+    }
+    x = g.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in failed.items()])))
+    return x.withColumn("passed", F.size("reasons") == 0)
+
+
+def oos_report(trials: DataFrame) -> DataFrame:
+    """Per symbol: means and population deviations over its trials, kept Sharpe ratio, passes, failures and the distinct reasons in order."""
+    figures = ("sharpe", "sortino", "max_drawdown", "win_rate", "total_return", "trades")
+    x = trials.groupBy("symbol").agg(
+        *[f(F.col(f"{r}_{c}")).alias(f"{r}_{c}_{n}") for r in ("train", "test") for c in figures for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))],
+        F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),
+    )
+    return x.withColumn("retention", F.when(F.col("train_sharpe_mean") > 0, F.col("test_sharpe_mean") / F.col("train_sharpe_mean")).otherwise(0.0))

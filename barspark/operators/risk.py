@@ -53,3 +53,17 @@ def drawdown_alerts(equity: DataFrame, least: float = 0.02, keys: tuple[str, ...
     x = equity.withColumn("dd", F.round(1 - F.col("equity") / F.max("equity").over(w), 9))
     before = upto(*keys, day, order=order).rowsBetween(Window.unboundedPreceding, -1)
     return x.withColumn("last", F.max(F.when(F.col("dd") >= least, F.col("dd"))).over(before)).where((F.col("dd") >= least) & (F.col("last").isNull() | (F.col("dd") > F.col("last")))).drop("last")
+
+
+def activated_stop(path: DataFrame, tiers: tuple[tuple[float, float], ...] = TIERS, trail: float = 0.05, activate: float = 0.02) -> DataFrame:
+    """A trailing stop that holds only while the close is ``activate`` or more in profit: below that it goes back to the entry price, and
+    from the next active row on it never falls. The distance is that of the tier of the current profit. Needs ``symbol, trade_id, ts, close, entry_price``."""
+    w, e = upto("symbol", "trade_id"), F.col("entry_price")
+    gain = F.round(F.col("close") / e - 1, 9)
+    distance = None
+    for g, d in tiers:
+        distance = (distance if distance is not None else F).when(gain >= g, d)
+    x = path.withColumns({"peak": F.greatest(e, F.max("close").over(w)), "__on": gain >= activate})
+    x = x.withColumn("__part", F.sum(F.when(F.col("__on"), 0).otherwise(1)).over(w))
+    x = x.withColumn("__level", F.when(F.col("__on"), F.greatest(e, F.col("peak") * (1 - distance.otherwise(trail)))).otherwise(e))
+    return x.withColumn("stop", F.max("__level").over(upto("symbol", "trade_id", "__part"))).drop("__on", "__part", "__level")

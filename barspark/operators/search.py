@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import ordered
-from .metrics import sharpe
+from . import indicators as ind
+from .metrics import backtest
 
 
 def grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
@@ -38,28 +39,49 @@ def score(sharpe_: Column, total: Column, drawdown: Column) -> Column:
     return F.round(10 * z(sharpe_) + 0.5 * z(total) * 100 - 20 * F.least(F.abs(z(drawdown)), F.lit(0.5)), 4)
 
 
-def walk_forward_search(bars: DataFrame, folds: DataFrame, params: DataFrame, commission: float = 0.0005) -> DataFrame:
-    """Every combination of moving-average crossover spans on every fold's two ranges, one row per ``params_id, fold, role``.
+def enhanced_score(sharpe_: Column, sortino_: Column, drawdown_pct: Column, weights: tuple[float, float, float] = (10, 5, 20)) -> Column:
+    """Weighted Sharpe and Sortino ratios less the drawdown, 0 at least; missing figures count 0."""
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    return F.round(F.greatest(weights[0] * z(sharpe_) + weights[1] * z(sortino_) - weights[2] * F.abs(z(drawdown_pct)), F.lit(0.0)), 4)
+
 
-    Bars meet the small table of folds by range, averages restart in each range, and combinations (``fast``, ``slow``) meet
-    narrow rows only at the end. Averages are simple means, so they stay within windows."""
-    spans = sorted({r[0] for r in params.selectExpr("explode(array(fast, slow))").distinct().collect()})
+def in_folds(bars: DataFrame, folds: DataFrame, most: int = 10_000) -> DataFrame:
+    """Bars once for each fold whose ranges hold their day, as ``fold, role``. The few folds (an error beyond ``most``) are literals, so nothing is joined."""
+    rows = folds.select("fold", "train_start", "train_end", "test_end").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} folds")
+    if not rows:
+        return bars.where("false").withColumns({"fold": F.lit(0), "role": F.lit("")})
     day = F.col("ts").cast("date")
-    x = bars.select("symbol", "ts", "close").join(F.broadcast(folds), (day >= F.col("train_start")) & (day < F.col("test_end")))
-    x = x.withColumn("role", F.when(day < F.col("train_end"), "train").otherwise("test")).select("symbol", "fold", "role", "ts", "close")
-    k = ("symbol", "fold", "role")
-    w = ordered(*k)
-    x = x.withColumns({f"__m{n}": F.when(F.count("*").over(w.rowsBetween(1 - n, 0)) == n, F.avg("close").over(w.rowsBetween(1 - n, 0))) for n in spans} | {"__r": F.coalesce(F.try_divide("close", F.lag("close").over(w)) - 1, F.lit(0.0)), "__n": F.row_number().over(w)})
-    ma = F.map_from_arrays(F.array(*map(F.lit, spans)), F.array(*[F.col(f"__m{n}") for n in spans]))
-    x = x.select(*k, "__n", "__r", ma.alias("ma")).join(F.broadcast(params.select("params_id", "fast", "slow")))
-    up = F.coalesce(F.round(F.element_at("ma", F.col("fast")) - F.element_at("ma", F.col("slow")), 9) > 0, F.lit(False)).cast("int")
-    kw = Window.partitionBy("params_id", *k).orderBy("__n")
-    x = x.select("params_id", *k, "__n", "__r", up.alias("long")).withColumn("held", F.coalesce(F.lag("long").over(kw), F.lit(0)))
-    x = x.withColumn("ret", F.col("held") * F.col("__r") - commission * (F.col("held") > F.coalesce(F.lag("held").over(kw), F.lit(0))).cast("int"))
-    x = x.withColumn("equity", F.exp(F.sum(F.log1p(F.greatest("ret", F.lit(-0.999999)))).over(kw.rowsBetween(Window.unboundedPreceding, 0))))
-    x = x.withColumn("dd", F.col("equity") / F.max("equity").over(kw.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    per = x.groupBy("params_id", *k).agg(sharpe(F.col("ret")).alias("sharpe"), (F.max_by("equity", "__n") - 1).alias("total"), F.min("dd").alias("dd"))
-    per = per.withColumn("score", score(F.col("sharpe"), F.col("total"), F.col("dd")))
+    every = F.array(*[F.struct(F.lit(int(r.fold)).alias("fold"), *[F.lit(r[c]).alias(c) for c in ("train_start", "train_end", "test_end")]) for r in rows])
+    x = bars.withColumn("__f", F.explode(F.filter(every, lambda f: (day >= f["train_start"]) & (day < f["test_end"]))))
+    return x.withColumns({"fold": F.col("__f.fold"), "role": F.when(day < F.col("__f.train_end"), "train").otherwise("test")}).drop("__f")
+
+
+def walk_forward_search(bars: DataFrame, folds: DataFrame, params: DataFrame, rsi_period: int = 14, leave_at: float = 75, commission: float = 0.0005, most: int = 1_000) -> DataFrame:
+    """The strategy of crossing exponential means and RSI, for every combination (``fast, slow, entry_max``) on every fold's two ranges: one row per ``params_id, fold, role``.
+
+    All in one job: means and RSI start anew in each range and are found once for all combinations, which are literals (an error beyond ``most``); then each
+    range and combination is a series of its own. The score is the mean of the symbols' ``score``."""
+    combos = params.select("params_id", "fast", "slow", "entry_max").limit(most + 1).collect()
+    if len(combos) > most:
+        raise ValueError(f"more than {most} combinations")
+    spans = sorted({n for c in combos for n in (c.fast, c.slow)})
+    x = in_folds(bars.select("symbol", "ts", "open", "close"), folds)
+    series = F.struct(F.col("symbol").alias("s"), F.col("fold").alias("f"), F.col("role").alias("r"))
+    x = ind.with_rsi(ind.with_ema(x.withColumn("symbol", F.to_json(series)).drop("fold", "role"), *spans), rsi_period)
+    w = ordered()
+    means = F.create_map(*[v for n in spans for v in (F.lit(n), F.col(f"ema{n}"))])
+    past = F.create_map(*[v for n in spans for v in (F.lit(n), F.lag(f"ema{n}").over(w))])
+    x = x.withColumns({"__now": means, "__past": past}).withColumn("__c", F.explode(F.array(*[F.struct(*[F.lit(c[k]).alias(k) for k in ("params_id", "fast", "slow", "entry_max")]) for c in combos])))
+    at = lambda m, k: F.round(F.element_at(m, F.col(f"__c.{k}")), 9)
+    a, b, a0, b0 = at("__now", "fast"), at("__now", "slow"), at("__past", "fast"), at("__past", "slow")
+    leave = F.coalesce((b > a) & (b0 <= a0), F.lit(False)) | F.coalesce(F.round("rsi", 9) > leave_at, F.lit(False))
+    enter = F.coalesce((a > b) & (a0 <= b0) & (F.col("rsi") < F.col("__c.entry_max")), F.lit(False))
+    x = x.select(F.concat_ws("|", F.col("__c.params_id").cast("string"), "symbol").alias("symbol"), "ts", "open", "close", F.when(leave, -1).when(enter, 1).otherwise(0).cast("int").alias("signal"))
+    m = backtest(x, commission)
+    key = F.from_json(F.expr("substring(symbol, instr(symbol, '|') + 1)"), "s string, f int, r string")
+    per = m.select(F.substring_index("symbol", "|", 1).cast("int").alias("params_id"), key["f"].alias("fold"), key["r"].alias("role"), score(F.col("sharpe"), F.col("total_return"), F.col("max_drawdown")).alias("score"))
     return per.groupBy("params_id", "fold", "role").agg(F.round(F.avg("score"), 3).alias("score"), F.count("*").alias("symbols"))
 
 
@@ -71,6 +93,6 @@ def best_per_fold(results: DataFrame) -> DataFrame:
 
 
 def top(results: DataFrame, n: int = 10) -> DataFrame:
-    return results.where("role = 'test'").groupBy("params_id").agg(F.round(F.avg("score"), 2).alias("score")).orderBy(F.desc("score"), "params_id").limit(n)
+    return results.where("role = 'test'").groupBy("params_id").agg(F.round(F.avg("score") + 1e-9, 2).alias("score")).orderBy(F.desc("score"), "params_id").limit(n)
 
 

@@ -86,3 +86,15 @@ def curves_to_json(curves: DataFrame) -> DataFrame:
 def curves_from_json(payloads: DataFrame) -> DataFrame:
     m = F.from_json("payload", "map<string, array<struct<ts: string, equity: double>>>")
     return payloads.select(F.explode(m).alias("strategy", "c")).select("strategy", F.inline("c"))
+
+
+def export_signals(signals: DataFrame, path: str, symbol: str | None = None, since=None, most: int | None = None) -> None:
+    """CSV with a header of the signals that aren't 0, newest first, of one symbol, from a time on, and at most so many if asked for."""
+    x = signals.where("signal <> 0").where(F.lit(True) if symbol is None else F.col("symbol") == symbol).where(F.lit(True) if since is None else F.col("ts") >= since)
+    x = x.orderBy(F.desc("ts"), "symbol")
+    (x if most is None else x.limit(most)).write.option("header", True).csv(path)
+
+
+def report_json(metrics: DataFrame, *keys: str) -> DataFrame:
+    """One JSON document a row of ``metrics``, beside its keys."""
+    return metrics.select(*keys, F.to_json(F.struct(*[c for c in metrics.columns if c not in keys]), {"ignoreNullFields": "false"}).alias("report"))
