@@ -69,7 +69,8 @@ def walk_forward_search(bars: DataFrame, folds: DataFrame, params: DataFrame, rs
     spans = sorted({n for c in combos for n in (c.fast, c.slow)})
     x = in_folds(bars.select("symbol", "ts", "open", "close"), folds)
     series = F.struct(F.col("symbol").alias("s"), F.col("fold").alias("f"), F.col("role").alias("r"))
-    x = ind.with_rsi(ind.with_ema(x.withColumn("symbol", F.to_json(series)).drop("fold", "role"), *spans), rsi_period)
+    x = ind.ewm(x.withColumn("symbol", F.to_json(series)).drop("fold", "role"), [(f"ema{n}", "close", ind.span(n)) for n in spans], block="year")  # a range is short: few blocks
+    x = ind.with_rsi(x, rsi_period)
     w = ordered()
     means = F.create_map(*[v for n in spans for v in (F.lit(n), F.col(f"ema{n}"))])
     past = F.create_map(*[v for n in spans for v in (F.lit(n), F.lag(f"ema{n}").over(w))])
