@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, html_extract, mix_sources, near_dup, quality_classifier, quality_rules, token_files, topk_search, url_filter
+from . import byte_bpe, chat_format, fill_in_middle, html_extract, merkle, mix_sources, near_dup, quality_classifier, quality_rules, token_files, topk_search, url_filter
 from .common import LOWER, UPPER, WORD, scratch_root, table
 
 URL_RULES = (url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"))
@@ -76,6 +76,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    whole = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claimed = F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf_hash(*fields, F.col("text")).alias("leaf"), merkle.leaf_hash(*fields, claimed).alias("claimed"))
+    out = merkle.prove(leaves, "source", "doc_id", claimed_col="claimed")
+    digest = F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", digest, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_url_filter, op2_minhash_near_dedup, op3_quality_rules, op4_chat_format, op5_mix_sources, op6_html_extract, op7_byte_bpe, op8_token_files, op9_exact_topk, op10_quality_classifier, pipeline)
+    ops = (op1_url_filter, op2_minhash_near_dedup, op3_quality_rules, op4_chat_format, op5_mix_sources, op6_html_extract, op7_byte_bpe, op8_token_files, op9_exact_topk, op10_quality_classifier, op11_fill_in_middle, op12_merkle_manifest, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -175,9 +192,58 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BI
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20"""
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+        ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1 : a], ''), '') AS pre, coalesce(array_to_string(u[a + 1 : b], ''), '') AS mid, coalesce(array_to_string(u[b + 1 : n], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+
+def _merkle_levels(name: str, nodes: str, proofs: str, levels: int) -> str:
+    """SQL that climbs ``levels`` levels from ``nodes`` (g, idx, h, n) and takes along each row of ``proofs`` (row, g, idx, f, p: folded hash and siblings so far)."""
+    out = []
+    for i in range(levels):
+        a, p = (f"{name}_n{i - 1}", f"{name}_p{i - 1}") if i else (nodes, proofs)
+        out.append(f"""{name}_r{i} AS (SELECT g, idx // 16 AS idx, list(h ORDER BY idx) AS hs, any_value(n) AS n FROM {a} GROUP BY ALL),
+{name}_n{i} AS (SELECT g, idx, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (n + 15) // 16 AS n FROM {name}_r{i}),
+{name}_p{i} AS (SELECT row, p.g, p.idx // 16 AS idx,
+    CASE WHEN n > 1 THEN sha256(coalesce(array_to_string(hs[1 : p.idx % 16], ''), '') || f || coalesce(array_to_string(hs[p.idx % 16 + 2 :], ''), '')) ELSE f END AS f,
+    CASE WHEN n > 1 THEN p || coalesce(array_to_string(hs[1 : p.idx % 16], ''), '') || coalesce(array_to_string(hs[p.idx % 16 + 2 :], ''), '') ELSE p END AS p
+    FROM {p} AS p JOIN {name}_r{i} AS r ON r.g = p.g AND r.idx = p.idx // 16)""")
+    return ",\n".join(out)
+
+
+_FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+#: DuckDB has no CRC-32: eight bits a step by the polynomial's table, which a query derives.
+_CRC = """t(i, c) AS (SELECT range, list_reduce(list_prepend(range, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FROM range(256)),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t),
+ids AS (SELECT DISTINCT doc_id FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM ids, tab)"""
+OP12 = f"""
+WITH {_CRC},
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('v' || source, 'n') AS g, sha256({_FIELDS} || {_TEXT.format("text")}) AS leaf,
+    sha256({_FIELDS} || {_TEXT.format(f"CASE WHEN crc % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END")}) AS claimed FROM documents LEFT JOIN crc USING (doc_id)),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d),
+l0 AS (SELECT g, idx, leaf AS h, n FROM l),
+q0 AS (SELECT row, g, idx, claimed AS f, '' AS p FROM l),
+{_merkle_levels("a", "l0", "q0", 6)},
+s AS (SELECT g AS k, h, '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM a_n5),
+s0 AS (SELECT g, idx, h, n FROM s),
+t0 AS (SELECT row, s.g, s.idx, f, p FROM a_p5 JOIN s ON s.k = a_p5.g),
+{_merkle_levels("b", "s0", "t0", 4)}
+SELECT d.doc_id, d.leaf, s.h AS subroot, b_n3.h AS root, sha256(b_p3.p) AS proof_sha256, b_p3.f AS folded_root, b_p3.f = b_n3.h AS verified
+FROM d JOIN s ON s.k = d.g JOIN b_p3 USING (row) CROSS JOIN b_n3"""
+
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_url_filter": OP1, "op2_minhash_near_dedup": OP2, "op4_chat_format": OP4, "op5_mix_sources": OP5, "op9_exact_topk": OP9}
+    out = {"op1_url_filter": OP1, "op2_minhash_near_dedup": OP2, "op4_chat_format": OP4, "op5_mix_sources": OP5, "op9_exact_topk": OP9, "op11_fill_in_middle": OP11, "op12_merkle_manifest": OP12}
     import corpus_pipeline
 
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
