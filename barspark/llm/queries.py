@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, fill_in_middle, html_extract, merkle, mix_sources, near_dup, quality_classifier, quality_rules, token_files, topk_search, url_filter
+from . import byte_bpe, chat_format, fill_in_middle, html_extract, merkle, mix_sources, near_dup, quality_classifier, quality_rules, suffix_dedup, token_files, topk_search, url_filter
 from .common import LOWER, UPPER, WORD, scratch_root, table
 
 URL_RULES = (url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"))
@@ -93,6 +93,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", digest, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_url_filter, op2_minhash_near_dedup, op3_quality_rules, op4_chat_format, op5_mix_sources, op6_html_extract, op7_byte_bpe, op8_token_files, op9_exact_topk, op10_quality_classifier, op11_fill_in_middle, op12_merkle_manifest, pipeline)
+    ops = (op1_url_filter, op2_minhash_near_dedup, op3_quality_rules, op4_chat_format, op5_mix_sources, op6_html_extract, op7_byte_bpe, op8_token_files, op9_exact_topk, op10_quality_classifier, op11_fill_in_middle, op12_merkle_manifest, op13_suffix_dedup, pipeline)
     return {f.__name__: f for f in ops}
 
 
