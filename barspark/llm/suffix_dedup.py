@@ -227,7 +227,6 @@ def _fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             data, ends = column_bytes(b.column(1))
             lists = b.column(0)
             edge, f = lists.offsets.to_numpy(), lists.flatten()
-            base = int(edge[0])
             row = np.repeat(np.arange(b.num_rows), np.diff(edge))
             start = f.field("start").to_numpy() + ends[:-1][row]
             size = f.field("n").to_numpy().astype(np.int64) + length - 1
@@ -235,7 +234,6 @@ def _fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for i, j in parts(np.concatenate([[0], stop]), BATCH):
                 text = [data[s : s + z].tobytes() for s, z in zip(start[i:j].tolist(), size[i:j].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(f.field(c).slice(i, j - i) for c in names[:-1]), pa.array(text, pa.binary())], names)
-            del base
 
     lists = wanted.groupBy("at").agg(F.collect_list(F.struct("h", "c", "start", "lo", "n", "weight")).alias("list"))
     return texts.select("at", "text").join(lists, "at").select("list", "text").mapInArrow(run, "h long, c long, lo int, n int, weight int, text binary")
@@ -246,9 +244,11 @@ def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     cut = _cut(texts, length, gram)
     kinds = cut.groupBy("h", "c").agg(F.sum("weight").alias("w"), F.min("at").alias("at"), F.min(F.col("at") + F.col("start")).alias("place"), F.max("lo").alias("lo"), F.max("n").alias("n"))
     kinds = materialize(kinds.select("h", "c", "at", (F.col("place") - F.col("at")).alias("start"), "lo", "n", F.least("w", F.lit(2)).cast("int").alias("weight")), "pieces")
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("weight").alias("all")).where("`all` > 1").drop("all")
+    # Written before the join, so that Spark can split an anchor of very many pieces.
+    anchors = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("weight").alias("all")).where("`all` > 1").drop("all"), "anchors")
     wanted = materialize(kinds.join(anchors, "h"), "candidates")
     discard(kinds)
+    discard(anchors)
     found = _ordered(_fetched(texts, wanted.where(F.col("kinds") <= KINDS), length), length)
     hot = wanted.where(F.col("kinds") > KINDS)
     if not hot.isEmpty():
