@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered
+from ..functions.running import latest, running
+from ..functions.windows import ROW, numbered, ordered
 
 #: Fixed values.
 TIMEFRAME_WEIGHTS = {"1m": 0.5, "5m": 0.6, "15m": 0.7, "30m": 0.8, "1h": 0.9, "1d": 1.0}
@@ -54,11 +55,11 @@ def fused(frames: dict[str, DataFrame], weights: dict[str, float] | None = None)
 
 
 def asof(left: DataFrame, right: DataFrame, value: str, by: str = "symbol", on: str = "ts") -> DataFrame:
-    """``left`` with the last ``value`` of ``right`` at or before each row: one union and one window, no inequality join."""
-    l = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
+    """``left`` with the last ``value`` of ``right`` at or before each row: one union, numbered, and a value that runs by blocks; no inequality join, and no series in one task."""
+    l = left.drop(ROW).select("*", F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
     r = right.select(by, on, F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__v", "__side")
+    both = numbered(l.unionByName(r, allowMissingColumns=True), by, order=(on, "__side"))
+    return running(both, {value: latest(F.col("__v"))}, by).where("__side = 1").drop("__v", "__side", ROW)
 
 
 def inverse_volatility_weights(returns: DataFrame, lookback: int = 20) -> DataFrame:
@@ -90,7 +91,10 @@ def regimes(bars: DataFrame, short: int = 20, mid: int = 60, long: int = 126, ca
     """Each symbol's regime at its last bar from three votes: momentum, annualised volatility, and the growth proxy."""
     w = ordered()
     back = lambda k: F.try_divide("close", F.lag("close", k).over(w)) - 1
-    x = bars.withColumns({"m20": back(short), "m60": back(mid), "m126": back(long), "ret": back(1), "n": F.row_number().over(w)})
+    x = numbered(bars)
+    n = x.groupBy(F.struct("symbol").alias("__s")).agg((F.max(ROW) + 1).alias("__n"))
+    x = x.withColumn("__s", F.struct("symbol")).join(n, "__s").where(F.col(ROW) >= F.col("__n") - long - 1)  # a symbol's last bars are all that its windows need
+    x = x.withColumns({"m20": back(short), "m60": back(mid), "m126": back(long), "ret": back(1), "n": (F.col(ROW) + 1).cast("int")})
     vol = F.when(F.count("ret").over(w.rowsBetween(-short + 1, 0)) >= 10, F.stddev_samp("ret").over(w.rowsBetween(-short + 1, 0)) * 252**0.5)
     x = x.withColumn("vol", vol).groupBy("symbol").agg(*[F.max_by(c, "ts").alias(c) for c in ("m20", "m60", "m126", "vol", "n")])
     x = x.withColumns({"slope": F.col("m20") / F.greatest(F.abs(F.coalesce("m126", F.lit(0.0))), F.lit(1e-6)), "growth": F.coalesce(F.col("m60") - F.col("m126"), F.lit(0.0))})

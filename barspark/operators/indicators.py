@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import full, mean, ordered, trailing, upto
-
+from ..functions import windows
+from ..functions.running import first, lag, running, total
+from ..functions.windows import ROW, full, mean, numbered, ordered, trailing
 
 
 def with_rsi(df: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
@@ -45,14 +46,11 @@ def donchian(n: int = 20) -> dict[str, Column]:
     return {"dc_high": full(F.max(F.col("high")), F.col("high"), n, w), "dc_low": full(F.min(F.col("low")), F.col("low"), n, w)}
 
 
-def vwap() -> Column:
-    w = upto()
-    v = F.sum(F.col("volume")).over(w)
-    return F.sum((F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume")).over(w) / F.when(v == 0, 1).otherwise(v)
-
-
-def volume_ratio(n: int = 20) -> Column:
-    return F.try_divide(F.col("volume"), mean(F.col("volume"), n))
+def with_vwap(df: DataFrame) -> DataFrame:
+    """The mean of the typical price so far, weighted by volume."""
+    v = F.col("volume")
+    x = running(df, {"__p": total((F.col("high") + F.col("low") + F.col("close")) / 3 * v), "__v": total(v)})
+    return x.withColumn("vwap", F.col("__p") / F.when(F.col("__v") == 0, 1).otherwise(F.col("__v"))).drop("__p", "__v")
 
 
 def roc(k: int = 10) -> Column:
@@ -82,12 +80,13 @@ def ewm(df: DataFrame, specs: Iterable[tuple[str, str, float]], block: str = "mo
 
     A block of time maps the state before it to the one after it, ``e -> a e + b``. One pass finds each block's a and b, the few
     blocks of a series are then composed in order, and a second pass fills in the rows: no series is a single group.
-    Rows of equal times go by the input's values, so the result does not depend on the order of rows."""
+    Blocks are those of a numbered table, else of time, where rows of equal times go by the input's values."""
     specs = list(specs)
-    at = F.date_trunc(block, F.col("ts")).alias("__block")
-    rows = df.select("*", at)
+    known = ROW in df.columns
+    at = F.floor(F.col(ROW) / windows.BLOCK_ROWS) if known else F.date_trunc(block, F.col("ts"))
+    rows = df.select("*", at.alias("__block"))
     key = [*keys, "__block"]
-    order = ["ts", *dict.fromkeys(c for _, c, _ in specs)]
+    order = [ROW] if known else ["ts", *dict.fromkeys(c for _, c, _ in specs)]
     names, made = list(df.columns), [o for o, _, _ in specs]
 
     def shape(f: pd.DataFrame) -> pd.DataFrame:
@@ -144,11 +143,11 @@ def with_ema(df: DataFrame, *periods: int) -> DataFrame:
 def with_ema_adjusted(df: DataFrame, n: int) -> DataFrame:
     """Weighted mean with weights ``(1 - alpha) ** age``: the ratio of two recursions."""
     a = span(n)
-    x = ewm(df.withColumn("__one", F.lit(1.0)), [("__e", "close", a)])
+    x = ewm(running(numbered(df), {"__first": first(F.col("close"))}), [("__e", "close", a)])
     # The seeded recursion is the weighted sum with the first value's weight too large by (1 - alpha) ** (n - 1) - that of the adjusted one.
-    x = x.withColumn("__first", F.first("close").over(upto()))
     decay = F.pow(F.lit(1 - a), F.col("n"))
-    return x.withColumn("ema_adjusted", (F.col("__e") - decay * F.col("__first")) / (1 - decay)).drop("__one", "__e", "__first")
+    x = x.withColumn("ema_adjusted", (F.col("__e") - decay * F.col("__first")) / (1 - decay)).drop("__e", "__first")
+    return x if ROW in df.columns else x.drop(ROW)
 
 
 def with_wilder(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
@@ -158,14 +157,15 @@ def with_wilder(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
 
 
 def with_rsi_wilder(df: DataFrame, n: int = 14) -> DataFrame:
-    d = F.col("close") - F.lag(F.col("close")).over(ordered())
-    x = df.withColumn("__d", F.coalesce(d, F.lit(0.0))).withColumns({"__up": F.greatest("__d", F.lit(0.0)), "__down": F.greatest(-F.col("__d"), F.lit(0.0))})
+    x = running(numbered(df), {"__c": lag(F.col("close"))})
+    x = x.withColumn("__d", F.coalesce(F.col("close") - F.col("__c"), F.lit(0.0))).drop("__c").withColumns({"__up": F.greatest("__d", F.lit(0.0)), "__down": F.greatest(-F.col("__d"), F.lit(0.0))})
     x = ewm(x, [("__g", "__up", 1 / n), ("__l", "__down", 1 / n)])
-    total = F.col("__g") + F.col("__l")
-    return x.withColumn("rsi_wilder", F.when((F.col("n") >= n) & (total > 0), 100 * F.col("__g") / total)).drop("__d", "__up", "__down", "__g", "__l")
+    moved = F.col("__g") + F.col("__l")
+    return x.withColumn("rsi_wilder", F.when((F.col("n") >= n) & (moved > 0), 100 * F.col("__g") / moved)).drop("__d", "__up", "__down", "__g", "__l", *([] if ROW in df.columns else [ROW]))
 
 
-def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    x = with_ema(df, fast, slow).drop("n").withColumn("macd", F.col(f"ema{fast}") - F.col(f"ema{slow}"))
+def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, *also: int) -> DataFrame:
+    """The difference of two exponential means, its own mean and the rest; ``also``: further means of the close, found in the first pass."""
+    x = with_ema(df, fast, slow, *also).drop("n").withColumn("macd", F.col(f"ema{fast}") - F.col(f"ema{slow}"))
     x = ewm(x, [("macd_signal", "macd", span(signal))])
     return x.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))

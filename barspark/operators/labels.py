@@ -7,15 +7,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import in_blocks, mean, ordered
+from ..functions.windows import ROW, in_blocks, mean, numbered, ordered
 from . import indicators as ind
 
 FEATURES = ("rsi_14", "macd_hist", "bb_pct", "ema_slope", "atr_pct", "ret_1", "ret_3", "ret_5", "ret_10", "vol_10", "vol_20")
 
 
 def feature_frame(bars: DataFrame) -> DataFrame:
-    """The model's columns per bar, null while a window fills and where a value isn't finite. The two levels of recursive means run by blocks of time, the windows by blocks of rows."""
-    x = ind.ewm(bars, [("ema12", "close", ind.span(12)), ("ema26", "close", ind.span(26)), ("ema50", "close", ind.span(50))]).drop("n")
+    """The model's columns per bar, null while a window fills and where a value isn't finite. Bars are numbered once; recursive means and windows run over the same blocks."""
+    x = ind.ewm(numbered(bars), [("ema12", "close", ind.span(12)), ("ema26", "close", ind.span(26)), ("ema50", "close", ind.span(50))]).drop("n")
     x = ind.ewm(x.withColumn("macd", F.col("ema12") - F.col("ema26")), [("macd_signal", "macd", ind.span(9))]).drop("n")
 
     def windows(b: DataFrame) -> DataFrame:
@@ -60,17 +60,22 @@ def correlations(df: DataFrame, columns: list[str], threshold: float = 0.85) ->
 
 def lookahead(df: DataFrame, features: list[str], target: str, horizon: int = 5, threshold: float = 0.1) -> DataFrame:
     """Correlation of each feature with the target k bars later; flagged beyond ``threshold``."""
-    w = ordered()
-    x = df.withColumns({f"__y{k}": F.lead(target, k).over(w) for k in range(1, horizon + 1)})
+    x = in_blocks(df, lambda b: b.withColumns({f"__y{k}": F.lead(target, k).over(ordered()) for k in range(1, horizon + 1)}), 0, horizon)
     one = x.agg(*[F.when(F.count(F.when(F.col(f).isNotNull() & F.col(f"__y{k}").isNotNull(), 1)) >= 3, F.corr(f, f"__y{k}")).alias(f"{f}__{k}") for f in features for k in range(1, horizon + 1)])
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("k"), F.round(f"{f}__{k}", 4).alias("corr")) for f in features for k in range(1, horizon + 1)])).alias("r")).select("r.*")
     return rows.withColumn("flagged", F.coalesce(F.abs("corr") > threshold, F.lit(False)))
 
 
+def _rows(df: DataFrame, **more: Column) -> DataFrame:
+    """``row`` (from 0) and ``rows`` of each symbol, and further figures over its numbered rows."""
+    x = numbered(df)
+    n = x.groupBy(F.struct("symbol").alias("__s")).agg((F.max(ROW) + 1).alias("rows"), *[c.alias(k) for k, c in more.items()])
+    return x.withColumn("__s", F.struct("symbol")).join(n, "__s").withColumnRenamed(ROW, "row").drop("__s")
+
+
 def walk_forward(df: DataFrame, train: int, step: int) -> DataFrame:
     """Rows with every fold they belong to: fold f trains on rows ``[f step, f step + train)`` and tests on the ``step`` after."""
-    w = ordered()
-    x = df.withColumns({"row": (F.row_number().over(w) - 1).cast("long"), "rows": F.count("*").over(Window.partitionBy("symbol"))})
+    x = _rows(df)
     last = F.floor((F.col("rows") - train - step) / step)
     lo, hi = F.greatest(F.lit(0), F.ceil((F.col("row") - train - step + 1) / step)), F.least(last, F.floor(F.col("row") / step))
     x = x.withColumn("fold", F.explode(F.when(lo <= hi, F.sequence(lo.cast("long"), hi.cast("long")))))
@@ -79,19 +84,33 @@ def walk_forward(df: DataFrame, train: int, step: int) -> DataFrame:
 
 def purged_folds(df: DataFrame, k: int = 5, embargo: int = 5) -> DataFrame:
     """Rows by fold: test, or train but for ``embargo`` rows on each side of the test rows."""
-    w = ordered()
-    x = df.withColumns({"row": (F.row_number().over(w) - 1).cast("long"), "rows": F.count("*").over(Window.partitionBy("symbol"))})
-    x = x.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    x = _rows(df).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     size = F.floor(F.col("rows") / k)
     lo, hi = F.col("fold") * size, F.when(F.col("fold") == k - 1, F.col("rows")).otherwise((F.col("fold") + 1) * size)
     role = F.when((F.col("row") >= lo) & (F.col("row") < hi), "test").when((F.col("row") >= lo - embargo) & (F.col("row") < hi + embargo), "embargo").otherwise("train")
     return x.withColumn("role", role).drop("rows")
 
 
+def purged_splits(df: DataFrame, k: int = 5, test_size: int | None = None, train_size: int | None = None, embargo_share: float = 0.05, gap: int = 0) -> DataFrame:
+    """Rows by fold: ``k`` test blocks spread over a symbol's rows; of the rest the first ``train_size`` (all if null) train, but for those that follow the test rows
+    within the embargo (``embargo_share`` of the test rows, 1 at least) and ``gap`` more. Rows that neither train nor test are ``embargo`` or ``unused``."""
+    x = _rows(df)
+    size = F.lit(test_size) if test_size else F.greatest(F.lit(1), F.floor(F.col("rows") / (k + 1)))
+    x = x.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    lo = F.col("fold") * F.floor(F.col("rows") / k)
+    hi = F.least(lo + size, F.col("rows"))
+    x = x.withColumns({"__lo": lo, "__hi": hi, "__rest": F.greatest(F.lit(1), F.floor(size * embargo_share)) + gap})
+    place = F.when(F.col("row") < F.col("__lo"), F.col("row")).otherwise(F.col("row") - (F.col("__hi") - F.col("__lo")))
+    role = F.when((F.col("row") >= F.col("__lo")) & (F.col("row") < F.col("__hi")), "test")
+    if train_size is not None:
+        role = role.when(place >= train_size, "unused")
+    role = role.when((F.col("row") >= F.col("__hi")) & (F.col("row") < F.col("__hi") + F.col("__rest")), "embargo").otherwise("train")
+    return x.withColumn("role", role).drop("rows", "__lo", "__hi", "__rest")
+
+
 def split_by_date(df: DataFrame, cutoff, embargo: int = 5) -> DataFrame:
     """Train before the cutoff, test from it on, with ``embargo`` bars dropped on each side."""
-    w = ordered()
-    x = df.withColumn("row", F.row_number().over(w)).withColumn("cut", F.min(F.when(F.col("ts") >= cutoff, F.col("row"))).over(Window.partitionBy("symbol")))
+    x = _rows(df, cut=F.min(F.when(F.col("ts") >= cutoff, F.col(ROW))) + 1).withColumn("row", (F.col("row") + 1).cast("int")).drop("rows")
     d = F.col("row") - F.coalesce("cut", F.lit(1 << 40))
     return x.withColumn("role", F.when(d < -embargo, "train").when(d >= embargo, "test").otherwise("embargo")).drop("cut")
 
@@ -124,9 +143,8 @@ def importance(df: DataFrame, features: list[str]) -> DataFrame:
 
 def regression_scores(df: DataFrame, y: str, guess: str) -> DataFrame:
     """Errors, r squared and the share of moves whose direction the guess has, per symbol."""
-    w = ordered()
     a, b = F.col(y), F.col(guess)
-    x = df.withColumns({"__dy": a - F.lag(a).over(w), "__dg": b - F.lag(b).over(w)})
+    x = in_blocks(df, lambda x: x.withColumns({"__dy": a - F.lag(a).over(ordered()), "__dg": b - F.lag(b).over(ordered())}), 1)
     moved = F.col("__dy") != 0
     return x.groupBy("symbol").agg(F.avg(F.pow(a - b, 2)).alias("mse"), F.avg(F.abs(a - b)).alias("mae"), F.avg(F.when(moved, (F.signum("__dy") == F.signum("__dg")).cast("double"))).alias("direction"), (1 - F.try_divide(F.sum(F.pow(a - b, 2)), F.var_pop(a) * F.count(a))).alias("r2"))
 

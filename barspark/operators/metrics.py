@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered, upto
+from ..functions.running import lag, latest, lead, peak, peak_of_total, running, total
+from ..functions.scratch import settled
+from ..functions.windows import ROW, numbered
+
+
+def _entered(signal: Column) -> Column:
+    return F.when(signal != 0, signal)
 
 
 def with_position(signals: DataFrame, *keys: str) -> DataFrame:
     """1 from an entry to the exit after it: the last signal that isn't 0 decides."""
-    last = F.last(F.when(F.col("signal") != 0, F.col("signal")), ignorenulls=True).over(upto(*keys))
-    return signals.withColumn("position", F.when(last == 1, 1).otherwise(0).cast("int"))
+    x = running(signals, {"__last": latest(_entered(F.col("signal")))}, *keys)
+    return x.withColumn("position", F.when(F.col("__last") == 1, 1).otherwise(0).cast("int")).drop("__last")
 
 
 def trades(positions: DataFrame, *keys: str) -> DataFrame:
-    """Runs of position 1 as trades, entered and left at the next bar's open; one still open has no exit."""
+    """Runs of position 1 as trades, entered and left at the next bar's open; one still open has no exit.
+
+    A trade's rows are those from its first bar to the next trade's: the first of them is filled on entry, the first without the position on exit."""
     keys = keys or ("symbol",)
-    w = ordered(*keys)
-    x = positions.withColumns({"__start": (F.col("position") == 1) & (F.coalesce(F.lag("position").over(w), F.lit(0)) == 0), "__fill": F.lead("open").over(w), "__fill_ts": F.lead("ts").over(w), "__row": F.row_number().over(w)})
-    x = x.withColumn("trade_id", F.sum(F.col("__start").cast("int")).over(upto(*keys))).where("position = 1")
-    t = x.groupBy(*keys, "trade_id").agg(F.min_by("__fill_ts", "ts").alias("entry_ts"), F.min_by("__fill", "ts").alias("entry_price"), F.max_by("__fill_ts", "__row").alias("__last_ts"), F.count("*").alias("bars"), F.max("__row").alias("__end"))
-    after = positions.select(*keys, (F.row_number().over(w) - 1).alias("__end"), F.lead("open").over(w).alias("exit_price"), F.lead("ts").over(w).alias("exit_ts"))
-    out = t.join(after, [*keys, "__end"], "left").where("entry_price is not null")
-    return out.select(*keys, "trade_id", "entry_ts", "entry_price", "exit_ts", "exit_price", "bars")
+    held = F.col("position") == 1
+    x = running(numbered(positions, *keys), {"__before": lag(F.col("position")), "__fill": lead(F.col("open")), "__fill_ts": lead(F.col("ts"))}, *keys)
+    start = held & (F.coalesce("__before", F.lit(0)) == 0)
+    x = settled(x.select(*keys, ROW, "position", "__fill", "__fill_ts", start.cast("int").alias("__start")), "fills")
+    x = running(x, {"trade_id": total(F.col("__start"))}, *keys).where("trade_id > 0")
+    on, off = F.when(held, F.col(ROW)), F.when(F.col("position") != 1, F.col(ROW))
+    t = x.groupBy(*keys, "trade_id").agg(
+        F.min_by("__fill_ts", on).alias("entry_ts"), F.min_by("__fill", on).alias("entry_price"), F.min_by("__fill_ts", off).alias("exit_ts"), F.min_by("__fill", off).alias("exit_price"), F.count_if(held).alias("bars"),
+    )
+    return t.where("entry_price is not null")
 
 
 def trade_stats(t: DataFrame, *keys: str) -> DataFrame:
@@ -36,14 +47,25 @@ def trade_stats(t: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _returns(held: Column, before: Column, last_close: Column, commission: float) -> dict[str, Column]:
+    """``held, bar_return, ret`` of a bar: what the bar before signalled, times the bar's return, less commission where that is new."""
+    held, before = F.coalesce(held, F.lit(0)), F.coalesce(before, F.lit(0))
+    gain = F.coalesce(F.try_divide(F.col("close"), last_close) - 1, F.lit(0.0))
+    cost = F.when((held != 0) & (held != before), commission).otherwise(0.0)
+    return {"held": held, "bar_return": gain, "ret": held * gain - cost}
+
+
+def _growth() -> Column:
+    return F.log1p(F.greatest("ret", F.lit(-0.999999)))
+
+
 def signal_returns(signals: DataFrame, commission: float = 0.0005) -> DataFrame:
-    """The signal of the bar before times the bar's return, less commission where a signal starts."""
-    w = ordered()
-    s, r = F.coalesce(F.lag("signal").over(w), F.lit(0)), F.coalesce(F.try_divide("close", F.lag("close").over(w)) - 1, F.lit(0.0))
-    x = signals.withColumns({"held": s, "bar_return": r})
-    new = (F.col("held") != 0) & (F.col("held") != F.coalesce(F.lag("held").over(w), F.lit(0)))
-    x = x.withColumn("ret", F.col("held") * F.col("bar_return") - F.when(new, commission).otherwise(0.0))
-    return x.withColumn("equity", F.exp(F.sum(F.log1p(F.greatest("ret", F.lit(-0.999999)))).over(upto())))
+    """The signal of the bar before times the bar's return, less commission where a signal starts, and the equity that grows from 1."""
+    s = F.col("signal")
+    x = running(numbered(signals), {"__1": lag(s), "__2": lag(s, 2), "__c": lag(F.col("close"))})
+    x = running(x.withColumns(_returns(F.col("__1"), F.col("__2"), F.col("__c"), commission)).drop("__1", "__2", "__c"), {"__t": total(_growth())})
+    x = x.withColumn("equity", F.exp("__t")).drop("__t")
+    return x if ROW in signals.columns else x.drop(ROW)
 
 
 def sharpe(r: Column, periods: int = 252, rf: float = 0.0) -> Column:
@@ -57,7 +79,7 @@ def sortino(r: Column, periods: int = 252) -> Column:
 
 
 def with_drawdown(curve: DataFrame, *keys: str, order: str = "ts") -> DataFrame:
-    return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(upto(*keys, order=order)) - 1)
+    return running(curve, {"__top": peak(F.col("equity"))}, *keys, order=order).withColumn("drawdown", F.col("equity") / F.col("__top") - 1).drop("__top")
 
 
 def cagr(periods: int = 252, order: str = "ts") -> Column:
@@ -68,15 +90,22 @@ def calmar(growth: Column, drawdown: Column) -> Column:
     return F.when(F.abs(drawdown) < 0.01, 0.0).otherwise(growth / F.abs(drawdown))
 
 
-def backtest(signals: DataFrame, commission: float = 0.0005) -> DataFrame:
-    """One row per symbol: returns, risk figures and trades of its signals."""
-    x = with_drawdown(signal_returns(with_position(signals).withColumn("signal", F.col("position")), commission), "symbol")
+def backtest(signals: DataFrame, commission: float = 0.0005, *also: str) -> DataFrame:
+    """One row per symbol (and per value of the columns ``also``, which tell series apart): returns, risk figures and trades of its signals.
+
+    Two passes over the numbered bars: one finds the position now and at the two bars before, one the growth and its peak."""
+    keys = ("symbol", *also)
+    on = _entered(F.col("signal"))
+    x = running(numbered(signals, *keys), {"__0": latest(on), "__1": latest(on, 1), "__2": latest(on, 2), "__c": lag(F.col("close"))}, *keys)
+    now, held, before = (F.when(F.col(c) == 1, 1).otherwise(0) for c in ("__0", "__1", "__2"))
+    x = x.withColumns({"position": now} | _returns(held, before, F.col("__c"), commission)).select(*keys, ROW, "close", "position", "held", "ret")
+    x = running(x, {"__t": total(_growth()), "__top": peak_of_total(_growth())}, *keys)
+    x = x.withColumns({"equity": F.exp("__t"), "drawdown": F.exp(F.col("__t") - F.col("__top")) - 1})
     r = F.col("ret")
-    m = x.groupBy("symbol").agg(
-        F.count("*").alias("bars"), (F.max_by("equity", "ts") - 1).alias("total_return"), (F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("buy_hold"),
+    return x.groupBy(*keys).agg(
+        F.count("*").alias("bars"), (F.max_by("equity", ROW) - 1).alias("total_return"), (F.max_by("close", ROW) / F.min_by("close", ROW) - 1).alias("buy_hold"),
         sharpe(r).alias("sharpe"), sortino(r).alias("sortino"), F.min("drawdown").alias("max_drawdown"), F.sum(((F.col("position") == 1) & (F.col("held") == 0)).cast("int")).alias("entries"), F.avg(F.col("held").cast("double")).alias("exposure"),
     )
-    return m
 
 
 def head_to_head(a: DataFrame, b: DataFrame, key: str = "symbol") -> DataFrame:
@@ -96,7 +125,7 @@ def oos_backtest(bars: DataFrame, trials: DataFrame, strategy, commission: float
     day = F.col("ts").cast("date")
     x = bars.join(F.broadcast(trials), (day >= F.col("train_start")) & (day < F.col("test_end")))
     x = x.withColumn("symbol", F.to_json(F.struct(F.col("symbol").alias("s"), F.col("trial").alias("t"), F.when(day < F.col("cutoff"), "train").otherwise("test").alias("r")))).select(*bars.columns)
-    signals = with_position(strategy(x))
+    signals = with_position(numbered(strategy(x)))
     t = trades(signals).where("exit_price is not null").groupBy("symbol").agg(F.count("*").alias("trades"), (100 * F.avg((F.col("exit_price") > F.col("entry_price")).cast("double"))).alias("win_rate"))
     m = backtest(signals.drop("position"), commission).join(t, "symbol", "left").fillna(0, ["trades", "win_rate"])
     k = F.from_json("symbol", "s string, t int, r string")

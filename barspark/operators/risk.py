@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import peak, running
 from ..functions.windows import upto
 
 #: Profit from which a tier holds, and its trailing distance.
@@ -49,8 +50,8 @@ def kill_switch(equity: DataFrame, limit: float = 0.03, keys: tuple[str, ...] =
 
 def drawdown_alerts(equity: DataFrame, least: float = 0.02, keys: tuple[str, ...] = ("strategy",), order: str = "ts", day: str = "day") -> DataFrame:
     """Rows that draw down by ``least`` or more, and deeper than any alert before them that day."""
-    w = upto(*keys, order=order)
-    x = equity.withColumn("dd", F.round(1 - F.col("equity") / F.max("equity").over(w), 9))
+    x = running(equity, {"__top": peak(F.col("equity"))}, *keys, order=order)
+    x = x.withColumn("dd", F.round(1 - F.col("equity") / F.col("__top"), 9)).drop("__top")
     before = upto(*keys, day, order=order).rowsBetween(Window.unboundedPreceding, -1)
     return x.withColumn("last", F.max(F.when(F.col("dd") >= least, F.col("dd"))).over(before)).where((F.col("dd") >= least) & (F.col("last").isNull() | (F.col("dd") > F.col("last")))).drop("last")
 

@@ -136,6 +136,16 @@ def purged_folds(spark, d):
     return L.purged_folds(bars(spark, d)).select("symbol", "row", "fold", "role")
 
 
+_SPLITS = f"""WITH {BARS}, {ROWS.format('bars')}, f AS (SELECT *, unnest(range(4)) AS fold, 30 AS size FROM rw), b AS (SELECT *, fold * (n // 4) AS lo, least(fold * (n // 4) + size, n) AS hi FROM f)
+SELECT symbol, row, fold::INTEGER AS fold, CASE WHEN row >= lo AND row < hi THEN 'test' WHEN (CASE WHEN row < lo THEN row ELSE row - (hi - lo) END) >= 200 THEN 'unused'
+  WHEN row >= hi AND row < hi + 3 + 2 THEN 'embargo' ELSE 'train' END AS role FROM b"""
+
+
+@query("purged_splits", _SPLITS)
+def purged_splits(spark, d):
+    return L.purged_splits(bars(spark, d), 4, test_size=30, train_size=200, embargo_share=0.1, gap=2).select("symbol", "row", "fold", "role")
+
+
 @query("split_by_date", f"WITH {DAILY}, {ROWS.format('daily')}, c AS (SELECT *, row + 1 - coalesce(min(CASE WHEN ts >= TIMESTAMP '1998-01-01' THEN row + 1 END) OVER (PARTITION BY symbol), 1099511627776) AS d FROM rw) SELECT symbol, ts, CASE WHEN d < -5 THEN 'train' WHEN d >= 5 THEN 'test' ELSE 'embargo' END AS role FROM c")
 def split_by_date(spark, d):
     return L.split_by_date(daily(spark, d), F.lit("1998-01-01").cast("timestamp_ntz")).select("symbol", "ts", "role")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.running import running, total
 from ..operators.bars import ticks_to_bars
 
 
@@ -44,11 +45,10 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily equity per strategy: a million plus the running signed cash flow, in whole cents."""
-    from ..operators.metrics import upto
-
     cents = F.round(F.when(F.col("side") == "BUY", -1).otherwise(1) * F.col("qty") * F.col("price") * 100).cast("long")
     day = trades(spark, sf_dir).groupBy("strategy", F.col("ts").cast("date").alias("day")).agg(F.sum(cents).alias("flow"))
-    return day.select("strategy", "day", (1_000_000.0 + F.sum("flow").over(upto("strategy", order="day")) / 100).alias("equity"))
+    x = running(day, {"total": total(F.col("flow"))}, "strategy", order="day")
+    return x.select("strategy", "day", (1_000_000.0 + F.col("total") / 100).alias("equity"))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import in_blocks
+from ..functions.windows import in_blocks, numbered
 from ..operators import bars as B
 from ..operators import indicators as I
 from ..operators import metrics as M
@@ -198,7 +198,7 @@ VWAP = "vw AS (SELECT *, sum((high + low + close) / 3 * volume) OVER u / CASE WH
 
 @query("vwap_and_volume", f"WITH {BARS}, {VWAP.format('bars')} SELECT symbol, ts, round(vwap, 6) AS vwap, round(vol_ma, 6) AS vol_ma, coalesce(volume > 1.5 * vol_ma, false) AS surge FROM vw")
 def vwap(spark, d):
-    x = bars(spark, d).withColumns({"vwap": I.vwap(), "vol_ma": I.mean(F.col("volume"), 20)})
+    x = in_blocks(I.with_vwap(numbered(bars(spark, d))), lambda b: b.withColumn("vol_ma", I.mean(F.col("volume"), 20)), 19)
     return out(x.withColumn("surge", F.coalesce(F.col("volume") > 1.5 * F.col("vol_ma"), F.lit(False))), "vwap", "vol_ma", "surge")
 
 
@@ -227,8 +227,8 @@ def ewm_sql(src: str, specs: dict[str, tuple[str, float]], name: str = "e") -> s
 
 @query("ema", f"WITH RECURSIVE {BARS}, {ewm_sql('bars', {'ema9': ('close', 2 / 10), 'ema21': ('close', 2 / 22)})} SELECT symbol, ts, round(ema9, 6) AS ema9, round(ema21, 6) AS ema21, round((ema9 - lag(ema9) OVER (PARTITION BY symbol ORDER BY ts)) / nullif(ema9, 0), 6) AS slope FROM e")
 def ema(spark, d):
-    x = I.with_ema(bars(spark, d), 9, 21)
-    return out(x.withColumn("slope", F.try_divide(F.col("ema9") - F.lag("ema9").over(I.ordered()), F.col("ema9"))), "ema9", "ema21", "slope")
+    x = in_blocks(I.with_ema(numbered(bars(spark, d)), 9, 21), lambda b: b.withColumn("slope", F.try_divide(F.col("ema9") - F.lag("ema9").over(I.ordered()), F.col("ema9"))), 1)
+    return out(x, "ema9", "ema21", "slope")
 
 
 @query("ema_adjusted", f"WITH RECURSIVE {BARS}, one AS (SELECT *, close AS w1, 1.0::DOUBLE AS w0 FROM bars), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM one), r AS (SELECT symbol AS s_, n AS n_, close AS a, 1.0::DOUBLE AS b FROM n WHERE n = 1 UNION ALL SELECT s_, n.n, n.close + {1 - 2 / 13!r}::DOUBLE * a, 1 + {1 - 2 / 13!r}::DOUBLE * b FROM r JOIN n ON n.symbol = s_ AND n.n = n_ + 1) SELECT symbol, ts, round(a / b, 6) AS ema_adjusted FROM n JOIN r ON symbol = s_ AND n = n_")
@@ -238,7 +238,7 @@ def ema_adjusted(spark, d):
 
 @query("wilder_atr", f"WITH RECURSIVE {BARS}, {TR}, {ewm_sql('tr', {'atr': ('tr', 1 / 20)})} SELECT symbol, ts, CASE WHEN n >= 20 THEN round(atr, 6) END AS atr FROM e")
 def wilder_atr(spark, d):
-    return out(I.with_wilder(I.with_true_range(bars(spark, d)), "tr", 20, "atr"), "atr")
+    return out(I.with_wilder(in_blocks(numbered(bars(spark, d)), I.with_true_range, 1), "tr", 20, "atr"), "atr")
 
 
 @query("rsi_wilder", f"WITH RECURSIVE {BARS}, d AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) AS d FROM bars), ud AS (SELECT *, greatest(d, 0) AS up, greatest(-d, 0) AS down FROM d), {ewm_sql('ud', {'g': ('up', 1 / 14), 'l': ('down', 1 / 14)})} SELECT symbol, ts, CASE WHEN n >= 14 AND g + l > 0 THEN round(100 * g / (g + l), 6) END AS rsi_wilder FROM e")
@@ -293,7 +293,7 @@ def user_strategy(spark, d):
     import numpy as np
     import pandas as pd
 
-    S.register("up_bar", lambda f: pd.Series(np.where(f.close > f.open, 1, -1)))
+    S.register("up_bar", lambda f: pd.Series(np.where(f.close > f.open, 1, -1)), look_back=0)
     return S.STRATEGIES["up_bar"](bars(spark, d)).select("symbol", "ts", "signal")
 
 

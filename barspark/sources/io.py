@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
-
+from ..functions.scratch import scratch  # noqa: F401
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; a local session without it gets a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-barspark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/barspark-{name}-{uuid.uuid4().hex}"
+BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
 
 
 def write_bars(bars: DataFrame, path: str, buckets: int = 16) -> None:
