@@ -70,7 +70,7 @@ def volume_zscore(n: int = 20) -> Column:
     return F.try_divide(F.col("volume") - mean(F.col("volume"), n), full(F.stddev_samp(F.col("volume")), F.col("volume"), n, trailing(n)))
 
 
-def _smooth(x: np.ndarray, alpha: float, seed: float) -> np.ndarray:
+def smooth(x: np.ndarray, alpha: float, seed: float) -> np.ndarray:
     """``e = alpha x + (1 - alpha) e'`` from ``seed``; missing values carry the state."""
     return pd.Series(np.concatenate([[seed], x])).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
 
@@ -97,7 +97,7 @@ def ewm(df: DataFrame, specs: Iterable[tuple[str, str, float]], block: str = "mo
             good = x[~np.isnan(x)]
             out[f"first{i}"] = [good[0] if len(good) else None]
             out[f"a{i}"] = [(1 - alpha) ** len(good)]
-            out[f"b{i}"] = [_smooth(good, alpha, 0.0)[-1] if len(good) else 0.0]
+            out[f"b{i}"] = [smooth(good, alpha, 0.0)[-1] if len(good) else 0.0]
         return pd.DataFrame(out)
 
     def seeds(f: pd.DataFrame) -> pd.DataFrame:
@@ -124,7 +124,7 @@ def ewm(df: DataFrame, specs: Iterable[tuple[str, str, float]], block: str = "mo
         if f.empty:
             return pd.DataFrame({c: [] for c in [*names, *made, "n"]})
         for i, (o, c, alpha) in enumerate(specs):
-            f[o] = _smooth(f[c].to_numpy(float), alpha, s[f"seed{i}"].iloc[0])
+            f[o] = smooth(f[c].to_numpy(float), alpha, s[f"seed{i}"].iloc[0])
         f["n"] = s.before.iloc[0] + np.arange(1, len(f) + 1)
         return f[[*names, *made, "n"]]
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import join_ranges
 from ..functions.running import lag, latest, lead, peak, peak_of_total, running, total
 from ..functions.scratch import settled
 from ..functions.windows import ROW, numbered
@@ -108,6 +111,15 @@ def backtest(signals: DataFrame, commission: float = 0.0005, *also: str) -> Data
     )
 
 
+def comparison(bars: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]], commission: float = 0.0005) -> DataFrame:
+    """``backtest`` of several strategies, one row per ``symbol`` and ``strategy``: bars are numbered once, and all signals are tested together."""
+    x, every = numbered(bars), None
+    for name, f in strategies.items():
+        s = f(x).select("symbol", ROW, "ts", "close", "signal", F.lit(name).alias("strategy"))
+        every = s if every is None else every.unionByName(s)
+    return backtest(settled(every, "signals"), commission, "strategy")
+
+
 def head_to_head(a: DataFrame, b: DataFrame, key: str = "symbol") -> DataFrame:
     """Both sides' figures and their differences for every key of either side."""
     figures = [c for c, t in a.dtypes if c != key and c in b.columns and t in ("double", "bigint", "int")]
@@ -121,9 +133,9 @@ CRITERIA = {"min_sharpe": 0.5, "min_return": 0.0, "max_drawdown": -25.0, "min_re
 
 def oos_backtest(bars: DataFrame, trials: DataFrame, strategy, commission: float = 0.0005) -> DataFrame:
     """``backtest`` of each symbol in each trial's two ranges of days, where indicators start anew. ``trials`` (``trial, train_start, cutoff, test_end``) is
-    a small table of ranges ``[train_start, cutoff)`` and ``[cutoff, test_end)``; bars near them are copied once a trial, and all trials run in one job."""
+    a table of ranges ``[train_start, cutoff)`` and ``[cutoff, test_end)``; bars near them are copied once a trial, and all trials run in one job."""
     day = F.col("ts").cast("date")
-    x = bars.join(F.broadcast(trials), (day >= F.col("train_start")) & (day < F.col("test_end")))
+    x = join_ranges(bars, trials, day, "train_start", "test_end")
     x = x.withColumn("symbol", F.to_json(F.struct(F.col("symbol").alias("s"), F.col("trial").alias("t"), F.when(day < F.col("cutoff"), "train").otherwise("test").alias("r")))).select(*bars.columns)
     signals = with_position(numbered(strategy(x)))
     t = trades(signals).where("exit_price is not null").groupBy("symbol").agg(F.count("*").alias("trades"), (100 * F.avg((F.col("exit_price") > F.col("entry_price")).cast("double"))).alias("win_rate"))

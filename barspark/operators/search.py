@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered
+from ..functions.intervals import join_ranges
+from ..functions.scratch import settled
 from . import indicators as ind
-from .metrics import backtest
 
 
 def grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
@@ -45,45 +48,125 @@ def enhanced_score(sharpe_: Column, sortino_: Column, drawdown_pct: Column, weig
     return F.round(F.greatest(weights[0] * z(sharpe_) + weights[1] * z(sortino_) - weights[2] * F.abs(z(drawdown_pct)), F.lit(0.0)), 4)
 
 
-def in_folds(bars: DataFrame, folds: DataFrame, most: int = 10_000) -> DataFrame:
-    """Bars once for each fold whose ranges hold their day, as ``fold, role``. The few folds (an error beyond ``most``) are literals, so nothing is joined."""
-    rows = folds.select("fold", "train_start", "train_end", "test_end").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} folds")
-    if not rows:
-        return bars.where("false").withColumns({"fold": F.lit(0), "role": F.lit("")})
+def in_folds(bars: DataFrame, folds: DataFrame) -> DataFrame:
+    """Bars once for each fold whose ranges hold their day, as ``fold, role``."""
     day = F.col("ts").cast("date")
-    every = F.array(*[F.struct(F.lit(int(r.fold)).alias("fold"), *[F.lit(r[c]).alias(c) for c in ("train_start", "train_end", "test_end")]) for r in rows])
-    x = bars.withColumn("__f", F.explode(F.filter(every, lambda f: (day >= f["train_start"]) & (day < f["test_end"]))))
-    return x.withColumns({"fold": F.col("__f.fold"), "role": F.when(day < F.col("__f.train_end"), "train").otherwise("test")}).drop("__f")
-
-
-def walk_forward_search(bars: DataFrame, folds: DataFrame, params: DataFrame, rsi_period: int = 14, leave_at: float = 75, commission: float = 0.0005, most: int = 1_000) -> DataFrame:
-    """The strategy of crossing exponential means and RSI, for every combination (``fast, slow, entry_max``) on every fold's two ranges: one row per ``params_id, fold, role``.
-
-    All in one job: means and RSI start anew in each range and are found once for all combinations, which are literals (an error beyond ``most``); then each
-    range and combination is a series of its own. The score is the mean of the symbols' ``score``."""
-    combos = params.select("params_id", "fast", "slow", "entry_max").limit(most + 1).collect()
-    if len(combos) > most:
-        raise ValueError(f"more than {most} combinations")
-    spans = sorted({n for c in combos for n in (c.fast, c.slow)})
-    x = in_folds(bars.select("symbol", "ts", "open", "close"), folds)
-    series = F.struct(F.col("symbol").alias("s"), F.col("fold").alias("f"), F.col("role").alias("r"))
-    x = ind.ewm(x.withColumn("symbol", F.to_json(series)).drop("fold", "role"), [(f"ema{n}", "close", ind.span(n)) for n in spans], block="year")  # a range is short: few blocks
-    x = ind.with_rsi(x, rsi_period)
-    w = ordered()
-    means = F.create_map(*[v for n in spans for v in (F.lit(n), F.col(f"ema{n}"))])
-    past = F.create_map(*[v for n in spans for v in (F.lit(n), F.lag(f"ema{n}").over(w))])
-    x = x.withColumns({"__now": means, "__past": past}).withColumn("__c", F.explode(F.array(*[F.struct(*[F.lit(c[k]).alias(k) for k in ("params_id", "fast", "slow", "entry_max")]) for c in combos])))
-    at = lambda m, k: F.round(F.element_at(m, F.col(f"__c.{k}")), 9)
-    a, b, a0, b0 = at("__now", "fast"), at("__now", "slow"), at("__past", "fast"), at("__past", "slow")
-    leave = F.coalesce((b > a) & (b0 <= a0), F.lit(False)) | F.coalesce(F.round("rsi", 9) > leave_at, F.lit(False))
-    enter = F.coalesce((a > b) & (a0 <= b0) & (F.col("rsi") < F.col("__c.entry_max")), F.lit(False))
-    x = x.select(F.concat_ws("|", F.col("__c.params_id").cast("string"), "symbol").alias("symbol"), "ts", "open", "close", F.when(leave, -1).when(enter, 1).otherwise(0).cast("int").alias("signal"))
-    m = backtest(x, commission)
-    key = F.from_json(F.expr("substring(symbol, instr(symbol, '|') + 1)"), "s string, f int, r string")
-    per = m.select(F.substring_index("symbol", "|", 1).cast("int").alias("params_id"), key["f"].alias("fold"), key["r"].alias("role"), score(F.col("sharpe"), F.col("total_return"), F.col("max_drawdown")).alias("score"))
-    return per.groupBy("params_id", "fold", "role").agg(F.round(F.avg("score"), 3).alias("score"), F.count("*").alias("symbols"))
+    x = join_ranges(bars, folds.select(F.col("fold").cast("int").alias("fold"), "train_start", "train_end", "test_end"), day, "train_start", "test_end")
+    return x.withColumn("role", F.when(day < F.col("train_end"), "train").otherwise("test")).drop("train_start", "train_end", "test_end")
+
+
+#: Combinations that are evaluated together, on every bar at once.
+TOGETHER = 256
+_RANGE = ["chunk", "symbol", "fold", "role"]
+
+
+class _Range:
+    """One range of one symbol under many combinations: what is known after the bars so far, and the figures that they have made."""
+
+    def __init__(self, params: list, rsi_period: int, leave_at: float, commission: float):
+        self.ids = np.array([p[0] for p in params])
+        self.spans = sorted({n for p in params for n in p[1:3]})
+        at = {n: i for i, n in enumerate(self.spans)}
+        self.fast, self.slow = (np.array([at[p[k]] for p in params]) for k in (1, 2))
+        self.entry_max = np.array([p[3] for p in params], float)
+        self.period, self.leave_at, self.commission = rsi_period, leave_at, commission
+        self.means, self.close, self.rows = None, np.empty(0), 0
+        n = len(params)
+        self.last, self.held, self.before = (np.zeros(n, np.int8) for _ in range(3))
+        self.mean, self.m2, self.low, self.high = np.zeros(n), np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf)
+        self.total, self.peak, self.drawdown = np.zeros(n), np.full(n, -np.inf), np.zeros(n)
+
+    def add(self, close: np.ndarray) -> None:
+        """The next bars in order."""
+        n, tail = len(close), self.close
+        seeds = self.means[-1] if self.means is not None else np.full(len(self.spans), close[0])
+        ema = np.column_stack([ind.smooth(close, ind.span(s), e) for s, e in zip(self.spans, seeds, strict=True)])
+        past = np.vstack([self.means[-1:] if self.means is not None else np.full((1, len(self.spans)), np.nan), ema[:-1]])
+        now, past = np.round(ema, 9), np.round(past, 9)
+        self.means = ema[-1:]
+        # the last ``period`` changes; a range's first bar has none
+        known = np.concatenate([tail, close])
+        change = np.diff(known, prepend=known[0])
+        seen = np.concatenate([np.full(self.period - 1, np.nan), change])
+        up, down = (np.lib.stride_tricks.sliding_window_view(np.maximum(d, 0), self.period).sum(axis=1)[len(tail) :] for d in (seen, -seen))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rsi = np.where(up + down > 0, 100 * up / (up + down), np.nan)
+            gain = np.nan_to_num(close / np.concatenate([tail[-1:] if len(tail) else [np.nan], close[:-1]]) - 1, nan=0.0, posinf=0.0, neginf=0.0)
+            a, b, a0, b0 = now[:, self.fast], now[:, self.slow], past[:, self.fast], past[:, self.slow]
+            leave = ((b > a) & (b0 <= a0)) | (np.round(rsi, 9) > self.leave_at)[:, None]
+            enter = (a > b) & (a0 <= b0) & (rsi[:, None] < self.entry_max)
+        signal = np.where(leave, np.int8(-1), enter.astype(np.int8))
+        at = np.where(signal != 0, np.arange(n)[:, None], -1)
+        at = np.maximum.accumulate(at, axis=0)
+        on = np.where(at >= 0, np.take_along_axis(signal, np.maximum(at, 0), axis=0), self.last)
+        position = (on == 1).astype(np.int8)
+        held = np.vstack([self.held[None], position[:-1]])
+        before = np.vstack([self.before[None], held[:-1]])
+        ret = held * gain[:, None] - np.where((held != 0) & (held != before), self.commission, 0.0)
+        self.last, self.held, self.before = on[-1], position[-1], held[-1]
+        # mean and squared deviations of two parts together
+        mean, m2 = ret.mean(axis=0), ((ret - ret.mean(axis=0)) ** 2).sum(axis=0)
+        d, rows = mean - self.mean, self.rows + n
+        self.m2 += m2 + d * d * self.rows * n / rows
+        self.mean += d * n / rows
+        self.low, self.high, self.rows = np.minimum(self.low, ret.min(axis=0)), np.maximum(self.high, ret.max(axis=0)), rows
+        grown = self.total + np.cumsum(np.log1p(np.maximum(ret, -0.999999)), axis=0)
+        top = np.maximum(np.maximum.accumulate(grown, axis=0), self.peak)
+        self.drawdown = np.minimum(self.drawdown, (np.exp(grown - top) - 1).min(axis=0))
+        self.total, self.peak = grown[-1], top[-1]
+        self.close = known[-self.period - 1 :] if self.rows > self.period else known
+
+    def figures(self, key: dict) -> pd.DataFrame:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sharpe = np.where(self.high > self.low, self.mean / np.sqrt(self.m2 / (self.rows - 1)) * 252**0.5, 0.0)
+        return pd.DataFrame({"params_id": self.ids, "symbol": key["symbol"], "fold": key["fold"], "role": key["role"], "bars": self.rows, "sharpe": sharpe, "total_return": np.expm1(self.total), "max_drawdown": self.drawdown})
+
+
+def evaluated(bars: DataFrame, folds: DataFrame, params: DataFrame, rsi_period: int = 14, leave_at: float = 75, commission: float = 0.0005) -> DataFrame:
+    """Back-test figures of the strategy of crossing exponential means and RSI: one row per ``params_id, symbol, fold, role``, for every combination (``params_id, fast,
+    slow, entry_max``) on every fold's two ranges, where means and RSI start anew.
+
+    Combinations are a table, dealt to chunks of ``TOGETHER``; a range's bars go to each chunk, and its first row brings the chunk's combinations. Spark sorts
+    each range, a task reads it batch by batch and keeps what a range needs to go on, so neither a range nor the combinations are held whole. A chunk's
+    combinations share each bar's means and are evaluated as columns."""
+    chunks = params.select("params_id", "fast", "slow", "entry_max").withColumn("chunk", F.floor(F.col("params_id") / TOGETHER))
+    chunks = settled(chunks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("params_id", "fast", "slow", F.col("entry_max").cast("double").alias("entry_max")))).alias("params")), "chunks")
+    x = in_folds(bars.select("symbol", "ts", "close"), folds)
+    ranges = x.select("symbol", "fold", "role").distinct()
+    every = F.explode(F.sequence(F.lit(0), F.lit((chunks.agg(F.max("chunk")).first()[0] or 0)))).alias("chunk")
+    head = ranges.select("*", every).join(chunks, "chunk").select(*_RANGE, F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("close"), "params")
+    rows = x.select("*", every).select(*_RANGE, F.col("ts").cast("timestamp_ntz").alias("ts"), "close", F.lit(None).cast(chunks.schema["params"].dataType).alias("params"))
+    order = [F.col(c) for c in _RANGE] + [F.col("params").isNull(), F.col("ts")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for f in batches:
+            if f.empty:
+                continue
+            key = list(zip(*(f[c].tolist() for c in _RANGE), strict=True))
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if key[i] != now:
+                    if state is not None and state.rows:
+                        yield state.figures(dict(zip(_RANGE, now, strict=True)))
+                    now, state = key[i], None
+                if f.params.iloc[i] is not None:
+                    state = _Range([tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in f.params.iloc[i]], rsi_period, leave_at, commission)
+                    i += 1
+                if state is not None and i < j:  # a chunk without combinations has no head
+                    state.add(f.close.to_numpy(float)[i:j])
+        if state is not None and state.rows:
+            yield state.figures(dict(zip(_RANGE, now, strict=True)))
+
+    out = "params_id int, symbol string, fold int, role string, bars long, sharpe double, total_return double, max_drawdown double"
+    return rows.unionByName(head).repartition(*_RANGE).sortWithinPartitions(*order).mapInPandas(run, out)
+
+
+def walk_forward_search(bars: DataFrame, folds: DataFrame, params: DataFrame, rsi_period: int = 14, leave_at: float = 75, commission: float = 0.0005) -> DataFrame:
+    """One row per ``params_id, fold, role``: the mean of the symbols' ``score``, and their number. Written once, for all reports that read it."""
+    m = evaluated(bars, folds, params, rsi_period, leave_at, commission)
+    per = m.withColumn("score", score(F.col("sharpe"), F.col("total_return"), F.col("max_drawdown")))
+    return settled(per.groupBy("params_id", "fold", "role").agg(F.round(F.avg("score"), 3).alias("score"), F.count("*").alias("symbols")), "search")
 
 
 def best_per_fold(results: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.intervals import join_ranges
 from ..functions.windows import in_blocks
 from ..operators import allocate as A
 from ..operators import combine as C
@@ -191,7 +192,7 @@ def overlapping_windows(spark, d):
 
 def _window_bars(spark, d, step):
     w, day = S.windows(spark, "1996-01-01", "1998-01-01", 180, 60, step), F.col("ts").cast("date")
-    x = daily(spark, d).join(F.broadcast(w), (day >= F.col("train_start")) & (day < F.col("test_end")))
+    x = join_ranges(daily(spark, d), w, day, "train_start", "test_end")
     return x.groupBy("symbol", "fold", "train_start", "test_end").agg(F.count_if(day < F.col("train_end")).alias("train_bars"), F.count_if(day >= F.col("train_end")).alias("test_bars"))
 
 

@@ -394,7 +394,7 @@ def rounded(df, keys=("symbol",), digits=6):
 
 @query("ema_cross_backtest", f"WITH RECURSIVE {BARS}, {EMA_X}, es AS ({EMA_SIGNAL.replace('symbol, ts, (', 'symbol, ts, close, (')}), {POS.format('es')}, {SRET.format('pos', 'position')} {BT}")
 def ema_cross_backtest(spark, d):
-    return rounded(M.backtest(S.STRATEGIES["ema_cross_rsi"](bars(spark, d))))
+    return rounded(M.comparison(bars(spark, d), {"ema_cross_rsi": S.STRATEGIES["ema_cross_rsi"]}).drop("strategy"))
 
 
 COMPARED = ("rsi2", "bollinger_reversion", "vwap_breakout")
@@ -402,12 +402,8 @@ COMPARED = ("rsi2", "bollinger_reversion", "vwap_breakout")
 
 @query("strategy_comparison", "WITH " + ", ".join([BARS] + [f"s_{n} AS ({STRATEGY_SQL[n].replace('SELECT symbol, ts, (', 'SELECT symbol, ts, close, (')}), b_{n} AS (WITH {POS.format(f's_{n}')}, {SRET.format('pos', 'position')} {BT})" for n in COMPARED]) + " " + " UNION ALL ".join(f"SELECT '{n}' || '::' || symbol AS key, * EXCLUDE (symbol) FROM b_{n}" for n in COMPARED))
 def strategy_comparison(spark, d):
-    b = bars(spark, d)
-    every = None
-    for n in COMPARED:
-        x = M.backtest(S.STRATEGIES[n](b)).withColumn("key", F.concat(F.lit(n + "::"), "symbol")).drop("symbol")
-        every = x if every is None else every.unionByName(x)
-    return rounded(every, ("key",))
+    x = M.comparison(bars(spark, d), {n: S.STRATEGIES[n] for n in COMPARED})
+    return rounded(x.withColumn("key", F.concat_ws("::", "strategy", "symbol")).drop("symbol", "strategy"), ("key",))
 
 
 @query("drawdown_and_growth", f"WITH {DAILY}, e AS (SELECT symbol, ts, close AS equity, close / max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM daily), g AS (SELECT symbol, min(dd) AS max_drawdown, pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0::DOUBLE / count(*)) - 1 AS cagr FROM e GROUP BY symbol) SELECT symbol, round(max_drawdown, 6) AS max_drawdown, round(cagr, 6) AS cagr, round(CASE WHEN abs(max_drawdown) < 0.01 THEN 0 ELSE cagr / abs(max_drawdown) END, 6) AS calmar FROM g")

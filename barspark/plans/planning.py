@@ -129,7 +129,19 @@ res AS (SELECT params_id, fold, role, round(avg(score), 3) AS score, count(*) AS
 BEST = "bst AS (SELECT fold, params_id, score AS train_score FROM res WHERE role = 'train' QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC, params_id) = 1)"
 
 
+_RESULTS: dict = {}
+
+
 def _search(spark, d):
+    """The search's written result, one for the three reports of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RESULTS:
+        _RESULTS.clear()
+        _RESULTS[key] = _searched(spark, d)
+    return _RESULTS[key]
+
+
+def _searched(spark, d):
     return S.walk_forward_search(daily(spark, d), S.windows(spark, "1996-01-01", "1998-01-01", 360, 120), S.grid(spark, PARAMS))
 
 
