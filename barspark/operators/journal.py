@@ -87,8 +87,10 @@ def sentiment(scored: DataFrame, as_of, hours: int = 24) -> DataFrame:
     s = F.col("score")
     g = x.groupBy("symbol").agg(F.count("*").alias("mentions"), F.count_if(s > 0.25).alias("bullish"), F.count_if(s < -0.25).alias("bearish"), F.round(F.avg(s), 4).alias("mean"))
     g = g.withColumns({"neutral": F.col("mentions") - F.col("bullish") - F.col("bearish"), "net": F.round((F.col("bullish") - F.col("bearish")) / F.greatest("mentions", F.lit(1)), 4)})
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(F.abs("score")), "post_id"))
-    top = x.withColumn("__n", n).where("__n <= 5").groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "post_id"))), lambda z: z["post_id"]).alias("top"))
+    # the five of each of many parts of a symbol's posts, then the five of those
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("score")), "post_id"))
+    few = x.select("symbol", "post_id", "score", F.pmod(F.xxhash64("post_id"), F.lit(256)).alias("__part")).withColumn("__n", rank("symbol", "__part")).where("__n <= 5")
+    top = few.withColumn("__n", rank("symbol")).where("__n <= 5").groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "post_id"))), lambda z: z["post_id"]).alias("top"))
     return g.join(top, "symbol")
 
 

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import prefix_totals
 from ..functions.windows import ROW, in_blocks, mean, numbered, ordered
 from . import indicators as ind
 
@@ -125,14 +126,16 @@ def classification(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return c.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def roc_auc(df: DataFrame) -> DataFrame:
-    """Area under the ROC curve, ties averaged, and average precision. Distinct scores are counted before anything is ordered."""
-    s = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    up = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumns({"below": F.coalesce(F.sum("neg").over(up), F.lit(0)), "tp": F.sum("pos").over(down), "all": F.sum(F.col("pos") + F.col("neg")).over(down)})
+def roc_auc(df: DataFrame, *keys: str) -> DataFrame:
+    """Area under the ROC curve, ties averaged, and average precision, of all rows or for each of ``keys`` (a model, a fold).
+
+    Distinct scores are counted first, then totalled by ranges of scores: no task orders all of them. Null scores are left out; without both classes there is no area."""
+    s = df.where("p is not null").groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    s = prefix_totals(s, ["p"], {"pos": F.col("pos"), "neg": F.col("neg")}, *keys)
+    tp, fp = F.col("pos_all") - F.col("pos_before"), F.col("neg_all") - F.col("neg_before")  # at this score or above
     P, N = F.sum("pos"), F.sum("neg")
-    return s.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), P * N).alias("auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), P).alias("average_precision"))
+    area = F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), P * N)
+    return s.groupBy(*keys).agg(area.alias("auc"), F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), P).alias("average_precision"))
 
 
 def importance(df: DataFrame, features: list[str]) -> DataFrame:

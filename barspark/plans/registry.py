@@ -16,4 +16,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import market, analysis, reports, decisions, planning, streams  # noqa: E402, F401
+from . import market, analysis, reports, decisions, planning, streams, learning  # noqa: E402, F401

@@ -58,6 +58,11 @@ def resolve_date(text: Column, as_of: Column) -> Column:
     return F.when(n != "", F.date_sub(as_of, F.when(n != "", n).cast("int"))).otherwise(F.try_to_date(text))
 
 
+def append_curves(curves: DataFrame, path: str) -> None:
+    """Adds rows (``strategy, ts, equity``) to the CSV files at ``path``: each call writes files of its own, so a repeated task leaves no part of a row."""
+    curves.select("ts", "equity", "strategy").write.mode("append").option("header", True).csv(path)
+
+
 def read_curves(spark: SparkSession, path: str) -> DataFrame:
     """Equity files by strategy; rows whose number can't be read are skipped."""
     x = spark.read.schema("ts string, equity string, strategy string").option("header", True).csv(path)
