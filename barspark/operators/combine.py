@@ -103,18 +103,19 @@ def regimes(bars: DataFrame, short: int = 20, mid: int = 60, long: int = 126, ca
 
 
 def assign_sectors(symbols: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The sector of the first prefix (by ``map_order``) that a symbol starts with; else ``other``. Only distinct symbols meet the small map."""
+    """The sector of the first prefix (by ``map_order``) that a symbol starts with; else ``other``. Each distinct symbol is looked up by all its beginnings."""
     d = symbols.select("symbol").distinct()
-    hit = d.join(F.broadcast(prefixes), F.col("symbol").startswith(F.col("prefix"))).groupBy("symbol").agg(F.min_by("sector", "map_order").alias("sector"))
+    begins = F.transform(F.sequence(F.lit(0), F.char_length("symbol")), lambda i: F.substring("symbol", F.lit(1), i))
+    hit = d.withColumn("prefix", F.explode(begins)).join(prefixes, "prefix").groupBy("symbol").agg(F.min_by("sector", "map_order").alias("sector"))
     return d.join(hit, "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit("other")))
 
 
 def target_weights(members: DataFrame, equity: float, tilts: DataFrame) -> DataFrame:
     """``equity`` dealt to sectors by tilt times the root of their members, and equally within a sector."""
-    x = members.join(F.broadcast(tilts), "sector", "left").withColumn("tilt", F.coalesce("tilt", F.lit(1.0)))
-    n = F.count("*").over(Window.partitionBy("sector"))
-    x = x.withColumn("n", n).withColumn("score", F.col("tilt") * F.sqrt("n"))
-    return x.withColumn("weight", F.round(F.lit(equity) * F.col("score") / F.col("n") / F.sum(F.col("score") / F.col("n")).over(Window.partitionBy()), 8)).select("symbol", "sector", "weight")
+    s = members.groupBy("sector").agg(F.count("*").alias("n")).join(tilts.select("sector", "tilt"), "sector", "left")
+    s = s.withColumn("score", F.coalesce("tilt", F.lit(1.0)) * F.sqrt("n"))
+    s = s.withColumn("weight", F.round(F.lit(equity) * F.col("score") / F.col("n") / F.sum("score").over(Window.partitionBy()), 8))  # one row a sector
+    return members.select("symbol", "sector").join(s.select("sector", "weight"), "sector").select("symbol", "sector", "weight")
 
 
 def rebalance(current: DataFrame, target: DataFrame, tolerance: float = 0.05) -> DataFrame:

@@ -70,7 +70,7 @@ def distinct_posts(posts: DataFrame) -> DataFrame:
 def polarity(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sum of the lexicon's values over a post's tokens, squashed by ``s / sqrt(s * s + 15)``. Only tokens of the lexicon are joined."""
     tokens = posts.select("post_id", F.explode(F.split(F.lower("text"), r"[ \n]+")).alias("token"))
-    s = tokens.join(F.broadcast(lexicon), "token").groupBy("post_id").agg(F.sum("value").alias("s"))
+    s = tokens.join(lexicon, "token").groupBy("post_id").agg(F.sum("value").alias("s"))
     return posts.join(s, "post_id", "left").withColumn("score", F.coalesce(F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), 6), F.lit(0.0))).drop("s")
 
 
@@ -97,7 +97,7 @@ def sentiment(scored: DataFrame, as_of, hours: int = 24) -> DataFrame:
 def mentions(posts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Posts by symbol that they name, as ``$SYM`` or a word: tokens are filtered to the symbols before anything is shuffled."""
     t = posts.select("post_id", F.explode(F.array_distinct(F.split(F.upper("text"), r"[^A-Z0-9]+"))).alias("token"))
-    return t.join(F.broadcast(symbols.select(F.upper("symbol").alias("token"), "symbol")), "token").select("post_id", "symbol")
+    return t.join(symbols.select(F.upper("symbol").alias("token"), "symbol"), "token").select("post_id", "symbol")
 
 
 def dashboard(equity: DataFrame, trades: DataFrame, order: str = "day") -> DataFrame:

@@ -211,9 +211,9 @@ def returns(spark, d):
     return out(x.withColumn("vol_year", F.col("vol") * F.sqrt(F.lit(252.0))), "roc", "vol", "vol_year")
 
 
-@query("volume_and_calendar", f"WITH {BARS} SELECT symbol, ts, round((volume - {full('avg(volume)', 'volume', 20)}) / nullif({full('stddev_samp(volume)', 'volume', 20)}, 0), 6) AS vol_z, (isodow(ts) - 1)::INTEGER AS weekday, month(ts)::INTEGER AS month FROM bars")
+@query("volume_and_calendar", f"WITH {BARS} SELECT symbol, ts, round((volume - {full('avg(volume)', 'volume', 20)}) / nullif({full('stddev_samp(volume)', 'volume', 20)}, 0), 6) AS vol_z, (isodow(ts) - 1)::INTEGER AS weekday, extract(day FROM ts)::INTEGER AS month_day, month(ts)::INTEGER AS month FROM bars")
 def volume_calendar(spark, d):
-    return out(in_blocks(bars(spark, d), lambda b: b.withColumn("vol_z", I.volume_zscore()), 19).withColumns({"weekday": F.weekday("ts"), "month": F.month("ts")}), "vol_z", "weekday", "month")
+    return out(in_blocks(bars(spark, d), lambda b: b.withColumn("vol_z", I.volume_zscore()), 19).withColumns({"weekday": F.weekday("ts"), "month_day": F.day("ts"), "month": F.month("ts")}), "vol_z", "weekday", "month_day", "month")
 
 
 def ewm_sql(src: str, specs: dict[str, tuple[str, float]], name: str = "e") -> str:

@@ -1,7 +1,7 @@
 """The library's operators on streams: watermarked windows, and state by key where an operator is recursive.
 
 Late rows are dropped once the watermark has passed them. Windows and sessions come out when the watermark passes their end, so what is still
-open at the end of the input stays in the state. State by key assumes rows in time order from one micro-batch to the next; within one they are sorted."""
+open at the end of the input stays in the state. State by key takes rows in time order from one micro-batch to the next, and is forgotten when a key falls idle."""
 
 from __future__ import annotations
 
@@ -11,14 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.bars import ohlcv
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of its files; the pattern lets it be one file or a folder."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    """A Parquet table as a stream of its files. A stream of a single file needs a pattern: this one fits nothing but the path."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run(stream: DataFrame, path: str) -> DataFrame:
@@ -72,18 +72,57 @@ def append_once(stream: DataFrame, path: str) -> None:
 
 
 Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
+#: Days without a row after which a key is forgotten.
+IDLE_DAYS = 30
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Carried(StatefulProcessor):
+    """A key's typed state, the time of its last row and a timer in event time that clears both."""
+
+    def __init__(self, state: str, step: Step, idle_ms: int):
+        self.schema, self.step, self.idle = f"{state}, last long", step, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("carried", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        old = tuple(self.state.get()) if self.state.exists() else None
+        last = old[-1] if old else None
+        # rows that aren't after the last one handled are late or repeated
+        new = [f if last is None else f[f["event_ms"] > last] for f in rows if len(f)]
+        if not new:
+            return
+        f = pd.concat(new).sort_values("event_ms", kind="stable").drop_duplicates("event_ms").reset_index(drop=True)
+        if f.empty:
+            return
+        made, carried = self.step(f, old[:-1] if old else None)
+        now = int(f["event_ms"].iloc[-1])
+        self.state.update((*carried, now))
+        if last is not None:
+            self.handle.deleteTimer(last + self.idle)
+        self.handle.registerTimer(now + self.idle)
+        yield made
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
 
-def by_key(rows: DataFrame, keys: list[str], state: str, out: str, step: Step) -> DataFrame:
-    """``step(rows in time order, state or None) -> (rows out, state)`` per key and micro-batch. The trigger's file limit bounds a batch's rows."""
+    def close(self) -> None:
+        pass
 
-    def one(_key: tuple, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames)).sort_values("ts", kind="stable").reset_index(drop=True)
-        made, new = step(f, store.get if store.exists else None)
-        store.update(new)
-        yield made
 
-    return rows.groupBy(*keys).applyInPandasWithState(one, out, state, "append", GroupStateTimeout.NoTimeout)
+def by_key(rows: DataFrame, keys: list[str], state: str, out: str, step: Step, late: str = "10 minutes", idle_days: int = IDLE_DAYS) -> DataFrame:
+    """``step(rows in time order, state or None) -> (rows out, state)`` per key and micro-batch; the trigger's file limit bounds a batch's rows.
+
+    A key's rows count once each time and in order: one that isn't after the last row handled is late or a repeat, and is dropped. A key without rows for
+    ``idle_days`` of event time is forgotten: a timer clears its state once the watermark, ``late`` behind the latest row, has passed."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    x = timed(rows, late)
+    x = x.withColumn("event_ms", F.unix_millis("ts"))
+    done = x.groupBy(*keys).transformWithStateInPandas(_Carried(state, step, idle_days * 86_400_000), out.replace("timestamp_ntz", "timestamp"), "append", "EventTime")
+    naive = [c.split()[0] for c in out.split(", ") if c.endswith("timestamp_ntz")]
+    return done.withColumns({c: _naive(c) for c in naive}) if naive else done
 
 
 def running_cross(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame:
@@ -119,7 +158,7 @@ def exits(prices: DataFrame, trades: DataFrame, max_days: int = 30, stop: float
         return first[["symbol", "trade_id", "exit_ts", "exit_price", "why"]], (float(high[-1]), bool(done or len(first)))
 
     ts = dict(prices.dtypes)["ts"]
-    return by_key(x, ["symbol", "trade_id"], "peak double, done boolean", f"symbol string, trade_id long, exit_ts {ts}, exit_price double, why string", step)
+    return by_key(x, ["symbol", "trade_id"], "peak double, done boolean", f"symbol string, trade_id long, exit_ts {ts}, exit_price double, why string", step, idle_days=max_days + 1)
 
 
 def daily_limits(equity: DataFrame, limit: float = 0.03, least: float = 0.02) -> DataFrame:
