@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -77,6 +78,37 @@ def test_url_index_finds_what_trying_every_rule_finds(spark):
             assert (r.rule, r.verdict) == ((best.text, best.action) if best else (None, "allow"))
 
 
+def test_url_index_is_looked_up_however_many_rules(spark, monkeypatch):
+    """4,000 rules against 40 on the same URLs: equal verdicts by index, by table and by salted table, and no growth with the rules."""
+    rng = random.Random(5)
+    rules = [url_filter.Rule(rng.choice(("allow", "block")), f"s{i}.x{i % 97}.org", rng.choice(("/", f"/d{i % 7}/"))) for i in range(4000)]
+    urls = [f"http://{rng.choice(('', 'a.'))}s{rng.randrange(8000)}.x{rng.randrange(97)}.org/d{rng.randrange(7)}/q" for _ in range(3000)]
+    urls += [f"http://s{i}.x{i % 97}.org/d{i % 7}/q" for i in range(0, 4000, 9)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    by_host = {}
+    for r in rules:
+        by_host.setdefault(r.host, []).append(r)
+    want = {}
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        labels = host.split(".")
+        fit = [r for k in range(len(labels)) for r in by_host.get(".".join(labels[k:]), ()) if ("/" + path).startswith(r.path)]
+        want[i] = max((r.text for r in fit), key=len, default=None)
+    assert sum(v is not None for v in want.values()) > 400
+    for inline, sent in ((20_000, 1), (0, 100_000), (0, 1)):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", sent)
+        assert {r.page_id: r.rule for r in url_filter.filter_urls(pages, rules, inline_rules=inline).collect()} == want
+    many = spark.range(200_000).select(F.concat(F.lit("http://a"), F.col("id") % 5000, F.lit(".y.net/q/"), F.col("id")).alias("url")).cache()
+    many.count()
+    took = {}
+    for n in (40, 40, 4000):
+        t = time.monotonic()
+        url_filter.filter_urls(many, rules[:n]).write.format("noop").mode("overwrite").save()
+        took[n] = time.monotonic() - t
+    many.unpersist()
+    assert took[4000] < 2 * took[40] + 2, took
+
+
 # --- near duplicates
 
 
