@@ -36,6 +36,18 @@ def apportion(rows: DataFrame, weight: str, seats: str, order: list[str], by: li
     return c.groupBy(*keys, "__base").agg((F.col("__base") + F.sum("__won")).alias("quota")).select(*keys, "quota")
 
 
+def deal_words(rows: DataFrame, most: int, block_words: int, order: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with ``words``: their group's ``want`` words, dealt in blocks by highest quotients on the words ``held``, no more than ``most``
+    times those. What is left of ``want``, a part of a block and what full rows couldn't take, goes to the first ones that have room."""
+    x = apportion(rows.withColumn("__seats", F.expr(f"want div {block_words}L")), "held", "__seats", order, by)
+    x = x.withColumn("words", F.least(F.col("quota") * F.lit(block_words), (F.col("held") * most).cast("long")))
+    x = x.withColumn("__room", (F.col("held") * most).cast("long") - F.col("words"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__room").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least("__room", F.col("want") - F.sum("words").over(w) - before))
+    return x.withColumn("__more", more).select(*rows.columns, (F.col("words") + F.col("__more")).alias("words"))
+
+
 def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float, share: float) -> DataFrame:
     """``sources(source, source_size)`` with ``sid``, ``weight`` and ``target``: ``share`` of all words by weight, no more than
     ``most`` times a source's size; the excess goes to the others by weight (the level at which the caps stop)."""
@@ -59,9 +71,10 @@ def word_count(text: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, share: float = 1.0, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, ``size`` (words), ``source``, ``source_size``, ``target`` (the source's) and ``taken`` (words).
 
-    Sources get the corpus's blocks of ``block_words`` words by Sainte-Lague on their targets, groups of shards those by Sainte-Lague on the
-    words they hold, and shards their group's. In each shard, documents stand in a seeded order; a quota of q out of n blocks takes all of them
-    q // n times and a seeded choice of q % n blocks once more. So a document is taken at most ``most`` times and a long one
+    Sources get the corpus's words by Sainte-Lague on their targets, so each meets its own to the word; groups of shards get blocks of
+    ``block_words`` words by Sainte-Lague on the words they hold, shards their group's, and what is left of a block is dealt in words. In each
+    shard, documents stand in a seeded order; a quota of w out of t words takes all of them w // t times and then blocks in a seeded
+    order until w % t words are reached, the last one in part. So a document is taken at most ``most`` times and a long one
     may be taken in part. A source has as many shards as its words fill, so a large one is many tasks. Weights go to the sources by
     code point, null last, repeating. A null or empty text has size 0 and is never taken. Repeated rows are documents of their own: those of equal
     id, source and size are counted before they are shuffled, and dealt to shards as numbered copies, so reruns agree.
@@ -81,28 +94,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int
     sizes = materialize(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
     total, n_sources = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     sources = source_targets(sizes, weights, most, share)
-    sources = sources.withColumn("seats", F.lit(round(total * share / block_words)).cast("long"))
-    sources = materialize(apportion(sources.withColumn("all", F.lit(0)), "target", "seats", ["sid"], ["all"]).select("source", "sid", "source_size", "target", "quota"), "quotas")
+    sources = apportion(sources.withColumn("seats", F.lit(round(total * share)).cast("long")).withColumn("all", F.lit(0)), "target", "seats", ["sid"], ["all"])
+    sources = materialize(sources.select("source", "sid", "source_size", "target", F.least("quota", F.col("source_size") * F.lit(most)).alias("want")), "quotas")
     few = F.broadcast(sources) if n_sources <= SMALL else sources
     d = d.join(few.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     shards = F.expr(f"greatest(1L, (source_size + {shard_words - 1}L) div {shard_words}L)")
     x = d.where("size > 0").withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), shards))
     # Partial sums by source and shard first, so that no source is one group.
-    held = x.groupBy("sid", "shard").agg(F.sum("size").cast("double").alias("held"), F.first("quota").alias("seats"))
+    held = x.groupBy("sid", "shard").agg(F.sum("size").cast("double").alias("held"), F.first("want").alias("want"))
     held = materialize(held.withColumn("group", F.expr(f"shard div {GROUP}")), "held")
-    groups = apportion(held.groupBy("sid", "group").agg(F.sum("held").alias("held"), F.first("seats").alias("seats")), "held", "seats", ["group"], ["sid"])
-    part = held.drop("seats").join(groups.select("sid", "group", F.col("quota").alias("seats")), ["sid", "group"])
-    part = apportion(part.select("sid", "group", "shard", "held", "seats"), "held", "seats", ["shard"], ["sid", "group"])
-    # A shard's words are cut into equal blocks, so their size differs from ``block_words`` by a share of one block: block i ends before word (i + 1) * t div n.
-    n = F.greatest(F.lit(1), F.round(F.col("held") / block_words)).cast("long")
-    part = part.select(F.col("sid").alias("__i"), F.col("shard").alias("__j"), F.col("held").cast("long").alias("t"), n.alias("n"), F.least(F.col("quota"), n * most).alias("q"))
+    groups = deal_words(held.groupBy("sid", "group").agg(F.sum("held").alias("held"), F.first("want").alias("want")), most, block_words, ["group"], ["sid"])
+    part = held.drop("want").join(groups.select("sid", "group", F.col("words").alias("want")), ["sid", "group"])
+    part = deal_words(part, most, block_words, ["shard"], ["sid", "group"])
+    # Block i of a shard's t words begins at i * block_words; the last of its n may be short, so blocks that come after it in the seeded order begin earlier.
+    n = F.expr(f"(cast(held as long) + {block_words - 1}L) div {block_words}L")
+    part = part.select(F.col("sid").alias("__i"), F.col("shard").alias("__j"), F.col("held").cast("long").alias("t"), n.alias("n"), "words")
+    place = lambda b: f"pmod({b} * {STRIDE}L + sid * 7919L + shard + {seed}L, n)"
+    part = part.withColumn("last", F.expr(place("(n - 1)").replace("sid", "__i").replace("shard", "__j")))
     at = Window.partitionBy("sid", "shard").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("end", F.sum("size").over(at)).withColumn("begin", F.col("end") - F.col("size"))
     x = x.join(F.broadcast(part) if total // shard_words + n_sources <= SMALL else part, (F.col("sid") == F.col("__i")) & (F.col("shard") == F.col("__j")))
+    first = f"words % t - {place('b')} * {block_words}L + CASE WHEN {place('b')} > last THEN n * {block_words}L - t ELSE 0L END"
     again = F.expr(f"""
-        CASE WHEN q % n > 0 THEN aggregate(sequence(((begin + 1) * n - 1) div t, (end * n - 1) div t), 0L, (a, b) -> a +
-            CASE WHEN pmod(b * {STRIDE}L + sid * 7919L + shard + {seed}L, n) < q % n
-            THEN least(end, (b + 1) * t div n) - greatest(begin, b * t div n) ELSE 0L END) ELSE 0L END""")
-    taken = (F.col("size") * F.expr("q div n") + again).cast("long")
+        CASE WHEN words % t > 0 THEN aggregate(sequence(begin div {block_words}L, (end - 1) div {block_words}L), 0L, (a, b) ->
+            a + greatest(0L, least(end, b * {block_words}L + least({block_words}L, {first})) - greatest(begin, b * {block_words}L))) ELSE 0L END""")
+    taken = (F.col("size") * F.expr("words div t") + again).cast("long")
     out = lambda x, taken: x.select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *[F.col(r).alias(row_col) for r in row])
     return out(x, taken).unionByName(out(d.where("size = 0"), F.lit(0).cast("long")))

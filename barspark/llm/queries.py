@@ -164,6 +164,18 @@ def _apportion(rows: str, weight: str, seats: str, order: str, by: str, keys: st
 
 
 _B, _S = mix_sources.BLOCK_WORDS, mix_sources.SHARD_WORDS
+
+
+def _deal(rows: str, order: str, by: str) -> str:
+    """SQL of ``mix_sources.deal_words``: a table ``<rows>_d`` with ``words``."""
+    return f"""
+{rows}_s AS (SELECT *, want // {_B} AS seats FROM {rows}),
+{_apportion(rows + '_s', 'held', 'seats', order, by, f'{by}, {order}, held, want')},
+{rows}_f AS (SELECT *, least(quota * {_B}, (3 * held)::BIGINT) AS base FROM {rows}_s_q),
+{rows}_o AS (SELECT *, (3 * held)::BIGINT - base AS room, want - sum(base) OVER (PARTITION BY {by}) AS rest FROM {rows}_f),
+{rows}_d AS (SELECT * EXCLUDE (want), (base + greatest(0, least(room, rest - coalesce(sum(room) OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS words FROM {rows}_o)"""
+
+
 OP5 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce('v' || source, 'n') AS s, coalesce(len({_WORDS}), 0)::BIGINT AS size FROM documents),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM d),
@@ -174,21 +186,23 @@ o2 AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(sid - 1) % 3 + 1] AS weight, sourc
 o3 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM o2),
 o4 AS (SELECT *, first(CASE WHEN cap > weight * lv THEN lv END) OVER (ORDER BY (cap > weight * lv) DESC, cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM o3),
-src AS (SELECT s, sid, source_size, CASE WHEN cap > weight * lv THEN weight * level ELSE cap END AS target, round((SELECT coalesce(sum(size), 0) FROM d) / {_B}.0::DOUBLE)::BIGINT AS seats, 0 AS al FROM o4),
+src AS (SELECT s, sid, source_size, CASE WHEN cap > weight * lv THEN weight * level ELSE cap END AS target, (SELECT coalesce(sum(size), 0) FROM d)::BIGINT AS seats, 0 AS al FROM o4),
 {_apportion('src', 'target', 'seats', 'sid', 'al', 's, sid, source_size, target')},
-x AS (SELECT doc_id, size, h, sid, source_size, target, quota, ('0x' || substr(h, 1, 8))::BIGINT % greatest(1, (source_size + {_S - 1}) // {_S}) AS shard FROM h JOIN src_q USING (s)),
-held AS (SELECT sid, shard, shard // {mix_sources.GROUP} AS grp, sum(size)::DOUBLE AS held, any_value(quota) AS seats FROM x WHERE size > 0 GROUP BY sid, shard),
-g AS (SELECT sid, grp, sum(held) AS held, any_value(seats) AS seats FROM held GROUP BY sid, grp),
-{_apportion('g', 'held', 'seats', 'grp', 'sid', 'sid, grp')},
-gh AS (SELECT held.sid, held.shard, held.grp, held.held, g_q.quota AS seats FROM held JOIN g_q ON held.sid = g_q.sid AND held.grp = g_q.grp),
-{_apportion('gh', 'held', 'seats', 'shard', 'sid, grp', 'sid, shard, held')},
-p0 AS (SELECT *, greatest(1, round(held / {_B}))::BIGINT AS n FROM gh_q),
-p AS (SELECT sid, shard, held::BIGINT AS t, n, least(quota, 3 * n) AS q FROM p0),
+x AS (SELECT doc_id, size, h, sid, source_size, target, least(quota, 3 * source_size) AS want, ('0x' || substr(h, 1, 8))::BIGINT % greatest(1, (source_size + {_S - 1}) // {_S}) AS shard FROM h JOIN src_q USING (s)),
+held AS (SELECT sid, shard, shard // {mix_sources.GROUP} AS grp, sum(size)::DOUBLE AS held, any_value(want) AS want FROM x WHERE size > 0 GROUP BY sid, shard),
+g AS (SELECT sid, grp, sum(held) AS held, any_value(want) AS want FROM held GROUP BY sid, grp),
+{_deal('g', 'grp', 'sid')},
+gh AS (SELECT held.sid, held.shard, held.grp, held.held, g_d.words AS want FROM held JOIN g_d ON held.sid = g_d.sid AND held.grp = g_d.grp),
+{_deal('gh', 'shard', 'sid, grp')},
+p AS (SELECT sid, shard, held::BIGINT AS t, (held::BIGINT + {_B - 1}) // {_B} AS n, words FROM gh_d),
 e AS (SELECT *, sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS fin FROM x WHERE size > 0),
-b AS (SELECT *, fin - size AS beg FROM e JOIN p USING (sid, shard))
-SELECT doc_id, size, source_size, target, (size * (q // n) + CASE WHEN q % n > 0 THEN
-    list_sum(list_transform(range(((beg + 1) * n - 1) // t, (fin * n - 1) // t + 1), lambda i: CASE WHEN (i * {mix_sources.STRIDE} + sid * 7919 + shard + 7) % n < q % n
-      THEN least(fin, (i + 1) * t // n) - greatest(beg, i * t // n) ELSE 0 END)) ELSE 0 END)::BIGINT AS taken FROM b
+b AS (SELECT *, fin - size AS beg, ((n - 1) * {mix_sources.STRIDE} + sid * 7919 + shard + 7) % n AS last FROM e JOIN p USING (sid, shard)),
+i AS (SELECT *, unnest(range(beg // {_B}, (fin - 1) // {_B} + 1)) AS i FROM b WHERE words % t > 0),
+j AS (SELECT *, (i * {mix_sources.STRIDE} + sid * 7919 + shard + 7) % n AS place FROM i),
+k AS (SELECT *, least({_B}, words % t - place * {_B} + CASE WHEN place > last THEN n * {_B} - t ELSE 0 END) AS cut FROM j),
+l AS (SELECT doc_id, sid, shard, h, fin, sum(greatest(0, least(fin, i * {_B} + cut) - greatest(beg, i * {_B}))) AS part FROM k GROUP BY ALL)
+SELECT b.doc_id, b.size, b.source_size, b.target, (b.size * (b.words // b.t) + coalesce(l.part, 0))::BIGINT AS taken
+FROM b LEFT JOIN l ON b.sid = l.sid AND b.shard = l.shard AND b.fin = l.fin
 UNION ALL SELECT doc_id, size, source_size, target, 0::BIGINT FROM x WHERE size = 0"""
 
 OP9 = """
