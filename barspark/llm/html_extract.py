@@ -43,6 +43,10 @@ def attributes(tag: str) -> dict[str, str]:
     return out
 
 
+def is_hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
+
+
 def is_chrome(name: str) -> bool:
     """Whether one class, id or role names what is not the article: 'site-footer' does, 'has-sidebar' or 'social-policy' doesn't."""
     words = {w.lower() for w in _WORDS.findall(name)}
@@ -159,13 +163,24 @@ class Page:
                 links = 0 if closing else 1
                 continue
             known = tag in BLOCKS or tag in CHROME
-            if not known:
+            if not known:  # of the others only hidden ones count, and what stands in them
+                if closing:
+                    if open_.get(tag):
+                        if stack[-1][0] != tag:
+                            flush()
+                        while close() != tag:
+                            pass
+                elif not rest.endswith("/") and (open_.get(tag) or ("hidden" in rest or "display" in rest) and is_hidden(attributes(rest))):
+                    off = is_hidden(attributes(rest))
+                    stack.append((tag, -1, off, -1))
+                    open_[tag] = open_.get(tag, 0) + 1
+                    hidden += off
                 continue
             flush()
             if not closing:
                 a = attributes(rest) if rest else {}
                 words = {w.lower() for k in ("class", "id", "role") if k in a for w in _WORDS.findall(a[k])}
-                off = tag in CHROME and tag != "form" or tag == "header" and not semantic or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
+                off = tag in CHROME and tag != "form" or tag == "header" and not semantic or is_hidden(a)
                 number = doubt = -1
                 if tag == "p" and stack and stack[-1][0] == "p":
                     close()
