@@ -15,8 +15,11 @@ from .text_bytes import LOWER_WORDS, column_bytes, frees, mixed, parts, word_has
 
 #: 32 bands of 4 minima: a pair at similarity 0.75 shares no band with a chance of (1 - 0.75**4)**32, or 5e-6.
 BANDS, ROWS = 32, 4
-#: Groups of documents are compared in square blocks of so many documents a side, fewer if their sets are long.
+#: Groups of documents are compared in square tiles of so many documents a side, fewer if their sets are long.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: A group is dealt into so many blocks at most, and a row is sent once to each, until a block holds so many documents (signatures: 16 MB) or full tiles
+#: of sets (32 MB). So rows are copied 16 times in groups of up to 524,288 documents and ``size / 32,768`` times beyond, not ``size / 256``.
+COPIES, BLOCK_ROWS, BLOCK_TILES = 16, 1 << 15, 4
 #: A table of so many ids at most (some 40 bytes each in memory) is broadcast; a larger one is joined by a shuffle.
 SMALL = 400_000
 #: Keys with more than a 1/1000 of the rows are joined by a broadcast, which then has at most 1000 of them for each row's keys.
@@ -149,9 +152,11 @@ def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def intersections(sets: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
-    """The exact sizes of the intersections of all pairs: products of the membership matrix, some columns at a time."""
-    n = len(sets)
+def intersections(sets: list[np.ndarray], first: int, cells: int = 1 << 21) -> np.ndarray:
+    """The exact sizes of the intersections of the ``first`` sets with the others, or of all with all if there are no others.
+
+    Products of membership matrices, some columns at a time."""
+    n, rest = len(sets), first if first < len(sets) else 0
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
@@ -162,12 +167,12 @@ def intersections(sets: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
     times = np.diff(begin, append=len(flat))
     shared = np.repeat(times > 1, times)
     col = np.repeat(np.cumsum(times > 1) - 1, times)[shared]
-    row, out, k = row[shared], np.zeros((n, n), np.int64), max(1, cells // n)
+    row, out, k = row[shared], np.zeros((first, n - rest), np.int64), max(1, cells // n)
     for at in range(0, int(col[-1]) + 1 if len(col) else 0, k):
         i, j = np.searchsorted(col, [at, at + k])
         m = np.zeros((n, int(col[j - 1]) - at + 1), np.float32)
         m[row[i:j], col[i:j] - at] = 1
-        out += np.rint(m @ m.T).astype(np.int64)
+        out += np.rint(m[:first] @ m[rest:].T).astype(np.int64)
     return out
 
 
@@ -217,23 +222,69 @@ def _by_block(link: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarr
     return run
 
 
-def _met(f: dict[str, np.ndarray]) -> np.ndarray:
-    """Which pairs of rows meet in this block pair: those of its two blocks, once each."""
+def _tiled(cost: np.ndarray) -> list[np.ndarray]:
+    """Rows in runs of no more than a tile each; one row may be more than that by itself."""
+    return np.split(np.arange(len(cost)), np.flatnonzero(np.diff((np.cumsum(cost) - cost) // 1)) + 1)
+
+
+def _tiles(f: dict[str, np.ndarray], cost: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tile pairs of a block pair ``(i, j)``: rows of one against rows of the other, a block with itself by its tiles and their pairs."""
     i, j = f["i"][0], f["j"][0]
-    if i == j:
-        return np.ones((len(f["at"]), len(f["at"])), bool)
-    return f["at"][:, None] != f["at"][None, :]
+    side = [np.flatnonzero(f["at"] == k) for k in (i, j)]
+    x, y = [[s[t] for t in _tiled(cost[s])] if len(s) else [] for s in side]
+    for k, p in enumerate(x):
+        for q in x[k:] if i == j else y:
+            yield p, q
+
+
+def _merged(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``tree`` with the names ``a`` and ``b`` made one, pair by pair."""
+    over: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while k in over:
+            k = over[k]
+        return k
+
+    for k, m in zip(map(top, a.tolist()), map(top, b.tolist()), strict=True):
+        if (k := top(k)) != (m := top(m)):
+            over[m] = k
+    name = np.arange(tree.max() + 1)
+    name[list(over)] = [top(k) for k in over]
+    return name[tree]
+
+
+def _spanned(f: dict[str, np.ndarray], cost: np.ndarray, node: str, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the values of ``node`` that span what is ``alike`` across labels in a block pair, fewer than its rows.
+
+    What a tile has linked is one tree in the tiles after it; pairs of one tree aren't linked again, and tiles of one tree aren't compared."""
+    tree, a, b = np.unique(f[node], return_inverse=True)[1], [], []
+    for p, q in _tiles(f, cost):
+        across = (f["label"][p][:, None] != f["label"][q][None, :]) & (tree[p][:, None] != tree[q][None, :])
+        if not across.any() or not (ok := alike(p, q) & across).any():
+            continue
+        both = p
+        if p is not q:
+            both, n, part = np.concatenate([p, q]), len(p), ok
+            ok = np.zeros((len(both), len(both)), bool)
+            ok[:n, n:], ok[n:, :n] = part, part.T
+        u, v = (both[k] for k in forest(ok, np.arange(len(both))))
+        a.append(f[node][u]), b.append(f[node][v])
+        tree = _merged(tree, tree[u], tree[v])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _candidates(least: int, share: tuple[int, int]):
     """Spans what may be alike across components, by signatures and set sizes."""
 
     def link(f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(f["held"]), np.uint32).reshape(len(f["id"]), -1)
-        n, label = f["n"], f["label"]
-        ok = (agreements(sig, sig) >= least) & (label[:, None] != label[None, :]) & _met(f)
-        ok &= share[1] * np.minimum(n[:, None], n[None, :]) >= share[0] * np.maximum(n[:, None], n[None, :])
-        return forest(ok, f["id"])
+        sig, n = np.frombuffer(b"".join(f["held"]), np.uint32).reshape(len(f["id"]), -1), f["n"]
+
+        def alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            x, y = n[p][:, None], n[q][None, :]
+            return (agreements(sig[p], sig[q]) >= least) & (share[1] * np.minimum(x, y) >= share[0] * np.maximum(x, y))
+
+        return _spanned(f, np.full(len(n), 1 / BLOCK), "id", alike)
 
     return link
 
@@ -243,14 +294,22 @@ def _links(share: tuple[int, int]):
 
     def link(f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sets = [np.frombuffer(s, np.uint64) for s in f["held"]]
-        n, label = np.array([len(s) for s in sets]), f["label"]
-        both = intersections(sets)
-        ok = (share[1] * both >= share[0] * (n[:, None] + n[None, :] - both)) & (label[:, None] != label[None, :]) & _met(f)
-        return forest(ok, label)
+        n = np.array([len(s) for s in sets])
+
+        def alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            both = intersections([sets[k] for k in (p if p is q else np.concatenate([p, q]))], len(p))
+            return share[1] * both >= share[0] * (n[p][:, None] + n[q][None, :] - both)
+
+        return _spanned(f, np.maximum(1 / BLOCK, n / BLOCK_SHINGLES), "label", alike)
 
     return link
 
 
+def _blocks(load: Column, least: int, most: int) -> Column:
+    """How many blocks a group of this load is dealt into: of ``least`` each, larger ones from ``COPIES`` blocks on, up to ``most``."""
+    return F.ceil(load / F.least(F.greatest(load / COPIES, F.lit(float(least))), F.lit(float(max(least, most))))).cast("int")
+
+
 def _paired(blocks: str = "blocks", at: str = "at") -> Column:
     """The block pairs ``(i, j)``, i at most j, that a row of block ``at`` takes part in."""
     return F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda o: F.struct(F.least(o, F.col(at)).alias("i"), F.greatest(o, F.col(at)).alias("j")))
@@ -302,7 +361,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     head; members stream past their head, whose signature screens them and whose full set confirms the link. Buckets that then still hold several
     components are compared block against block by signatures; what may be alike across components is spanned by a forest, whose
     trees are groups that no true link leaves. Each group's full sets meet block against block, exactly, and again only a forest comes out.
-    So no bucket has a cap, none is expanded into its pairs, and links never outnumber documents by more than the number of blocks they meet.
+    So no bucket has a cap, none is expanded into its pairs, a row is copied once for each of a few large blocks (``COPIES``), which a task compares
+    tile by tile, and links never outnumber documents by more than the number of blocks they meet.
 
     Null or word-less texts have 0 shingles and are linked with nothing. Rows that repeat an id count as one
     node; each gets its row. A null id gets a null component and is kept. Other columns are ignored.
@@ -360,7 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = kept(components(links), "labels")
     few = _few(labels, labels.count())
     placed = shared.select("key", "id").join(few, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed_ = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("times")).where("hi > lo").select("key", "times", F.ceil(F.col("times") / block).cast("int").alias("blocks"))
+    mixed_ = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("times")).where("hi > lo").select("key", "times", _blocks(F.col("times"), block, BLOCK_ROWS).alias("blocks"))
     dealt = kept(join_hot(placed, mixed_, "key", "times", in_buckets).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "mixed")
     seen = kept(dealt.select("id").distinct(), "ids")
     sig = reps.join(_few(seen, seen.count()), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.col("sig").alias("held"))
@@ -371,7 +431,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(spans).select("id", F.col("label").alias("g"))
     known = reps.select("id", F.col("n_shingles").alias("n")).join(few, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"))
     held = kept(groups.join(known, "id"), "groups")
-    size = held.groupBy("g").agg(F.ceil(F.sum(F.greatest(F.lit(1 / block), F.col("n") / BLOCK_SHINGLES))).cast("int").alias("blocks"), F.count("*").alias("times"))
+    size = held.groupBy("g").agg(_blocks(F.sum(F.greatest(F.lit(1 / block), F.col("n") / BLOCK_SHINGLES)), 1, BLOCK_TILES).alias("blocks"), F.count("*").alias("times"))
     # Blocks by the ids' hash; a group's documents are told by their place, so none is left out.
     held = join_hot(held, size, "g", "times", total).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     held = kept(held.select("id", "g", "label", "n", "at", "blocks"), "blocks")

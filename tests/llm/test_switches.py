@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,9 +29,9 @@ def alike(rng, n, changes):
     return out
 
 
-def components(texts):
-    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
-    label = list(range(len(texts)))
+def grouped(n, pairs):
+    """Each of ``n`` nodes' smallest reachable one."""
+    label = list(range(n))
 
     def root(i):
         while label[i] != i:
@@ -38,12 +39,15 @@ def components(texts):
             i = label[i]
         return i
 
-    for i in range(len(texts)):
-        for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                a, b = sorted((root(i), root(j)))
-                label[b] = a
-    return [root(i) for i in range(len(texts))]
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        label[b] = a
+    return [root(i) for i in range(n)]
+
+
+def components(texts):
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    return grouped(len(texts), ((i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])))
 
 
 def test_near_duplicates_with_hot_keys(spark, monkeypatch):
@@ -59,6 +63,41 @@ def test_near_duplicates_with_hot_keys(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("copies, tile", [(1, 256), (2, 7), (16, 3)])
+def test_near_duplicates_in_large_blocks_of_small_tiles(spark, monkeypatch, copies, tile):
+    """Few blocks of many tiles give what many blocks of one tile give: texts around the threshold, of which some are alike and most are not."""
+    rng = random.Random(8)
+    texts = alike(rng, 1, 0) + alike(rng, 60, 1) + [t.replace("w", "x") for t in alike(rng, 90, 2) + alike(rng, 60, 3)]
+    monkeypatch.setattr(near_dup, "COPIES", copies)
+    sets = [np.unique(np.array([hash(g) & (2**63 - 1) for g in zip(*[t.split()[k:] for k in range(5)])], np.uint64)) for t in texts]
+    for same in (True, False):
+        f = {"at": np.arange(len(texts)) % 2, "i": np.zeros(1), "j": np.array([0 if same else 1]), "id": np.arange(len(texts)), "label": np.arange(len(texts)), "held": [s.tobytes() for s in sets]}
+        if same:
+            f["at"] = f["at"] * 0
+        monkeypatch.setattr(near_dup, "BLOCK", tile)
+        a, b = near_dup._links((75, 100))(f)
+        assert len(a) < len(texts)
+        want = [[i for i in range(len(texts)) if i == j or ((same or i % 2 != j % 2) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])))] for j in range(len(texts))]
+        assert grouped(len(texts), zip(a.tolist(), b.tolist(), strict=True)) == grouped(len(texts), ((j, i) for j, w in enumerate(want) for i in w))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts), block=tile).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts)
+
+
+def test_candidates_span_ids_and_not_labels():
+    """Of labels 1 and 2 one pair may be alike and prove false, so that another pair of the same labels must be spanned too."""
+    sig = np.array([[1] * 128, [1] * 128, [2] * 128, [2] * 128], np.uint32)
+    f = {"at": np.zeros(4, int), "i": np.zeros(1), "j": np.zeros(1), "id": np.array([5, 6, 7, 8]), "label": np.array([1, 2, 1, 2]), "n": np.full(4, 9), "held": [s.tobytes() for s in sig]}
+    a, b = near_dup._candidates(69, (75, 100))(f)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 6), (7, 8)]
+
+
+def test_copies_of_a_row_stay_few(spark):
+    """Blocks of a group: 256 documents each up to 16 blocks, then 16 larger ones, then blocks of 32,768."""
+    sizes = [1, 256, 4096, 4097, 500_000, 1_000_000, 100_000_000]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", near_dup._blocks(F.col("n"), near_dup.BLOCK, near_dup.BLOCK_ROWS).alias("b")).collect()
+    assert [r.b for r in sorted(got)] == [1, 1, 16, 16, 16, 31, 3052]
+
+
 def test_join_hot_joins_hot_and_cold_keys(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "FEW", 0)
     monkeypatch.setattr(near_dup, "HOT", 4)
