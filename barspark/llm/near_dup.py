@@ -42,7 +42,7 @@ def shingle_sets(x: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray
         if k - i >= width:
             out.append(np.unique(h[i : k - width + 1]))
         elif k > i:
-            out.append(mixed((words[i:k] * _STEPS[: k - i]).sum(keepdims=True) + np.uint64(k - i) * _MIX))
+            out.append(mixed((words[i:k] * _STEPS[: k - i]).sum(keepdims=True) + np.array([k - i], np.uint64) * _MIX))
         else:
             out.append(np.empty(0, np.uint64))
     return out
