@@ -4,6 +4,7 @@ import random
 from datetime import date, datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,42 @@ def test_a_user_source_in_batch_and_stream(spark, tmp_path):
     assert again.count() == len(rows)
 
 
+def test_event_bars_hold_a_batch_and_not_the_file(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from barspark.plans import event_source
+
+    n = 200_000
+    rng = np.random.default_rng(3)
+    ts = np.datetime64("2024-01-01", "us") + rng.integers(0, 4 * 86_400_000_000, n).astype("timedelta64[us]")
+    events = pd.DataFrame({"event_id": np.arange(n), "event_type": rng.choice(["a", "b"], n), "ts": np.sort(ts), "value": rng.normal(size=n).round(2), "props": [f'{{"k": {k}}}' + " " * 400 for k in rng.integers(-5, 50, n)]})
+    events.loc[rng.random(n) < 0.01, "value"] = None
+    events.loc[rng.random(n) < 0.01, "props"] = None
+    shuffled = events.sample(frac=1, random_state=1)
+    (tmp_path / "events.parquet").mkdir()
+    for i, half in enumerate((shuffled[: n // 2], shuffled[n // 2 :])):
+        pq.write_table(pa.Table.from_pandas(half, preserve_index=False), tmp_path / "events.parquet" / f"{i}.parquet", row_group_size=30_000)
+    monkeypatch.setattr(event_source, "BATCH", 1000, raising=False)
+    source = EventBars({"path": str(tmp_path)})
+    assert source.symbols() == ["a", "b"] and source.days() == (date(2024, 1, 1), date(2024, 1, 5))
+    f = events[(events.event_type == "a") & (events.ts >= "2024-01-02") & (events.ts < "2024-01-04")].copy()
+    f["qty"] = f.props.str.extract(r'"k": (-?\d+)')[0].astype(float)
+    want = []
+    for day, g in f.groupby(f.ts.dt.normalize()):
+        v = g.value.dropna()
+        want.append(("a", day.to_pydatetime(), v.iloc[0], v.max(), v.min(), v.iloc[-1], int(g.qty.sum())))
+    list(source.bars("a", date(2024, 1, 2), date(2024, 1, 3)))
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    before, old = pool.max_memory(), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        assert list(source.bars("a", date(2024, 1, 2), date(2024, 1, 4))) == want
+    finally:
+        pa.set_memory_pool(old)
+    assert (pool.max_memory() or 0) - (before or 0) < 30 << 20  # the texts alone are 80 MB
+
+
 def test_pushed_filters_leave_partitions_out():
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 
