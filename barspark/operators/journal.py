@@ -115,15 +115,21 @@ def recent(rows: DataFrame, n: int = 50, order: tuple[str, ...] = ("ts",)) -> Da
     return rows.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
-def day_summary(equity: DataFrame, trades: DataFrame) -> DataFrame:
-    """Per strategy and day: equity, change since the day before in money and percent (null on the first), trades, and symbols with an open position at its end."""
+def day_moves(trades: DataFrame, *more: Column) -> DataFrame:
+    """Per strategy, symbol and day: the trades' number ``n``, the change of the position ``q``, and further aggregates."""
+    q = F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")))
+    return trades.groupBy("strategy", "symbol", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), q.alias("q"), *more)
+
+
+def day_summary(equity: DataFrame, moves: DataFrame) -> DataFrame:
+    """Per strategy and day: equity, change since the day before in money and percent (null on the first), trades, and symbols with an open position at its end,
+    from the ``day_moves`` of the trades."""
     w = Window.partitionBy("strategy").orderBy("day")
     before = F.lag("equity").over(w)
     e = equity.withColumns({"pnl": F.round(F.col("equity") - before, 2) + F.lit(0.0), "pnl_pct": F.round(100 * F.try_divide(F.col("equity") - before, before), 2) + F.lit(0.0)})
-    move = trades.groupBy("strategy", "symbol", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))).alias("q"))
     upto = Window.partitionBy("strategy", "symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     open_ = (F.sum("q").over(upto) != 0).cast("int")
-    move = move.withColumn("open", open_)
+    move = moves.withColumn("open", open_)
     move = move.withColumn("opened", F.col("open") - F.coalesce(F.lag("open").over(Window.partitionBy("strategy", "symbol").orderBy("day")), F.lit(0)))
     day = move.groupBy("strategy", "day").agg(F.sum("n").alias("trades"), F.sum("opened").alias("opened"))
     x = e.join(day, ["strategy", "day"], "left").fillna(0, ["trades", "opened"])

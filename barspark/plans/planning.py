@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import settled
 from ..functions.windows import in_blocks
 from ..operators import allocate as A
 from ..operators import combine as C
@@ -17,7 +18,7 @@ from ..operators import search as S
 from ..operators import strategies as T
 from ..sources import io
 from .decisions import ENTRIES, UPS, _sectors
-from .inputs import BARS, DAILY, EQUITY, POSTS, TRADES, bars, daily, equity, posts, trades
+from .inputs import BARS, DAILY, EQUITY, POSTS, TRADES, bars, cash_flow, curve, daily, equity, posts, trades
 from .market import ATR, BB, BT, MACD, POS, RET, SIG, SRET, STRATEGY_SQL, TRD, ewm_sql, full, out, rounded, rsi_sql, simple_signals, up
 from .registry import ORACLES, query
 
@@ -315,7 +316,10 @@ def recent_trades(spark, d):
 o AS (SELECT *, (sum(q) OVER (PARTITION BY strategy, symbol ORDER BY day ROWS UNBOUNDED PRECEDING) <> 0)::INTEGER AS o FROM mv), c AS (SELECT *, o - coalesce(lag(o) OVER (PARTITION BY strategy, symbol ORDER BY day), 0) AS d FROM o), g AS (SELECT strategy, day, sum(n)::BIGINT AS trades, sum(d)::BIGINT AS d FROM c GROUP BY 1, 2)
 SELECT strategy, day, equity, round(equity - b, 2) + 0.0::DOUBLE AS pnl, round(100 * (equity - b) / nullif(b, 0), 2) + 0.0::DOUBLE AS pnl_pct, coalesce(trades, 0) AS trades, (sum(coalesce(d, 0)) OVER (PARTITION BY strategy ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS open_positions FROM e LEFT JOIN g USING (strategy, day)""")
 def day_summary(spark, d):
-    return J.day_summary(equity(spark, d), trades(spark, d))
+    # A row a strategy, symbol and day, from which both the curve and the positions follow: trades are joined once.
+    moves = settled(J.day_moves(trades(spark, d), cash_flow()), "moves")
+    flows = moves.groupBy("strategy", "day").agg(F.sum("flow").alias("flow"))
+    return J.day_summary(curve(flows), moves)
 
 
 @query("exposure", f"WITH {TRADES}, p AS (SELECT strategy, symbol, arg_max(qty * CASE WHEN side = 'BUY' THEN 1 ELSE -1 END, (ts, order_id, line)) AS qty FROM trades GROUP BY 1, 2), n AS (SELECT symbol, max(price) AS price FROM trades GROUP BY symbol), v AS (SELECT strategy, qty * price AS v FROM p JOIN n USING (symbol)) SELECT strategy, count(*) AS positions, round(coalesce(sum(v) FILTER (v > 0), 0), 2) AS long, round(coalesce(-sum(v) FILTER (v < 0), 0), 2) AS short, round(sum(v), 2) AS net FROM v GROUP BY strategy")
