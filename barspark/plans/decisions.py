@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.intervals import join_ranges
+from ..functions.scratch import settled
 from ..functions.windows import in_blocks
 from ..operators import allocate as A
 from ..operators import combine as C
@@ -235,7 +236,7 @@ TARGETS = "pos AS (SELECT symbol, sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty
 
 @query("rebalance_plan", f"WITH {TRADES}, {TARGETS}, x AS (SELECT symbol, qty, price, round(goal, 2) AS goal, round(goal, 2) - qty * price AS diff FROM pos, tot WHERE symbol <> 'Brand#21' UNION ALL SELECT symbol, qty, price, 0, -qty * price FROM pos WHERE symbol = 'Brand#21') SELECT symbol, (CASE WHEN abs(diff) > 0.15 * goal THEN floor(abs(diff) / price) ELSE 0 END)::BIGINT AS shares, CASE WHEN abs(diff) <= 0.15 * goal THEN 'HOLD' WHEN diff > 0 THEN 'BUY' WHEN diff < 0 THEN 'SELL' ELSE 'HOLD' END AS action FROM x")
 def rebalance_plan(spark, d):
-    p = _positions(spark, d)
+    p = settled(_positions(spark, d), "positions")  # a row a symbol, read for the goal, the targets, the positions and the prices
     goal = p.agg(F.round(F.sum(F.col("qty") * F.col("price")) / F.count("*"), 2).alias("value"))
     targets = p.where("symbol <> 'Brand#21'").select("symbol").crossJoin(F.broadcast(goal))
     return A.rebalance_plan(p, p, targets).select("symbol", "shares", "action")

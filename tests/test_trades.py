@@ -36,3 +36,8 @@ def test_day_summary_joins_trades_once(spark, joined):
 def test_equity_joins_trades_once(spark, joined):
     inputs.equity(spark, SF).collect()
     assert joined.value == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_rebalance_plan_joins_trades_once(spark, joined):
+    assert decisions.rebalance_plan(spark, SF).count() == 25
+    assert joined.value == spark.read.parquet(f"{SF}/lineitem.parquet").count()
