@@ -16,7 +16,7 @@ from .text_bytes import BYTES, SPACE, hash_spans
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: White space beyond ASCII: texts that hold any are cut by the pattern above.
-_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Bytes of chunks and ids that an encoder remembers; beyond, the half that has not been met for longest is forgotten. Longer chunks aren't remembered.
 REMEMBERED, LONGEST = 24 << 20, 64
 
@@ -132,7 +132,7 @@ class ChunkEncoder:
         base = int(ends[0])
         x, at = x[base : int(ends[-1])], ends - base
         raw = x.tobytes()
-        hard = {int(np.searchsorted(at, m.start(), "right")) - 1 for p in (_WIDE, self.marks) if p for m in p.finditer(raw)}
+        hard = {int(np.searchsorted(at, m.start(), "right")) - 1 for p in (WIDE, self.marks) if p for m in p.finditer(raw)}
         if hard:
             easy = [i for i in range(len(at) - 1) if i not in hard]
             size = np.array([at[i + 1] - at[i] for i in easy], np.int64)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK, ChunkEncoder
+from .chunks import CHUNK, WIDE, ChunkEncoder, ragged
 from .text_bytes import column_bytes, frees, parts
 
 assert sys.byteorder == "little"
@@ -33,7 +33,7 @@ GAMMA = 1.5
 SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("start", "<u8"), ("count", "<u4")])
 #: Chunks without other white space than a space before are given to the library some at a time, one a line: the pattern leaves a line's end alone
 #: before a space or a word, so its one id parts the chunks' ids.
-_PLAIN, LINES = re.compile(rb" ?[!-~]+"), 16
+LINES = 16
 SCHEMA = "part int, seq int, n_docs long, n_ids long, width int, first long, last long, keys binary, occurrence binary, index binary, ids binary"
 
 
@@ -127,24 +127,38 @@ class LibraryEncoder(ChunkEncoder):
         def special(text: str) -> list[str]:
             return [text] if cut is None else [c for i, part in enumerate(cut.split(text)) for c in ([part] if i % 2 else CHUNK.findall(part))]
 
-        ids = lambda texts: [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        marks = re.compile(b"|".join(re.escape(n.encode()) for n in names)) if names else None
-        line = ids(["\n"])[0].tolist()
-
-        def new(chunks: list[bytes]) -> list[bytes]:
-            out = dict.fromkeys(range(len(chunks)), b"")
-            plain = [i for i, c in enumerate(chunks) if _PLAIN.fullmatch(c) and not (marks and marks.search(c))] if len(line) == 1 else []
-            lines = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
-            for at, got in zip(lines, ids(["".join(chunks[i].decode() + "\n" for i in at) for at in lines]), strict=True):
-                ends = np.flatnonzero(got == line[0]).tolist()
-                if len(ends) == len(at):
-                    for i, p, q in zip(at, [-1, *ends], ends, strict=False):
-                        out[i] = got[p + 1 : q].tobytes()
-            rest = [i for i, b in out.items() if not b]
-            out.update(zip(rest, (x.tobytes() for x in ids([chunks[i].decode("utf-8", "surrogatepass") for i in rest])), strict=True))
-            return list(out.values())
-
-        super().__init__(new, kind, special, [n.encode() for n in names])
+        self.ids = lambda texts: [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.line = self.ids(["\n"])[0].tolist()
+        super().__init__(lambda chunks: [x.tobytes() for x in self.ids([c.decode("utf-8", "surrogatepass") for c in chunks])], kind, special, [n.encode() for n in names])
+
+    def _fresh(self, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, begin = x[ragged(starts, lengths)], np.cumsum(lengths) - lengths
+        raw = flat.tobytes()
+        if len(self.line) != 1 or WIDE.search(raw) or (self.marks and self.marks.search(raw)):
+            return super()._fresh(x, starts, lengths)
+        other = (flat <= 32) | (flat == 127)
+        other[begin] &= (flat[begin] != 32) | (lengths == 1)
+        other = np.logical_or.reduceat(other, begin)
+        plain, rest = np.flatnonzero(~other), np.flatnonzero(other)
+        size = lengths[plain] + 1
+        at = np.cumsum(size) - size
+        text = np.full(int(size.sum()), 10, np.uint8)
+        text[ragged(at, size - 1)] = flat[ragged(begin[plain], size - 1)]
+        text, edges = text.tobytes(), [*at[::LINES].tolist(), len(text)]
+        got = self.ids([text[i:j].decode("utf-8", "surrogatepass") for i, j in zip(edges[:-1], edges[1:], strict=True)])
+        ids = np.concatenate([*got, np.empty(0, self.kind)])
+        ends = np.flatnonzero(ids == self.line[0])
+        of = np.searchsorted(np.cumsum([len(g) for g in got]), ends, "right")
+        if not np.array_equal(of, np.arange(len(plain)) // LINES):  # a line has other parts than its chunks
+            return super()._fresh(x, starts, lengths)
+        count = np.zeros(len(lengths), np.int64)
+        count[plain] = np.diff(ends, prepend=-1) - 1
+        alone, count[rest] = super()._fresh(x, starts[rest], lengths[rest])
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), self.kind)
+        out[ragged(first[plain], count[plain])] = ids[ids != self.line[0]]
+        out[ragged(first[rest], count[rest])] = alone
+        return out, count
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", by_chunk: bool = True, shard_bytes: int = SHARD_BYTES) -> None:
