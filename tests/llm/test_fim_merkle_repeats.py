@@ -229,3 +229,29 @@ def test_repeats_edges(spark):
     long = "".join(r.choice("abcdefgh ") for _ in range(900_000))
     got = dict((i, (n, s)) for i, n, s, _ in repeats(spark, [long, "y" + long[600_000:600_500], "z" * 399]))
     assert got == {0: (900_000, [(600_000, 600_500)]), 1: (501, [(1, 501)]), 2: (399, [])}
+
+
+def test_repeats_move_whole_texts_once(spark, monkeypatch):
+    """Whole texts are dealt out when they are written; neither the fetch of pieces, of anchors with few or many of them, nor the spans' join shuffles them again."""
+    monkeypatch.setattr(suffix_dedup, "KINDS", 2)
+    fetches, fetched = [], suffix_dedup._fetched
+    monkeypatch.setattr(suffix_dedup, "_fetched", lambda *a: fetches.append(fetched(*a)) or fetches[-1])
+    r = random.Random(3)
+    noise = lambda n: "".join(chr(r.randrange(33, 1000)) for _ in range(n))
+    base = noise(60)
+    texts = [noise(9) + base[i : i + 30] + noise(9) for i in range(12)] + [base, base, base[:30] + "!" + base[30:]]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tables = {t.name for t in spark.catalog.listTables()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffix_dedup.remove_repeats(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), length=20, gram=5)
+        got = sorted((x.doc_id, x.n_bytes, [(s.start, s.end) for s in x.spans], bytes(x.kept)) for x in out.collect())
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (*fetches[:2], out)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == [(i, *w) for i, w in enumerate(repeats_by_hand([t.encode() for t in texts], 20))]
+    assert len(plans) == 3
+    for plan in plans:
+        initial = plan.rpartition("== Initial Plan ==")[2]
+        assert initial.count("Exchange hashpartitioning(at") == 1 and "Bucketed: true" in plan
+    assert {t.name for t in spark.catalog.listTables()} == tables
